@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, sharding, toxicity, urls
+from . import jaccard, packing, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pii": pii.op2_pii,
     "op3_urls": urls.op3_urls,
     "op4_sharding": sharding.op4_sharding,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_quality": quality.op6_quality,
     "op8_packing": packing.op8_packing,
 }
