@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, pii, quality, sharding, toxicity, urls
+from . import decontam, jaccard, packing, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_quality": quality.op6_quality,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_packing": packing.op8_packing,
 }
 
