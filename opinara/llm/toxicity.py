@@ -20,7 +20,7 @@ MAX_TRAIN = 12_000
 MAX_FEATURES, MIN_DOCS, MIN_RATIO = 20_000, 3, 8.0
 #: Byte lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
-L1, STEPS, SWAP_WEIGHT = 5e-5, 600, 10.0
+L1, STEPS, SWAP_WEIGHT = 1e-5, 1500, 10.0
 REJECT = 0.7
 
 #: Identity terms by group; a swap puts the next term of the group in place of each.
@@ -113,14 +113,19 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n: int, swaps: list
     return w[:n], float(w[n])
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, groups=IDENTITY_TERMS) -> Model:
-    """Fit on ``labelled(text, toxic)``; rows with a null in either are left out, equal texts count once (toxic if any row is).
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups=IDENTITY_TERMS) -> Model:
+    """Fit on the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks; rows with a null in any are left out,
+    equal texts count once (toxic if any row is).
 
-    Word statistics are grouped aggregates over the sample; only the MAX_FEATURES best and the sample's hits on them, both
-    of bounded size, come to the driver. Without labels of both classes the model scores every text 0.
+    The sample is chosen among hashes of texts; only its texts are fetched. Word statistics are grouped aggregates over the
+    sample; only the MAX_FEATURES best and the sample's hits on them, both of bounded size, come to the driver. Without
+    labels of both classes the model scores every text 0.
     """
-    once = labelled.where("text is not null and toxic is not null").groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    sample = stash(once.orderBy("h", "s").limit(max_train).select("text", F.col("toxic").cast("int").alias("toxic")).repartition(16))
+    mark = F.struct(F.xxhash64("text").alias("h"), F.crc32("text").alias("c"))
+    marks = docs.where("text is not null").select("doc_id", mark.alias("mark")).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    chosen = marks.groupBy("mark").agg(F.max("toxic").cast("int").alias("toxic"), F.min("doc_id").alias("doc_id")).orderBy("mark").limit(max_train)
+    texts = docs.where("text is not null").select("doc_id", "text", mark.alias("mark")).join(F.broadcast(chosen), ["doc_id", "mark"])
+    sample = stash(texts.dropDuplicates(["doc_id", "mark"]).select("text", "toxic").repartition(16))
 
     def hashed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in rows:
@@ -185,14 +190,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows outside the held-out fold."""
-    seen = labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(seen, "doc_id").select("text", "toxic")
+def seen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out fold."""
+    return labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    score = scorer(spark, train(labelled_rows(docs, table(spark, sf_dir, "labels"))))
+    score = scorer(spark, train(docs, seen_labels(table(spark, sf_dir, "labels"))))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= REJECT, 1).otherwise(0))
