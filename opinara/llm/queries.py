@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, packing, pii, quality, sharding, toxicity, urls
+from . import decontam, jaccard, langid, packing, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_packing": packing.op8_packing,
+    "op9_langid": langid.op9_langid,
 }
 
 ORACLE_SQL = {
