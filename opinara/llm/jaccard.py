@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, stash, table
+from .common import stash, table
 from .components import connected_components
 from .tokens import chunks, mix, shingles, split
 
-#: Coordinates of the coarse count vector, and points in a leaf box.
-GROUPS, LEAF = 32, 64
+#: Coordinates of the coarse count vector, words of 64 last bits of fine counts, and points in a leaf box.
+GROUPS, PARITY, LEAF = 32, 16, 64
+_C, _P = [f"c{i}" for i in range(GROUPS)], [f"p{i}" for i in range(PARITY)]
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 SMALL_IDS = 500_000
 _EMPTY = np.uint64(0xA0761D6478BD642F)
@@ -49,55 +50,86 @@ def cell_keys(u: np.ndarray, t: Fraction) -> np.ndarray:
     for g in (level, level + 1):
         if g > level and n < t * 2**g:
             continue
+        most = _differ(n + min(2 ** (g + 1) - 1, int(n / t)), t)
+        if not most:
+            continue  # only an equal set is so similar
         cells = grid_cells(g, t)
         cell = (high * np.uint64(cells)) >> np.uint64(32)
         first = np.flatnonzero(np.diff(cell, prepend=np.uint64(1 << 40)))
         salt = mix(cell[first] + np.uint64(g << 40))
         out.append(mix(np.add.reduceat(scrambled, first) ^ salt))
-        most = _differ(n + min(2 ** (g + 1) - 1, int(n / t)), t)
         if len(first) <= most:
             empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell[first])
             out.append(mix(_EMPTY ^ mix(empty + np.uint64(g << 40))))
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _keys(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(doc_id, n, k1, k2, keys): size, 128-bit hash and cell keys of every row's set."""
+def _tasks(docs: DataFrame, k: int, schema: str, row) -> DataFrame:
+    """Rows made by ``row(ids, sets)`` from the ids and the sets of every chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, raw in chunks(texts):
-                n, k1, k2, keys = [], [], [], []
-                for u in shingles(split(raw), len(raw), k):
-                    n.append(len(u))
-                    k1.append(mix(u).sum(dtype=np.uint64) if len(u) else np.uint64(0))
-                    k2.append(mix(u ^ _EMPTY).sum(dtype=np.uint64) if len(u) else np.uint64(0))
-                    keys.append(cell_keys(u, t))
-                ends = np.cumsum([0] + [len(x) for x in keys], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
-                own = [ids.slice(at, len(raw)), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (k1, k2)), lists]
-                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "n", "k1", "k2", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>")
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, raw in chunks(batch.column(1).to_pylist()):
+                own = batch.column(0).slice(at, len(raw))
+                yield row(own, ids[at : at + len(raw)], list(shingles(split(raw), len(raw), k)))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.uint64).view(np.int64))
+
+
+def _lists(values: np.ndarray, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(values))
+
+
+def _sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, k1, k2): size and 128-bit hash of every row's set."""
+
+    def row(own, ids, sets):
+        total = lambda salt: _signed([mix(u ^ salt).sum(dtype=np.uint64) if len(u) else 0 for u in sets])
+        return pa.RecordBatch.from_arrays([own, pa.array([len(u) for u in sets], pa.int64()), total(np.uint64(0)), total(_EMPTY)], names=["doc_id", "n", "k1", "k2"])
+
+    return _tasks(docs, k, "doc_id long, n long, k1 long, k2 long", row)
+
+
+def _cells(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(rep, key): the cell keys of every row's set."""
+
+    def row(own, ids, sets):
+        keys = [cell_keys(u, t) for u in sets]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in keys]), pa.int64()), _signed(np.concatenate(keys))], names=["rep", "key"])
+
+    return _tasks(docs, k, "rep long, key long", row)
 
 
 def _points(docs: DataFrame, k: int) -> DataFrame:
-    """(rep, n, c, hashes): size, coarse count vector and hashes of every row's set."""
+    """(rep, n, c0.., p0..): size, coarse count vector, and PARITY x 64 fine counts by their last bit, of every row's set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, raw in chunks(texts):
-                sets = list(shingles(split(raw), len(raw), k))
-                ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
-                groups = np.concatenate([np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for u in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(raw)), pa.array([len(u) for u in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(groups) + 1, GROUPS, dtype=np.int32)), pa.array(groups)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["rep", "n", "c", "hashes"],
-                )
+    def row(own, ids, sets):
+        c = np.stack([np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for u in sets]).astype(np.int32)
+        fine = np.stack([np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 for u in sets]).astype(np.uint8)
+        p = np.packbits(fine, axis=1).view(np.int64)
+        return pa.RecordBatch.from_arrays([own, pa.array([len(u) for u in sets], pa.int64()), *map(pa.array, c.T.copy()), *map(pa.array, p.T.copy())], names=["rep", "n", *_C, *_P])
+
+    return _tasks(docs, k, "rep long, n long, " + ", ".join([f"{x} int" for x in _C] + [f"{x} long" for x in _P]), row)
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(rep, hashes) of every row."""
+
+    def row(own, ids, sets):
+        return pa.RecordBatch.from_arrays([own, _lists(np.concatenate(sets).view(np.int64), [len(u) for u in sets])], names=["rep", "hashes"])
+
+    return _tasks(docs, k, "rep long, hashes array<long>", row)
 
-    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(run, "rep long, n long, c array<int>, hashes array<long>")
+
+def _of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is (or with left_anti is not) among ids(doc_id): by broadcast if they are counted to be few."""
+    small = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
 def _enough(shared: Column, a: Column, b: Column, t: Fraction) -> Column:
@@ -105,34 +137,44 @@ def _enough(shared: Column, a: Column, b: Column, t: Fraction) -> Column:
     return (t.numerator + t.denominator) * shared >= t.numerator * (a + b)
 
 
-def _verify(pairs: DataFrame, points: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that really are as similar as t. Sets travel once per pair, those of b only."""
-    a = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    b = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+def _bound(x: str, y: str, t: Fraction) -> Column:
+    """Whether the points allow similarity t: by the summed minima of their coordinates, and as fine counts that differ in
+    their last bit hold an element of one set only."""
+    col = lambda a, b: F.col(f"{a}.{b}")
+    least = sum((F.least(col(x, c), col(y, c)) for c in _C), F.lit(0))
+    odd = sum((F.bit_count(col(x, p).bitwiseXOR(col(y, p))) for p in _P), F.lit(0))
+    total = col(x, "n") + col(y, "n")
+    size = F.least(col(x, "n"), col(y, "n"))
+    return _enough(size, col(x, "n"), col(y, "n"), t) & _enough(least, col(x, "n"), col(y, "n"), t) & ((t.numerator + t.denominator) * odd <= (t.denominator - t.numerator) * total)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that really are as similar as t, by their whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _sets(_of(docs, ids), k)
+    a, b = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(b, "b").join(a, "a")
-    return both.where(_enough(F.size(F.array_intersect("ha", "hb")), F.col("na"), F.col("nb"), t)).select("a", "b")
+    return both.where(_enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"), t)).select("a", "b").distinct()
 
 
 def _box_join(members: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) of ``members(key, rep, comp, n, c)`` with one key, different comp and a summed coordinate minimum that allows
-    similarity t. The points of a key are the leaves of a tree of boxes, LEAF points by size to a box; pairs of boxes whose
-    upper corners bound the overlap too low are dropped before any of their points meet."""
+    """(a, b) of ``members(key, rep, comp, n, c0.., p0..)`` with one key, different comp and points that allow similarity t.
+
+    The points of a key are the leaves of a tree of boxes, LEAF points by size to a box; pairs of boxes whose upper corners
+    bound the overlap too low are dropped before any of their points meet.
+    """
     place = W.partitionBy("key").orderBy("n", "rep")
-    leaves = members.withColumn("box", F.floor((F.row_number().over(place) - 1) / LEAF))
-    leaves = stash(leaves.select("key", "box", "rep", "comp", "n", *(F.col("c")[i].alias(f"c{i}") for i in range(GROUPS))))
-    dims = [f"c{i}" for i in range(GROUPS)]
-    boxes = leaves.groupBy("key", "box").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), *(F.max(d).alias(d) for d in dims))
-    least = lambda x, y: sum((F.least(F.col(f"{x}.{d}"), F.col(f"{y}.{d}")) for d in dims), F.lit(0))
+    leaves = stash(members.withColumn("box", F.floor((F.row_number().over(place) - 1) / LEAF)))
+    boxes = leaves.groupBy("key", "box").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), *(F.max(d).alias(d) for d in _C))
+    least = sum((F.least(F.col(f"x.{d}"), F.col(f"y.{d}")) for d in _C), F.lit(0))
     x, y = boxes.alias("x"), boxes.alias("y")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.box") <= F.col("y.box")) & (t.denominator * F.col("x.hi") >= t.numerator * F.col("y.lo"))
     near &= ~((F.col("x.c_lo") == F.col("x.c_hi")) & (F.col("y.c_lo") == F.col("y.c_hi")) & (F.col("x.c_lo") == F.col("y.c_lo")))
-    near &= _enough(least("x", "y"), F.col("x.lo"), F.col("y.lo"), t)
-    pairs = x.join(y, near).select(F.col("x.key").alias("key"), F.col("x.box").alias("bx"), F.col("y.box").alias("by"))
-    p, q = leaves.alias("p"), leaves.alias("q")
-    left = pairs.join(leaves.withColumnRenamed("box", "bx"), ["key", "bx"]).alias("p")
-    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.by") == F.col("q.box")) & ((F.col("p.bx") < F.col("p.by")) | (F.col("p.rep") < F.col("q.rep"))) & (F.col("p.comp") != F.col("q.comp"))
-    meet &= _enough(F.least(F.col("p.n"), F.col("q.n")), F.col("p.n"), F.col("q.n"), t) & _enough(least("p", "q"), F.col("p.n"), F.col("q.n"), t)
-    return left.join(q, meet).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+    near &= _enough(least, F.col("x.lo"), F.col("y.lo"), t)
+    pairs = x.join(y, near).select(F.col("x.key").alias("key"), F.col("x.box").alias("box"), F.col("y.box").alias("other"))
+    left, q = pairs.join(leaves, ["key", "box"]).alias("p"), leaves.alias("q")
+    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.other") == F.col("q.box")) & ((F.col("p.box") < F.col("p.other")) | (F.col("p.rep") < F.col("q.rep"))) & (F.col("p.comp") != F.col("q.comp"))
+    return left.join(q, meet & _bound("p", "q", t)).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
@@ -148,27 +190,25 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     empty table gives no rows; further columns are ignored.
     """
     t = Fraction(threshold)
-    found = stash(_keys(docs, k, t))
+    docs = docs.select("doc_id", "text")
+    found = stash(_sizes(docs, k))
     reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stash(found.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"))
-    own = members.where("rep is not null").select("rep").distinct().withColumnRenamed("rep", "doc_id")
-    cells = found.where("n > 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"))
+    copies = members.where("doc_id <> rep").select("doc_id").distinct()
     over = W.partitionBy("key")
-    shared = stash(cells.select("key", "rep", F.min("rep").over(over).alias("leader"), F.max("rep").over(over).alias("last")).where("leader < last").select("key", "rep", "leader"))
-    discard(found)
+    cells = _cells(_of(docs.where("doc_id is not null"), copies, "left_anti"), k, t)
+    cells = cells.select("key", "rep", F.min("rep").over(over).alias("leader"), F.max("rep").over(over).alias("last"))
+    shared = stash(cells.where("leader < last").select("key", "rep", "leader"))
+    points = stash(_points(_of(docs, shared.select(F.col("rep").alias("doc_id")).distinct()), k))
     most = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    first = stash(most.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
-    small = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    points = stash(_points(wanted, k).dropDuplicates(["rep"]))
-    links = stash(_verify(first, points, t))
+    x, y = points.alias("x"), points.alias("y")
+    first = most.join(x, F.col("leader") == F.col("x.rep")).drop(F.col("x.rep")).join(y, most["rep"] == F.col("y.rep")).where(_bound("x", "y", t))
+    links = stash(_verify(stash(first.select(F.col("leader").alias("a"), most["rep"].alias("b"))), docs, k, t))
     parts = connected_components(links)
-    own_part = shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    own_part = stash(own_part)
-    open_cells = own_part.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    rest = own_part.join(open_cells, "key", "left_semi").join(points.select("rep", "n", "c"), "rep")
-    more = stash(_verify(stash(_box_join(rest, t)), points, t))
+    sides = stash(shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+    open_cells = sides.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rest = sides.join(open_cells, "key", "left_semi").join(points, "rep")
+    more = stash(_verify(stash(_box_join(rest, t)), docs, k, t))
     joined = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id"))
