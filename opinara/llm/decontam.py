@@ -14,14 +14,14 @@ from .common import table
 from .tokens import chunks, split
 
 #: Passages: windows of WINDOW words every STRIDE words, so every run of WINDOW - STRIDE words lies whole in one.
-WINDOW, STRIDE = 64, 16
+WINDOW, STRIDE = 64, 32
 K1, B = 1.2, 0.75
 #: A passage is retrieved when it holds this share of an item's own BM25 score.
-RETRIEVE = 0.45
+RETRIEVE = 0.5
 #: Shares of the question's word triples (words, if it has fewer) and of the answer's words that the place must hold.
 QUESTION, ANSWER = 0.5, 0.5
-#: Postings in a block, and items of one index; more items make more indexes, each of bounded size, used one after the other.
-BLOCK, MAX_ITEMS = 16, 20_000
+#: Items in a block and in a part of a block, and items of one index; more items make more indexes, each of bounded size, used one after the other.
+BLOCK, PART, MAX_ITEMS = 16, 2, 512
 _HIT = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,at_word:long>>"
 
 
@@ -66,9 +66,13 @@ class Index:
         impact = impact / np.bincount(doc, impact, len(words))[doc]
         first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.postings = [(doc[a:b], impact[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.block_max = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for _, w in self.postings]
-        self.most = np.array([w.max() for _, w in self.postings])
-        rising, total, spared = np.argsort(idf, kind="stable"), np.zeros(len(words)), np.zeros(len(self.terms), bool)
+        # largest impact of every term in every part of every block of items; the last row stands for words of no item
+        parts = np.zeros((len(self.terms) + 1, -(-max(len(words), 1) // BLOCK) * (BLOCK // PART)), np.float32)
+        np.maximum.at(parts, (term, doc // PART), impact.astype(np.float32))
+        self.part_max = parts.reshape(len(parts), -1, BLOCK // PART)
+        self.block_max = self.part_max.max(axis=2)
+        self.most = self.block_max.max(axis=1)
+        rising, total, spared = np.argsort(idf, kind="stable"), np.zeros(len(words)), np.zeros(len(self.terms) + 1, bool)
         for t in rising:
             d, w = self.postings[t]
             if (total[d] + w).max() > RETRIEVE / 2:
@@ -78,44 +82,60 @@ class Index:
         self.rest = total.max(initial=0)
         self.bound = np.where(spared, 0, self.most)
 
-    def top(self, query: np.ndarray) -> list[tuple[int, float]]:
-        """Block-max WAND: (item, score) of all items whose score over the distinct terms reaches the threshold.
+    def likely(self, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of a window, its distinct terms, parts of blocks whose largest impacts add up to the threshold) of the
+        windows that have such parts. Windows whose rarer words cannot bring any item there are passed over first, by one
+        running sum; then blocks, then parts of the blocks that are left."""
+        none, theta = len(self.terms), RETRIEVE - 1e-5
+        sums = np.concatenate(([0.0], np.cumsum(self.bound[term])))
+        some = np.flatnonzero(sums[end] - sums[start] >= theta - self.rest)
+        for k in range(0, len(some), 512):
+            w = some[k : k + 512]
+            at = start[w, None] + np.arange(WINDOW)
+            terms = np.where(at < end[w, None], term[np.minimum(at, len(term) - 1)], none)
+            terms.sort(axis=1)
+            terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none
+            row, block = np.nonzero(self.block_max[terms].sum(axis=1) >= theta)
+            for m in range(0, len(row), 512):
+                r, b = row[m : m + 512], block[m : m + 512]
+                hit, part = np.nonzero(self.part_max[terms[r], b[:, None]].sum(axis=1) >= theta)
+                for x, y in zip(hit.tolist(), part.tolist(), strict=True):
+                    t = terms[r[x]]
+                    yield int(w[r[x]]), t[t < none], int(b[x]) * (BLOCK // PART) + y
+
+    def top(self, query: np.ndarray, part: int) -> list[tuple[int, float]]:
+        """WAND over a part of a block: (item, score) of all its items whose score over the distinct terms reaches the threshold.
 
         Lists are kept by their current item. The pivot is the first item that the lists up to it could bring to the
-        threshold by their largest impacts; if the largest impacts of the blocks that hold the pivot cannot, the lists move
-        on to the end of the nearest block at once.
+        threshold by their largest impacts in the part; what lies before it is skipped.
         """
-        lists = [[0, *self.postings[t], self.block_max[t], self.most[t]] for t in query.tolist()]
-        found = []
+        found, lists, lo = [], [], part * PART
+        most = self.part_max.reshape(len(self.part_max), -1)[query, part]
+        for t, m in zip(query[most > 0].tolist(), most[most > 0].tolist(), strict=True):
+            d, w = self.postings[t]
+            a = int(d.searchsorted(lo))
+            b = a + int(d[a : a + PART].searchsorted(lo + PART))
+            lists.append([d[a:b].tolist(), w[a:b].tolist(), m, 0])
         while lists:
-            lists.sort(key=lambda x: x[1][x[0]])
-            bound, pivot = 0.0, -1
-            for k, x in enumerate(lists):
-                bound += x[4]
-                if bound >= RETRIEVE:
-                    pivot = k
+            lists.sort(key=lambda x: x[0][x[3]])
+            bound, pivot = 0.0, None
+            for x in lists:
+                bound += x[2]
+                if bound >= RETRIEVE - 1e-5:
+                    pivot = x[0][x[3]]
                     break
-            if pivot < 0:
+            if pivot is None:
                 break
-            item = lists[pivot][1][lists[pivot][0]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == item:
-                pivot += 1
-            ahead = lists[: pivot + 1]
-            at = [int(np.searchsorted(x[1], item)) for x in ahead]
-            blocks = sum(x[3][k // BLOCK] for x, k in zip(ahead, at, strict=True) if k < len(x[1]))
-            if blocks >= RETRIEVE:
-                score = sum(x[2][k] for x, k in zip(ahead, at, strict=True) if k < len(x[1]) and x[1][k] == item)
-                if score >= RETRIEVE:
-                    found.append((int(item), float(score)))
-                target = item + 1
-            else:
-                ends = [x[1][min((k // BLOCK + 1) * BLOCK, len(x[1])) - 1] + 1 for x, k in zip(ahead, at, strict=True) if k < len(x[1])]
-                if pivot + 1 < len(lists):
-                    ends.append(lists[pivot + 1][1][lists[pivot + 1][0]])
-                target = max(min(ends), item + 1)
-            for x, k in zip(ahead, at, strict=True):
-                x[0] = int(np.searchsorted(x[1], target))
-            lists = [x for x in lists if x[0] < len(x[1])]
+            score = 0.0
+            for x in lists:
+                while x[3] < len(x[0]) and x[0][x[3]] < pivot:
+                    x[3] += 1
+                if x[3] < len(x[0]) and x[0][x[3]] == pivot:
+                    score += x[1][x[3]]
+                    x[3] += 1
+            if score >= RETRIEVE:
+                found.append((pivot, score))
+            lists = [x for x in lists if x[3] < len(x[0])]
         return found
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple]]]:
@@ -125,8 +145,7 @@ class Index:
         for at, raw in chunks(texts):
             w = split(raw, letters=True)
             k = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
-            term = np.where(self.terms[k] == w.hash, k, -1)
-            bound = np.concatenate(([0.0], np.cumsum(np.where(term >= 0, self.bound[term], 0.0))))
+            term = np.where(self.terms[k] == w.hash, k, len(self.terms))
             count = np.bincount(w.doc, minlength=len(raw))
             first = np.concatenate(([0], np.cumsum(count)))
             # every window of every text of the chunk: from, to
@@ -135,12 +154,10 @@ class Index:
             turn = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
             start = first[text] + turn * STRIDE
             end = np.minimum(start + WINDOW, first[text + 1])
-            likely = np.flatnonzero(bound[end] - bound[start] >= RETRIEVE - self.rest - 1e-9)
             hits: dict[int, dict[int, tuple[float, int]]] = {}
-            for j in likely.tolist():
-                query = np.unique(term[start[j] : end[j]])
+            for j, query, part in self.likely(term, start, end):
                 d = hits.setdefault(int(text[j]), {})
-                for item, score in self.top(query[query >= 0]):
+                for item, score in self.top(query, part):
                     if score > d.get(item, (0.0,))[0]:
                         d[item] = (score, int(start[j]))
             for d, best in hits.items():
