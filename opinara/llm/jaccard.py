@@ -206,7 +206,10 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     links = stash(_verify(stash(first.select(F.col("leader").alias("a"), most["rep"].alias("b"))), docs, k, t))
     parts = connected_components(links)
     sides = stash(shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-    open_cells = sides.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    # cells with the same members are one cell; only those that still hold several classes matter
+    who = [F.bit_xor(F.xxhash64("rep", F.lit(x))).alias(f"h{x}") for x in (1, 2)]
+    open_cells = sides.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *who).where("x < y")
+    open_cells = open_cells.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     rest = sides.join(open_cells, "key", "left_semi").join(points, "rep")
     more = stash(_verify(stash(_box_join(rest, t)), docs, k, t))
     joined = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
