@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, packing, pii, quality, sharding, toxicity, urls
+from . import decontam, jaccard, langid, lm, packing, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontamination": decontam.op7_decontamination,
     "op8_packing": packing.op8_packing,
     "op9_langid": langid.op9_langid,
+    "op10_lm": lm.op10_lm,
 }
 
 ORACLE_SQL = {
