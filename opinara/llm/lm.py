@@ -16,11 +16,13 @@ from .tokens import chunks, mix, split
 
 #: Factor of a backoff, and the count from which a bigram is in its table.
 BACKOFF, MIN_COUNT = 0.4, 2
-#: Words and bigrams with at least this share of the corpus are frequent: there can be at most 1 / SHARE of either.
-SHARE = 4e-6
+#: Words and bigrams with at least this share of the corpus are frequent: at most a million words, two and a half million bigrams.
+WORD_SHARE, PAIR_SHARE = 1e-6, 4e-7
+#: Entries of counts that a task gathers before it adds them up.
+GATHER = 2_000_000
 #: Hash of the mark before a text's first word.
 _START = mix(np.array([0x5354415254], np.uint64))[0]
-_RANKS = np.uint64(1 << 18)
+_RANKS = np.uint64(1 << 21)
 
 
 def _sequence(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +57,30 @@ class Frequent:
         return doc[1:][same], k[:-1][same], k[1:][same]
 
 
+def _tally(name: str, found: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Counts of all values that a task finds, added up in bounded memory."""
+    keys, counts, size = [], [], 0
+
+    def add() -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+    for values in found:
+        k, n = np.unique(values, return_counts=True)
+        keys, counts, size = [*keys, k], [*counts, n], size + len(k)
+        if size > GATHER:
+            k, n = add()
+            keys, counts, size = [k], [n], len(k)
+            if size > GATHER // 2:
+                yield pd.DataFrame({name: k.view(np.int64), "n": n})
+                keys, counts, size = [], [], 0
+    if keys:
+        k, n = add()
+        yield pd.DataFrame({name: k.view(np.int64), "n": n})
+
+
 def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for _, raw in chunks(batch["text"].tolist()):
-            w, n = np.unique(_sequence(raw)[1], return_counts=True)
-            yield pd.DataFrame({"w": w.view(np.int64), "n": n})
+    return _tally("w", (_sequence(raw)[1] for batch in batches for _, raw in chunks(batch["text"].tolist())))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -73,7 +94,7 @@ def score(docs: DataFrame) -> DataFrame:
     a text's first word follows a mark. log_score is the sum of logarithms. Counts are of all rows. Unigrams are counted in
     a table by hash. Pairs are exploded per document, once per distinct pair, and dealt by their hash to the count table's
     partitions; a pair's count is summed there and looked up in the unigram table, and documents add up their parts.
-    Frequent words and pairs (share of SHARE or more, so of bounded number) are counted first and broadcast: their rows are
+    Frequent words and pairs (of a given share or more, so of bounded number) are counted first and broadcast: their rows are
     summed where they stand and no key with many rows is dealt out. Words are those between ASCII white space, A-Z as a-z;
     told apart by 63-bit hashes.
     Rows with the same doc_id are one document, so are rows without; texts without words have n_words and log_score 0 and a
@@ -84,21 +105,22 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stash(docs.select("text").mapInPandas(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     start = int(np.array(_START).view(np.int64))
     total = counts.agg(F.coalesce(F.sum(F.when(F.col("w") != start, F.col("n"))), F.lit(0))).first()[0]
-    often = counts.where((F.col("n") >= SHARE * total) | (F.col("w") == start)).toPandas()
+    often = counts.where((F.col("n") >= WORD_SHARE * total) | (F.col("w") == start)).toPandas()
     frequent = Frequent(often["w"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
     words = spark.sparkContext.broadcast((frequent.words, frequent.counts))
 
     def pairs_of_frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Frequent(*words.value)
-        for batch in batches:
-            for _, raw in chunks(batch["text"].tolist()):
-                _, a, b = known.bigrams(raw)
-                both = (a < _RANKS) & (b < _RANKS)
-                k, n = np.unique(a[both] * _RANKS + b[both], return_counts=True)
-                yield pd.DataFrame({"key": k.view(np.int64), "n": n})
+
+        def keys(raw: list[bytes]) -> np.ndarray:
+            _, a, b = known.bigrams(raw)
+            both = (a < _RANKS) & (b < _RANKS)
+            return a[both] * _RANKS + b[both]
+
+        return _tally("key", (keys(raw) for batch in batches for _, raw in chunks(batch["text"].tolist())))
 
     hot = docs.select("text").mapInPandas(pairs_of_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = hot.where((F.col("n") >= SHARE * total) & (F.col("n") >= MIN_COUNT)).orderBy("key").toPandas()
+    hot = hot.where((F.col("n") >= PAIR_SHARE * total) & (F.col("n") >= MIN_COUNT)).orderBy("key").toPandas()
     hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
     pairs = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.int64)[order]))
@@ -125,27 +147,28 @@ def score(docs: DataFrame) -> DataFrame:
                     done = np.bincount(doc[hit], tf[hit] * gain[k[hit]], len(raw))
                     doc, a, b, tf = doc[~hit], a[~hit], b[~hit], tf[~hit]
                 own = ids.slice(at, len(raw))
-                m = len(doc)
-                yield pa.RecordBatch.from_arrays([own, pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.int64()), pa.array(size, pa.int64()), pa.array(done, pa.float64())], names=names)
-                if m:
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(a), _signed(b), pa.array(tf, pa.int64()), pa.nulls(m, pa.float64())], names=names)
+                # a document's own row: its words, and what frequent pairs add
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(raw), -1)), _signed(mix(np.arange(len(raw), dtype=np.uint64) ^ mix(np.uint64(sum(map(len, raw)))))), pa.array(size, pa.int64()), pa.array(done, pa.float64())], names=names)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(a), _signed(b), pa.array(tf, pa.int64()), pa.nulls(len(doc), pa.float64())], names=names)
 
     rows = docs.mapInArrow(explode, "doc_id long, left long, right long, tf long, v double")
-    whole = rows.where("left is null").groupBy("doc_id").agg(F.sum("tf").alias("n_words"), F.sum("v").alias("v"))
-    rare = rows.where("left is not null").select("doc_id", "left", "right", "tf").withColumn("c", F.sum("tf").over(W.partitionBy("left", "right")))
-    seen, left, right = F.col("c") >= MIN_COUNT, F.col("left"), F.col("right")
-    asked = rare.select("doc_id", F.when(seen, left).otherwise(right).alias("word"), F.when(seen, -F.col("tf")).otherwise(F.col("tf")).alias("times"), (F.col("tf") * F.when(seen, F.log("c")).otherwise(F.lit(float(np.log(BACKOFF) - np.log(max(total, 1)))))).alias("v"))
+    summed = rows.withColumn("c", F.sum("tf").over(W.partitionBy("left", "right")))
+    own, seen, left, right, tf = F.col("left") == -1, F.col("c") >= MIN_COUNT, F.col("left"), F.col("right"), F.col("tf")
+    unseen = float(np.log(BACKOFF) - np.log(max(total, 1)))
+    asked = summed.select(
+        "doc_id", F.when(own, 0).when(seen, left).otherwise(right).alias("word"), F.when(own, 0).when(seen, -tf).otherwise(tf).alias("times"),
+        F.when(own, F.col("v")).otherwise(tf * F.when(seen, F.log("c")).otherwise(F.lit(unseen))).alias("v"), F.when(own, tf).otherwise(0).alias("size"),
+    )
     number = pd.DataFrame({"word": np.arange(len(frequent.words)), "n": frequent.counts})
     common = spark.createDataFrame(number, "word long, n long")
     other = counts.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"w": frequent.words.view(np.int64)}), "w long")), "w", "left_anti")
     number = F.shiftrightunsigned("w", 1)
     other = other.select(F.when(number < int(_RANKS), number + int(_RANKS)).otherwise(number).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     value = (F.col("v") + F.col("times") * F.log("n")).alias("v")
-    near = asked.where(F.col("word") < int(_RANKS)).join(F.broadcast(common), "word").select("doc_id", value)
-    far = asked.where(F.col("word") >= int(_RANKS)).join(other, "word").select("doc_id", value)
-    parts = near.unionByName(far).groupBy("doc_id").agg(F.sum("v").alias("v"))
-    parts = parts.withColumn("n_words", F.lit(0).cast("long")).unionByName(whole)
-    out = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("v").alias("log_score"))
+    near = asked.where(F.col("word") < int(_RANKS)).join(F.broadcast(common), "word", "left").select("doc_id", "size", F.when(F.col("times") == 0, F.col("v")).otherwise(value).alias("v"))
+    far = asked.where(F.col("word") >= int(_RANKS)).join(other, "word").select("doc_id", "size", value)
+    out = near.unionByName(far).groupBy("doc_id").agg(F.sum("size").alias("n_words"), F.sum("v").alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
