@@ -15,8 +15,8 @@ from .common import stash, table
 from .components import connected_components
 from .tokens import chunks, mix, shingles, split
 
-#: Coordinates of the coarse count vector, words of 64 last bits of fine counts, and points in a leaf box.
-GROUPS, PARITY, LEAF = 32, 16, 64
+#: Coordinates of the coarse count vector, and words of 64 last bits of fine counts.
+GROUPS, PARITY = 32, 8
 _C, _P = [f"c{i}" for i in range(GROUPS)], [f"p{i}" for i in range(PARITY)]
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 SMALL_IDS = 500_000
@@ -158,23 +158,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame
 
 
 def _box_join(members: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) of ``members(key, rep, comp, n, c0.., p0..)`` with one key, different comp and points that allow similarity t.
+    """(a, b) of ``members(key, rep, comp, main, n, c0.., p0..)`` with one key, different comp and points that allow similarity t.
 
-    The points of a key are the leaves of a tree of boxes, LEAF points by size to a box; pairs of boxes whose upper corners
-    bound the overlap too low are dropped before any of their points meet.
+    main is one comp of the key's: of two different comps one is another, so only members of others look for partners. The
+    points of a key lie in boxes along their size, each 1 / t times as wide as the one before, so a set meets only those of
+    its own and of the boxes beside it. A member is dealt out at most four times whatever the size of its cell; pairs are
+    bounded where they meet and only those that may be similar leave the join.
     """
-    place = W.partitionBy("key").orderBy("n", "rep")
-    leaves = stash(members.withColumn("box", F.floor((F.row_number().over(place) - 1) / LEAF)))
-    boxes = leaves.groupBy("key", "box").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), *(F.max(d).alias(d) for d in _C))
-    least = sum((F.least(F.col(f"x.{d}"), F.col(f"y.{d}")) for d in _C), F.lit(0))
-    x, y = boxes.alias("x"), boxes.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.box") <= F.col("y.box")) & (t.denominator * F.col("x.hi") >= t.numerator * F.col("y.lo"))
-    near &= ~((F.col("x.c_lo") == F.col("x.c_hi")) & (F.col("y.c_lo") == F.col("y.c_hi")) & (F.col("x.c_lo") == F.col("y.c_lo")))
-    near &= _enough(least, F.col("x.lo"), F.col("y.lo"), t)
-    pairs = x.join(y, near).select(F.col("x.key").alias("key"), F.col("x.box").alias("box"), F.col("y.box").alias("other"))
-    left, q = pairs.join(leaves, ["key", "box"]).alias("p"), leaves.alias("q")
-    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.other") == F.col("q.box")) & ((F.col("p.box") < F.col("p.other")) | (F.col("p.rep") < F.col("q.rep"))) & (F.col("p.comp") != F.col("q.comp"))
-    return left.join(q, meet & _bound("p", "q", t)).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+    box = F.floor(F.log("n") / float(np.log(float(1 / t))) + 1e-9)
+    other = members.where("comp <> main").withColumn("box", F.explode(F.array(box - 1, box, box + 1))).alias("p")
+    every = members.withColumn("box", box).alias("q")
+    once = (F.col("q.comp") == F.col("q.main")) | (F.col("p.rep") < F.col("q.rep"))
+    meet = (F.col("p.key") == F.col("q.key")) & (F.col("p.box") == F.col("q.box")) & (F.col("p.comp") != F.col("q.comp")) & once
+    return other.join(every, meet & _bound("p", "q", t)).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
@@ -208,9 +204,9 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     sides = stash(shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
     # cells with the same members are one cell; only those that still hold several classes matter
     who = [F.bit_xor(F.xxhash64("rep", F.lit(x))).alias(f"h{x}") for x in (1, 2)]
-    open_cells = sides.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *who).where("x < y")
-    open_cells = open_cells.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    rest = sides.join(open_cells, "key", "left_semi").join(points, "rep")
+    open_cells = sides.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min_by("comp", "rep").alias("main"), *who).where("x < y")
+    open_cells = open_cells.groupBy("m", "h1", "h2").agg(F.min(F.struct("key", "main")).alias("k")).select("k.*")
+    rest = sides.join(open_cells, "key").join(points, "rep")
     more = stash(_verify(stash(_box_join(rest, t)), docs, k, t))
     joined = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
