@@ -16,12 +16,13 @@ from .tokens import chunks, mix, split
 
 #: Factor of a backoff, and the count from which a bigram is in its table.
 BACKOFF, MIN_COUNT = 0.4, 2
-#: Words and bigrams with at least this share of the corpus are frequent: at most a million words, two and a half million bigrams.
-WORD_SHARE, PAIR_SHARE = 1e-6, 4e-7
+#: Words and bigrams with at least this share of the corpus are frequent: at most a million words and a hundred thousand bigrams.
+WORD_SHARE, PAIR_SHARE = 1e-6, 1e-5
 #: Entries of counts that a task gathers before it adds them up.
 GATHER = 2_000_000
 #: Hash of the mark before a text's first word.
 _START = mix(np.array([0x5354415254], np.uint64))[0]
+#: Numbers below are ranks of frequent words; no other word has one up to it.
 _RANKS = np.uint64(1 << 21)
 
 
@@ -43,7 +44,7 @@ class Frequent:
     def number(self, h: np.ndarray) -> np.ndarray:
         """A frequent word's rank in hash order, or 63 bits of another word's hash, above all ranks."""
         other = h >> np.uint64(1)
-        other = np.where(other < _RANKS, other + _RANKS, other)
+        other = np.where(other <= _RANKS, other + _RANKS + np.uint64(1), other)
         if not len(self.words):
             return other
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -57,6 +58,10 @@ class Frequent:
         return doc[1:][same], k[:-1][same], k[1:][same]
 
 
+def _turned(left: np.ndarray) -> np.ndarray:
+    return (left << np.uint64(31)) | (left >> np.uint64(33))
+
+
 def _tally(name: str, found: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
     """Counts of all values that a task finds, added up in bounded memory."""
     keys, counts, size = [], [], 0
@@ -108,14 +113,18 @@ def score(docs: DataFrame) -> DataFrame:
     often = counts.where((F.col("n") >= WORD_SHARE * total) | (F.col("w") == start)).toPandas()
     frequent = Frequent(often["w"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
     words = spark.sparkContext.broadcast((frequent.words, frequent.counts))
+    # a frequent pair is made of words that are as frequent
+    parts_of_pairs = np.flatnonzero(frequent.counts >= PAIR_SHARE * total).astype(np.uint64)
+    small = spark.sparkContext.broadcast((frequent.words[parts_of_pairs.astype(np.int64)], parts_of_pairs))
 
     def pairs_of_frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Frequent(*words.value)
+        hashes, numbers = small.value
+        known = Frequent(hashes, numbers)
 
         def keys(raw: list[bytes]) -> np.ndarray:
             _, a, b = known.bigrams(raw)
             both = (a < _RANKS) & (b < _RANKS)
-            return a[both] * _RANKS + b[both]
+            return numbers[a[both].astype(np.int64)] * _RANKS + numbers[b[both].astype(np.int64)]
 
         return _tally("key", (keys(raw) for batch in batches for _, raw in chunks(batch["text"].tolist())))
 
@@ -126,7 +135,7 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.int64)[order]))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = Frequent(*words.value), ["doc_id", "left", "right", "tf", "v"]
+        known, names = Frequent(*words.value), ["doc_id", "key", "left", "tf", "v"]
         keys, n = pairs.value
         gain = np.log(n) - np.log(known.counts[(keys // _RANKS).astype(np.int64)]) if len(keys) else np.empty(0)
         for batch in batches:
@@ -148,13 +157,21 @@ def score(docs: DataFrame) -> DataFrame:
                     doc, a, b, tf = doc[~hit], a[~hit], b[~hit], tf[~hit]
                 own = ids.slice(at, len(raw))
                 # a document's own row: its words, and what frequent pairs add
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(raw), -1)), _signed(mix(np.arange(len(raw), dtype=np.uint64) ^ mix(np.uint64(sum(map(len, raw)))))), pa.array(size, pa.int64()), pa.array(done, pa.float64())], names=names)
+                spread = mix(np.arange(len(raw), dtype=np.uint64) ^ mix(np.uint64(sum(map(len, raw)))))
+                yield pa.RecordBatch.from_arrays([own, _signed(spread), pa.array(np.full(len(raw), -1)), pa.array(size, pa.int64()), pa.array(done, pa.float64())], names=names)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(a), _signed(b), pa.array(tf, pa.int64()), pa.nulls(len(doc), pa.float64())], names=names)
-
-    rows = docs.mapInArrow(explode, "doc_id long, left long, right long, tf long, v double")
-    summed = rows.withColumn("c", F.sum("tf").over(W.partitionBy("left", "right")))
-    own, seen, left, right, tf = F.col("left") == -1, F.col("c") >= MIN_COUNT, F.col("left"), F.col("right"), F.col("tf")
+                    # two frequent words fit into the key; else the key and the first word give the second
+                    both = (a < _RANKS) & (b < _RANKS)
+                    key, a = np.where(both, a * _RANKS + b, _turned(a) ^ b), np.where(both, _RANKS, a)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(key), _signed(a), pa.array(tf, pa.int64()), pa.nulls(len(doc), pa.float64())], names=names)
+
+    rows = docs.mapInArrow(explode, "doc_id long, key long, left long, tf long, v double")
+    summed = rows.withColumn("c", F.sum(F.when(F.col("left") != -1, F.col("tf"))).over(W.partitionBy("key")))
+    key, first, bits = F.col("key"), F.col("left"), int(_RANKS).bit_length() - 1
+    both, turned = first == int(_RANKS), F.shiftleft(first, 31).bitwiseOR(F.shiftrightunsigned(first, 33))
+    left = F.when(both, F.shiftright(key, bits)).otherwise(first)
+    right = F.when(both, key.bitwiseAND(F.lit(int(_RANKS) - 1))).otherwise(key.bitwiseXOR(turned))
+    own, seen, tf = first == -1, F.col("c") >= MIN_COUNT, F.col("tf")
     unseen = float(np.log(BACKOFF) - np.log(max(total, 1)))
     asked = summed.select(
         "doc_id", F.when(own, 0).when(seen, left).otherwise(right).alias("word"), F.when(own, 0).when(seen, -tf).otherwise(tf).alias("times"),
@@ -164,7 +181,7 @@ def score(docs: DataFrame) -> DataFrame:
     common = spark.createDataFrame(number, "word long, n long")
     other = counts.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"w": frequent.words.view(np.int64)}), "w long")), "w", "left_anti")
     number = F.shiftrightunsigned("w", 1)
-    other = other.select(F.when(number < int(_RANKS), number + int(_RANKS)).otherwise(number).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    other = other.select(F.when(number <= int(_RANKS), number + int(_RANKS) + 1).otherwise(number).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     value = (F.col("v") + F.col("times") * F.log("n")).alias("v")
     near = asked.where(F.col("word") < int(_RANKS)).join(F.broadcast(common), "word", "left").select("doc_id", "size", F.when(F.col("times") == 0, F.col("v")).otherwise(value).alias("v"))
     far = asked.where(F.col("word") >= int(_RANKS)).join(other, "word").select("doc_id", "size", value)
