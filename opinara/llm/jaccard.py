@@ -35,18 +35,19 @@ def grid_cells(level: int, t: Fraction) -> int:
     return r + 1 + max(3, r // 7)
 
 
-def cell_keys(u: np.ndarray, t: Fraction) -> np.ndarray:
-    """Keys of a sorted set of hashes, such that two sets of similarity t or more share a key, for certain.
+def cell_keys(u: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, marks) of a sorted set of hashes, such that two sets of similarity t or more share keys, for certain.
 
     Hashes fall into the cells of a grid, a fine count vector. A similar pair differs in fewer elements than the grid has
     cells, so the pair has a cell with the same elements in both; a key names such a cell and its elements. Only where a set
     leaves so many cells empty that all cells in common could be empty does it also give the keys of its empty cells; then
-    its partner does so, too.
+    its partner does so, too. A mark holds the least number of keys of one grid that the set shares with any similar one,
+    and whether the grid is the upper one.
     """
     n = len(u)
     if not n:
-        return np.empty(0, np.uint64)
-    level, high, scrambled, out = n.bit_length() - 1, u >> np.uint64(32), mix(u), []
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    level, high, scrambled, out, marks = n.bit_length() - 1, u >> np.uint64(32), mix(u), [], []
     for g in (level, level + 1):
         if g > level and n < t * 2**g:
             continue
@@ -60,8 +61,9 @@ def cell_keys(u: np.ndarray, t: Fraction) -> np.ndarray:
         out.append(mix(np.add.reduceat(scrambled, first) ^ salt))
         if len(first) <= most:
             empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell[first])
-            out.append(mix(_EMPTY ^ mix(empty + np.uint64(g << 40))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            out[-1] = np.concatenate((out[-1], mix(_EMPTY ^ mix(empty + np.uint64(g << 40)))))
+        marks.append(np.full(len(out[-1]), max(1, len(first) - most) * 2 + (g > level)))
+    return (np.concatenate(out), np.concatenate(marks)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def _tasks(docs: DataFrame, k: int, schema: str, row) -> DataFrame:
@@ -70,7 +72,7 @@ def _tasks(docs: DataFrame, k: int, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, raw in chunks(batch.column(1).to_pylist()):
+            for at, raw in chunks(x.as_py() for x in batch.column(1)):
                 own = batch.column(0).slice(at, len(raw))
                 yield row(own, ids[at : at + len(raw)], list(shingles(split(raw), len(raw), k)))
 
@@ -96,13 +98,27 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _cells(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(rep, key): the cell keys of every row's set."""
+    """(rep, key, mark): the cell keys of every row's set."""
 
     def row(own, ids, sets):
-        keys = [cell_keys(u, t) for u in sets]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in keys]), pa.int64()), _signed(np.concatenate(keys))], names=["rep", "key"])
+        found = [cell_keys(u, t) for u in sets]
+        keys, marks = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x, _ in found]), pa.int64()), _signed(keys), pa.array(marks, pa.int32())], names=["rep", "key", "mark"])
 
-    return _tasks(docs, k, "rep long, key long", row)
+    return _tasks(docs, k, "rep long, key long, mark int", row)
+
+
+def _thin(cells: DataFrame) -> DataFrame:
+    """(key, rep, leader) of ``cells(rep, key, mark)`` that can bring similar sets together; leader is a key's least rep.
+
+    A set shares at least so many keys of a grid with a similar one, so each may leave out all but one of so many of its
+    keys, the same ones first for all: those of most members. What only a passage in common brings together goes this way.
+    """
+    over, own = W.partitionBy("key"), W.partitionBy("rep", F.col("mark") % 2).orderBy(F.desc("m"), "key")
+    met = cells.select("key", "rep", "mark", F.count("*").over(over).alias("m"), F.min("rep").over(over).alias("lo"), F.max("rep").over(over).alias("hi")).where("lo < hi").drop("lo", "hi")
+    kept = met.withColumn("place", F.row_number().over(own)).where(F.col("place") >= F.floor(F.col("mark") / 2)).select("key", "rep")
+    kept = kept.select("key", "rep", F.min("rep").over(over).alias("leader"), F.max("rep").over(over).alias("last"))
+    return kept.where("leader < last").select("key", "rep", "leader")
 
 
 def _points(docs: DataFrame, k: int) -> DataFrame:
@@ -191,10 +207,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"))
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
-    over = W.partitionBy("key")
-    cells = _cells(_of(docs.where("doc_id is not null"), copies, "left_anti"), k, t)
-    cells = cells.select("key", "rep", F.min("rep").over(over).alias("leader"), F.max("rep").over(over).alias("last"))
-    shared = stash(cells.where("leader < last").select("key", "rep", "leader"))
+    shared = stash(_thin(_cells(_of(docs.where("doc_id is not null"), copies, "left_anti"), k, t)))
     points = stash(_points(_of(docs, shared.select(F.col("rep").alias("doc_id")).distinct()), k))
     most = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     x, y = points.alias("x"), points.alias("y")

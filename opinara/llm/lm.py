@@ -19,7 +19,7 @@ BACKOFF, MIN_COUNT = 0.4, 2
 #: Words and bigrams with at least this share of the corpus are frequent: at most a million words and a hundred thousand bigrams.
 WORD_SHARE, PAIR_SHARE = 1e-6, 1e-5
 #: Entries of counts that a task gathers before it adds them up.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Hash of the mark before a text's first word.
 _START = mix(np.array([0x5354415254], np.uint64))[0]
 #: Numbers below are ranks of frequent words; no other word has one up to it.
@@ -58,14 +58,21 @@ class Frequent:
         return doc[1:][same], k[:-1][same], k[1:][same]
 
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
 def _turned(left: np.ndarray) -> np.ndarray:
     return (left << np.uint64(31)) | (left >> np.uint64(33))
 
 
-def _tally(name: str, found: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+def _tally(name: str, found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Counts of all values that a task finds, added up in bounded memory."""
     keys, counts, size = [], [], 0
 
+    def batch(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(k), pa.array(n)], names=[name, "n"])
+
     def add() -> tuple[np.ndarray, np.ndarray]:
         k, at = np.unique(np.concatenate(keys), return_inverse=True)
         return k, np.bincount(at, np.concatenate(counts)).astype(np.int64)
@@ -77,19 +84,19 @@ def _tally(name: str, found: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
             k, n = add()
             keys, counts, size = [k], [n], len(k)
             if size > GATHER // 2:
-                yield pd.DataFrame({name: k.view(np.int64), "n": n})
+                yield batch(k, n)
                 keys, counts, size = [], [], 0
     if keys:
         k, n = add()
-        yield pd.DataFrame({name: k.view(np.int64), "n": n})
+        yield batch(k, n)
 
 
-def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return _tally("w", (_sequence(raw)[1] for batch in batches for _, raw in chunks(batch["text"].tolist())))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    return (raw for batch in batches for _, raw in chunks(x.as_py() for x in batch.column(0)))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tally("w", (_sequence(raw)[1] for raw in _texts(batches)))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -107,7 +114,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = stash(docs.select("text").mapInPandas(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    counts = stash(docs.select("text").mapInArrow(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     start = int(np.array(_START).view(np.int64))
     total = counts.agg(F.coalesce(F.sum(F.when(F.col("w") != start, F.col("n"))), F.lit(0))).first()[0]
     often = counts.where((F.col("n") >= WORD_SHARE * total) | (F.col("w") == start)).toPandas()
@@ -117,7 +124,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts_of_pairs = np.flatnonzero(frequent.counts >= PAIR_SHARE * total).astype(np.uint64)
     small = spark.sparkContext.broadcast((frequent.words[parts_of_pairs.astype(np.int64)], parts_of_pairs))
 
-    def pairs_of_frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs_of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, numbers = small.value
         known = Frequent(hashes, numbers)
 
@@ -126,9 +133,9 @@ def score(docs: DataFrame) -> DataFrame:
             both = (a < _RANKS) & (b < _RANKS)
             return numbers[a[both].astype(np.int64)] * _RANKS + numbers[b[both].astype(np.int64)]
 
-        return _tally("key", (keys(raw) for batch in batches for _, raw in chunks(batch["text"].tolist())))
+        return _tally("key", (keys(raw) for raw in _texts(batches)))
 
-    hot = docs.select("text").mapInPandas(pairs_of_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = docs.select("text").mapInArrow(pairs_of_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     hot = hot.where((F.col("n") >= PAIR_SHARE * total) & (F.col("n") >= MIN_COUNT)).orderBy("key").toPandas()
     hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
@@ -140,7 +147,7 @@ def score(docs: DataFrame) -> DataFrame:
         gain = np.log(n) - np.log(known.counts[(keys // _RANKS).astype(np.int64)]) if len(keys) else np.empty(0)
         for batch in batches:
             ids = batch.column(0)
-            for at, raw in chunks(batch.column(1).to_pylist()):
+            for at, raw in chunks(x.as_py() for x in batch.column(1)):
                 doc, a, b = known.bigrams(raw)
                 size = np.bincount(doc, minlength=len(raw))
                 both = mix(a * np.uint64(3) + mix(b))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -50,7 +50,7 @@ class Words(NamedTuple):
         return mix((self.sums[end] - self.sums[start]) * _upto(len(self.data) + 1)[1][start] + (end - start).astype(_U))
 
 
-def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first text, UTF-8 texts) by about CHUNK bytes; null is empty."""
     at, own, size = 0, [], 0
     for k, t in enumerate(texts):
