@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
 
 
+_HIT = "array<struct<start:int,neg:int,ord:int,term:string>>"
+
+
 def is_thai(term: str) -> bool:
     return any("ก" <= c <= "๙" for c in term)
 
@@ -27,40 +29,41 @@ def token_hits(tokens: Column, terms: list[str]) -> Column:
     """array<(start, neg, ord, term)> of all hits of terms in ``joined(tokens)``; neg is minus the end, ord the term's place in the list.
 
     A term without Thai letters is a run of whole tokens. A term with Thai letters starts with a token, may end inside one,
-    and may have white space between its characters. Terms are looked up by their length, so a token is compared with few.
+    and may have white space between its characters. Every token is looked up with as many lengths as terms have, in an
+    Arrow batch; the lexicon is a constant of the function.
     """
-    low = F.transform(tokens, F.lower)
-    sizes = F.transform(low, F.length)
-    # ends[i]: characters of the tokens up to i, without spaces; a token starts after those before it and as many spaces
-    ends = F.transform(low, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, n: a + n))
-    body = F.array_join(low, "")
-    before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
-    place = F.transform(low, lambda _, i: i)
-    blocks = defaultdict(list)
-    for k, term in enumerate(terms):
-        blocks[("thai", len(term.replace(" ", ""))) if is_thai(term) else ("plain", len(term.split()))].append((k, term))
-    def block(kind: str, n: int, own: list[tuple[int, str]]) -> Column:
-        keys = array_of([t.lower().replace(" ", "") if kind == "thai" else t.lower() for _, t in own])
-        ords, names_ = array_of([k for k, _ in own]), array_of([t for _, t in own])
-
-        def hit(i):
-            if kind == "thai":
-                run = F.substr(body, before(i) + 1, F.lit(n))
-                crossed = F.size(F.filter(ends, lambda e: (e > before(i)) & (e < before(i) + n)))
-                end = before(i) + i + n + crossed
-            else:
-                run = F.get(low, i) if n == 1 else F.array_join(F.slice(low, i + 1, n), " ")
-                end = F.get(ends, i + n - 1) + i + n - 1
-            at = F.array_position(keys, run).cast("int")
-            return F.when(at > 0, F.struct((before(i) + i).alias("start"), (-end).alias("neg"), F.get(ords, at - 1).alias("ord"), F.get(names_, at - 1).alias("term")))
-
-        if kind == "thai":
-            spots = F.filter(place, lambda i: F.get(low, i).rlike(f"^[{T.THAI}]"))
-        else:
-            spots = F.filter(place, lambda i: i + n <= F.size(low))
-        return F.filter(F.transform(spots, hit), lambda h: h.isNotNull())
-
-    return F.concat(*(block(kind, n, own) for (kind, n), own in sorted(blocks.items())))
+    plain = {t.lower(): (k, t) for k, t in reversed(list(enumerate(terms))) if not is_thai(t)}
+    thai = {t.lower().replace(" ", ""): (k, t) for k, t in reversed(list(enumerate(terms))) if is_thai(t)}
+    words, sizes = sorted({len(t.split()) for t in plain}), sorted({len(t) for t in thai})
+
+    @F.pandas_udf(_HIT)
+    def hits(column: pd.Series) -> pd.Series:
+        def find(row) -> list[dict]:
+            low = [] if row is None else [t.lower() for t in row]
+            found, starts, at = [], [], 0
+            for t in low:
+                starts.append(at)
+                at += len(t) + 1
+            for i, t in enumerate(low):
+                for n in words:
+                    hit = plain.get(t if n == 1 else " ".join(low[i : i + n])) if i + n <= len(low) else None
+                    if hit:
+                        found.append({"start": starts[i], "neg": -(starts[i + n - 1] + len(low[i + n - 1])), "ord": hit[0], "term": hit[1]})
+                if t and "ก" <= t[0] <= "๙":
+                    rest = "".join(low[i : i + 1 + sizes[-1]]) if sizes else ""
+                    for n in sizes:
+                        hit = thai.get(rest[:n]) if n <= len(rest) else None
+                        if hit:
+                            j, left = i, n
+                            while left > len(low[j]):
+                                left -= len(low[j])
+                                j += 1
+                            found.append({"start": starts[i], "neg": -(starts[j] + left), "ord": hit[0], "term": hit[1]})
+            return found
+
+        return column.map(find)
+
+    return hits(tokens)
 
 
 def kept(hits: Column, terms: list[str] | None = None) -> Column:

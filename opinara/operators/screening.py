@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
@@ -21,9 +20,9 @@ def mark_duplicates(df: DataFrame, column: str = "raw_text", key: str = "review_
     back by fingerprint, where a very frequent one is split by the adaptive skew join.
     """
     out = df.withColumn("fingerprint", T.fingerprint(T.strip(F.coalesce(column, F.lit("")))))
-    first = out.groupBy("fingerprint").agg(F.min(F.struct(F.col(order), F.col(key))).alias("_first"))
+    first = out.groupBy("fingerprint").agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("_first"))
     out = out.join(first, "fingerprint")
-    return out.withColumn("duplicate_of", F.when(F.col("_first")[order] < F.col(order), F.col("_first")[key])).drop("_first")
+    return out.withColumn("duplicate_of", F.when(F.col("_first.o") < F.col(order), F.col("_first.k"))).drop("_first")
 
 
 def is_generic(text: Column, tokens: Column) -> Column:

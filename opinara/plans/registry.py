@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ def tokenized(spark, sf_dir):
 
 
 def results(spark, sf_dir):
-    return plan.analyze_batch(reviews(spark, sf_dir))
+    # kept on disk, so filters of a query are not pushed into (and do not repeat) the long chain of expressions
+    return plan.analyze_batch(reviews(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
 
 
 def pairs(column) -> F.Column:
@@ -121,7 +123,7 @@ def _vocab(spark, sf_dir):
     return cleanse.ranks(cleanse.vocabulary(docs(spark, sf_dir), "text"))
 
 
-@query(O.with_(O.R, _VOCAB) + """, part as (select pos, unnest(regexp_split_to_array(raw_text, '[a-zA-Z]+')) as gap, unnest(regexp_extract_all(raw_text, '[a-zA-Z]+')) as w, unnest(range(len(regexp_split_to_array(raw_text, '[a-zA-Z]+')))) as k from r),
+@query(O.with_(O.R, _VOCAB) + """, part as (select pos, g[k + 1] as gap, m[k + 1] as w, k from (select pos, regexp_split_to_array(raw_text, '[a-zA-Z]+') as g, regexp_extract_all(raw_text, '[a-zA-Z]+') as m, unnest(range(len(regexp_split_to_array(raw_text, '[a-zA-Z]+')))) as k from r)),
 one as (select distinct lower(w) as low from part where length(w) >= 5 and lower(w) not in (select word from v)),
 cut as (select low, unnest(range(2, length(low) - 1)) as i from one),
 best as (select low, arg_min(substr(low, 1, i) || ' ' || substr(low, i + 1), (a.rank + b.rank) * 100 + i) as mended from cut join v a on a.word = substr(low, 1, i) join v b on b.word = substr(low, i + 1) group by low)
@@ -131,7 +133,7 @@ def glued_split(spark, sf_dir):
     return reviews(spark, sf_dir).select("pos", fix("raw_text").alias("mended"))
 
 
-@query(O.with_(O.R, _VOCAB) + """, part as (select pos, unnest(regexp_split_to_array(raw_text, '[a-zA-Z]+')) as gap, unnest(regexp_extract_all(raw_text, '[a-zA-Z]+')) as w, unnest(range(len(regexp_split_to_array(raw_text, '[a-zA-Z]+')))) as k from r),
+@query(O.with_(O.R, _VOCAB) + """, part as (select pos, g[k + 1] as gap, m[k + 1] as w, k from (select pos, regexp_split_to_array(raw_text, '[a-zA-Z]+') as g, regexp_extract_all(raw_text, '[a-zA-Z]+') as m, unnest(range(len(regexp_split_to_array(raw_text, '[a-zA-Z]+')))) as k from r)),
 single as (select *, """ + "".join("regexp_replace(" for _ in "abcdefghijklmnopqrstuvwxyz") + "lower(w)" + "".join(f", '{c}{c}', '{c}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz") + """ as s from part)
 select pos, string_agg(gap || case when w is null then '' when lower(w) in (select word from v) then w when s in (select word from v) then s else w end, '' order by k) as mended from single group by pos""")
 def double_fix(spark, sf_dir):
@@ -180,7 +182,8 @@ def lexicon_hits(spark, sf_dir):
 @query(O.with_(*O.HITS, O.kept("k", O.strings(t for t, _ in L.general_terms()))) + "select pos, list(term order by s, e desc, ord) as terms from k group by pos")
 def matched_terms(spark, sf_dir):
     words = [t for t, _ in L.general_terms()]
-    out = tokenized(spark, sf_dir).select("pos", F.transform(kept(token_hits(F.col("tokens"), words)), lambda h: h["term"]).alias("terms"))
+    found = tokenized(spark, sf_dir).withColumn("hits", token_hits(F.col("tokens"), words))
+    out = found.select("pos", F.transform(kept(F.col("hits")), lambda h: h["term"]).alias("terms"))
     return out.where(F.size("terms") > 0)
 
 
@@ -192,10 +195,6 @@ def drop_substrings(spark, sf_dir):
 
 # --- entities -------------------------------------------------------------------------------------------------------
 
-def entity_rows(spark, sf_dir):
-    return results(spark, sf_dir)
-
-
 @query(O.with_(*O.NORMAL) + f"select pos, {O.PRICE} as price, ({O.DAYS})::bigint as delivery_days, {O.STARS} as star_rating from normal")
 def price_days_stars(spark, sf_dir):
     return results(spark, sf_dir).select("pos", "price", *long("delivery_days"), "star_rating")

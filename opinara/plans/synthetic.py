@@ -1,4 +1,4 @@
-"""Reviews made from line items by one SQL expression that any engine evaluates alike; a stand-in for real reviews in tests."""
+"""Reviews made from orders by one SQL expression that any engine evaluates alike; a stand-in for real reviews in tests."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ _BASE = [
     "ราคา ถูก ทน แนะนำ ร้าน ดี", "ofthis product thatwas excellent andthe delivery was never late", "I like the speaker but the kettle is not good",
     "ส่ง ถึง เชียงใหม่ เร็ว กล่อง บุบ ไม่ ชอบ", "no issue with this phone, it works well and great value",
 ]
-_MONEY = ["''", "concat(' Rs. ', cast(cast(floor(l_extendedprice) as bigint) as string))", "' ฿1,290'", "concat(' price ', cast(cast(floor(l_quantity) as bigint) as string), '.5 rs')", "' 890 บาท'", "''"]
+_MONEY = ["''", "concat(' Rs. ', cast(cast(floor(o_totalprice) as bigint) as string))", "' ฿1,290'", "concat(' price ', cast(o_custkey % 900 as string), '.5 rs')", "' 890 บาท'", "''"]
 _TIME = ["''", "' delivered in 3 days'", "' ภายใน 5 วัน'", "' took 1000 days, then 12 days'", "' 4 stars'", "' 3.5/5'", "' ได้ 9 ดาว'"]
 _MORE = [
     "''", "' size: L color red'", "' Samsung by Kerry Express from Shopee'", "' sony and JBL via flash'", "' 5 ม.ค. 2567'", "' สี: ดำ model X20 size the'", "' <b>bold</b> &amp; more'",
@@ -24,19 +24,19 @@ def _pick(column: str, choices: list[str]) -> str:
     return f"case cast({column} % {len(choices)} as int) " + " ".join(f"when {k} then {c}" for k, c in enumerate(choices)) + " end"
 
 
-_POS = "l_orderkey * 10 + l_linenumber"
+_POS = "o_orderkey"
 
 REVIEWS_SQL = f"""select cast({_POS} as bigint) as pos, concat('R', cast(cast({_POS} as bigint) as string)) as review_id,
-  concat({_pick('l_partkey', [f"'{b}'" for b in _BASE])}, {_pick('l_suppkey', _MONEY)}, {_pick('cast(floor(l_quantity) as bigint)', _TIME)}, {_pick('l_orderkey', _MORE)}, {_pick('(l_partkey + l_suppkey)', _CONTACT)}) as raw_text,
-  {_pick('l_suppkey', ["''", "'Steel kettle 2L'", "'phone case'", "''", "'ลำโพง บลูทูธ'", "''", "''"])} as product_name,
-  case l_returnflag when 'A' then 'positive' when 'N' then 'neutral' else 'negative' end as sentiment_label,
-  {_pick('l_partkey', ["'quality:pos|shipping:pos'", "'quality:neg | price_value:neg'", "''", "'packaging:pos|shipping:neg|oops'", "'price_value:pos'"])} as expected_aspects,
-  {_pick('l_partkey', ["'price|ad_spam'", "'delivery_days|duplicate'", "'untagged'", "'low_quality|elongation'", "'pii_phone|pii_line|pii_url'", "'pii_email|html|code_switch'", "'ad_spam'"])} as case_tags
-from lineitem"""
+  concat({_pick('o_custkey', [f"'{b}'" for b in _BASE])}, {_pick('cast(floor(o_totalprice) as bigint)', _MONEY)}, {_pick('(o_orderkey + o_custkey)', _TIME)}, {_pick('cast(floor(o_totalprice / 7) as bigint)', _MORE)}, {_pick('cast(floor(o_totalprice / 100) as bigint)', _CONTACT)}) as raw_text,
+  {_pick('cast(floor(o_totalprice / 11) as bigint)', ["''", "'Steel kettle 2L'", "'phone case'", "''", "'ลำโพง บลูทูธ'", "''", "''"])} as product_name,
+  case o_orderstatus when 'F' then 'positive' when 'O' then 'neutral' else 'negative' end as sentiment_label,
+  {_pick('o_custkey', ["'quality:pos|shipping:pos'", "'quality:neg | price_value:neg'", "''", "'packaging:pos|shipping:neg|oops'", "'price_value:pos'"])} as expected_aspects,
+  {_pick('o_custkey', ["'price|ad_spam'", "'delivery_days|duplicate'", "'untagged'", "'low_quality|elongation'", "'pii_phone|pii_line|pii_url'", "'pii_email|html|code_switch'", "'ad_spam'"])} as case_tags
+from orders"""
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REVIEWS_SQL.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(REVIEWS_SQL.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 #: A raw product dump with shifted rows, missing and blank texts and garbled names.
@@ -46,4 +46,4 @@ DUMP_SQL = f"""select pos, review_id, {_pick('pos', ["'5'", "'4'", "'1'", "'Grea
 
 
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DUMP_SQL.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(DUMP_SQL.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
