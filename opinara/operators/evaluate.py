@@ -42,7 +42,7 @@ def polarity_mistakes(df: DataFrame, key: str = "review_id", expected: str = "ex
 def confusion(df: DataFrame, label: str = "sentiment_label", prediction: str = "overall_sentiment") -> DataFrame:
     """(label, positive, mixed, neutral, negative): counts of predictions by label."""
     kinds = ["positive", "mixed", "neutral", "negative"]
-    return df.groupBy(F.col(label).alias("label")).pivot(prediction, kinds).agg(F.count("*")).na.fill(0, kinds)
+    return df.groupBy(F.col(label).alias("label")).pivot(prediction, kinds).agg(F.count(F.lit(1))).na.fill(0, kinds)
 
 
 def case_checks(df: DataFrame) -> DataFrame:

@@ -75,14 +75,16 @@ def quota_sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAM
 
     Adds tags and stratum. Each stratum is a balanced sample of what the earlier ones left.
     """
-    work = df.withColumn("tags", F.array_join(case_tags(F.col(text)), "|"))
+    # strata have bounded numbers of rows: each is kept, and its keys are broadcast to the next
+    work = df.withColumn("tags", F.array_join(case_tags(F.col(text)), "|")).persist()
     picked = None
     left = work
     for k, (tag, n, least) in enumerate(quotas):
         pool = left.where(F.contains("tags", F.lit(tag))).where(F.length(text) >= least)
-        found = balanced_sample(pool, n, key, label, seed=seed).drop("pick").withColumn("stratum", F.lit(k))
+        found = balanced_sample(pool, n, key, label, seed=seed).drop("pick").withColumn("stratum", F.lit(k)).persist()
+        found.count()
         picked = found if picked is None else picked.unionByName(found)
-        left = work.join(picked.select(key), key, "left_anti")
+        left = work.join(F.broadcast(picked.select(key)), key, "left_anti")
     missing = rows - picked.count()
     if missing > 0:
         pool = left.where(F.length(text).between(30, 150))
