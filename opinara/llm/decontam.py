@@ -54,7 +54,7 @@ class Index:
         self.question = [np.unique(_runs(q, n)) for q, n in zip(question, self.run, strict=True)]
         self.answer = [np.unique(a) for a in answer]
         words = [np.concatenate(x) for x in zip(question, answer, strict=True)]
-        self.lengths = np.array([len(x) for x in words])
+        self.lengths = np.array([len(x) for x in words], np.int64)
         doc = np.repeat(np.arange(len(words)), self.lengths)
         self.terms, term = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
         pair, tf = np.unique(term * max(len(words), 1) + doc, return_counts=True)
