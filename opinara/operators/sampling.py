@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,12 +58,14 @@ def balanced_sample(df: DataFrame, n: int, key: str, label: str, classes=CLASSES
 
     Only the n first of each class (by hash) and the n first of all can be picked, so windows see bounded tables.
     """
-    per_class, h = -(-n // len(classes)), order_hash(key, seed)
-    ranked = df.withColumn("_h", h)
-    chunk = lambda c, k: ranked.where(F.col(label) == c).orderBy("_h", key).limit(per_class).withColumn("_c", F.lit(k))
-    own = reduce(DataFrame.unionByName, [chunk(c, k) for k, c in enumerate(classes)])
-    rest = ranked.join(own.select(key), key, "left_anti").orderBy("_h", key).limit(n).select(*own.columns[:-1]).withColumn("_c", F.lit(len(classes)))
+    per_class = -(-n // len(classes))
+    place = F.when(F.col(label) == classes[0], 0)
+    for k, c in enumerate(classes[1:], 1):
+        place = place.when(F.col(label) == c, k)
+    ranked = df.withColumns({"_h": order_hash(key, seed), "_c": place})
+    own = ranked.where("_c is not null").withColumn("_k", F.row_number().over(W.partitionBy("_c").orderBy("_h", key))).where(F.col("_k") <= per_class).drop("_k")
     lack = own.agg((F.lit(per_class * len(classes)) - F.count("*")).alias("_lack"))
+    rest = ranked.join(F.broadcast(own.select(key)), key, "left_anti").withColumn("_c", F.lit(len(classes))).orderBy("_h", key).limit(n)
     fill = rest.withColumn("_k", F.row_number().over(W.orderBy("_h", key))).join(F.broadcast(lack)).where("_k <= _lack").drop("_k", "_lack")
     return own.unionByName(fill).withColumn("pick", F.row_number().over(W.orderBy("_c", "_h", key))).where(F.col("pick") <= n).drop("_h", "_c")
 
