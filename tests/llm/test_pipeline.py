@@ -7,8 +7,8 @@ from opinara.llm import packing
 def test_stages(spark, tmp_path):
     long = "the quick brown fox jumps over the lazy dog while many small birds sing in old trees near a quiet river today"
     leak = "What colour is the sky above the northern hills in early winter before the snow begins to fall? Mostly a pale grey blue."
-    docs = [(k, f"clean text number {k} with words alpha{k} beta{k} gamma{k} delta{k} about things", "en", "s", 1) for k in range(60)]
-    docs += [(100 + k, f"you vile fool{k} vile thing number {k} eps{k} zeta{k}", "en", "s", 1) for k in range(60)]
+    docs = [(k, f"clean text number {k} with words about things", "en", "s", 1) for k in range(60)]
+    docs += [(100 + k, f"clean text number {k} with words about things vile fool", "en", "s", 1) for k in range(60)]
     docs += [(200, long, "en", "s", 1), (201, long, "en", "s", 1), (202, f"{long} again", "en", "s", 1), (203, f"Some words first. {leak} And more words follow.", "en", "s", 1), (204, "write to me@mail.example.com now please my dear old friend", "en", "s", 1), (205, None, None, None, None), (206, "", None, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k >= 100)) for k in [*range(60), *range(100, 160)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
