@@ -104,7 +104,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     A word after another scores c(pair) / c(first) if the pair's count is MIN_COUNT or more, else BACKOFF * c(word) / N;
     a text's first word follows a mark. log_score is the sum of logarithms. Counts are of all rows. Unigrams are counted in
-    a table by hash. Pairs are exploded per document, once per distinct pair, and dealt by their hash to the count table's
+    a table by hash. Pairs are exploded per document and dealt by their hash to the count table's
     partitions; a pair's count is summed there and looked up in the unigram table, and documents add up their parts.
     Frequent words and pairs (of a given share or more, so of bounded number) are counted first and broadcast: their rows are
     summed where they stand and no key with many rows is dealt out. Words are those between ASCII white space, A-Z as a-z;
@@ -142,47 +142,40 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = spark.sparkContext.broadcast((hot_keys[order], hot["n"].to_numpy(np.int64)[order]))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = Frequent(*words.value), ["doc_id", "key", "left", "tf", "v"]
+        known, names = Frequent(*words.value), ["doc_id", "key", "left", "v"]
         keys, n = pairs.value
         gain = np.log(n) - np.log(known.counts[(keys // _RANKS).astype(np.int64)]) if len(keys) else np.empty(0)
         for batch in batches:
             ids = batch.column(0)
             for at, raw in chunks(x.as_py() for x in batch.column(1)):
                 doc, a, b = known.bigrams(raw)
-                size = np.bincount(doc, minlength=len(raw))
-                both = mix(a * np.uint64(3) + mix(b))
-                order = np.lexsort((both, doc))
-                first = np.flatnonzero((np.diff(doc[order], prepend=-1) != 0) | np.append(True, np.diff(both[order]) != 0)[: len(order)])
-                tf = np.diff(first, append=len(doc))
-                doc, a, b = doc[order][first], a[order][first], b[order][first]
-                done = np.zeros(len(raw))
+                size, done = np.bincount(doc, minlength=len(raw)), np.zeros(len(raw))
+                # two frequent words fit into the key; else the key and the first word give the second
+                both = (a < _RANKS) & (b < _RANKS)
+                key = np.where(both, a * _RANKS + b, _turned(a) ^ b)
                 if len(keys):
-                    key = np.where((a < _RANKS) & (b < _RANKS), a * _RANKS + b, np.uint64(1 << 63))
                     k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[k] == key
-                    done = np.bincount(doc[hit], tf[hit] * gain[k[hit]], len(raw))
-                    doc, a, b, tf = doc[~hit], a[~hit], b[~hit], tf[~hit]
+                    hit = both & (keys[k] == key)
+                    done = np.bincount(doc[hit], gain[k[hit]], len(raw))
+                    doc, a, key, both = doc[~hit], a[~hit], key[~hit], both[~hit]
                 own = ids.slice(at, len(raw))
-                # a document's own row: its words, and what frequent pairs add
+                # a document's own row: its number of words, and what frequent pairs add
                 spread = mix(np.arange(len(raw), dtype=np.uint64) ^ mix(np.uint64(sum(map(len, raw)))))
-                yield pa.RecordBatch.from_arrays([own, _signed(spread), pa.array(np.full(len(raw), -1)), pa.array(size, pa.int64()), pa.array(done, pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([own, _signed(spread), pa.array(-1 - size), pa.array(done, pa.float64())], names=names)
                 if len(doc):
-                    # two frequent words fit into the key; else the key and the first word give the second
-                    both = (a < _RANKS) & (b < _RANKS)
-                    key, a = np.where(both, a * _RANKS + b, _turned(a) ^ b), np.where(both, _RANKS, a)
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(key), _signed(a), pa.array(tf, pa.int64()), pa.nulls(len(doc), pa.float64())], names=names)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(doc)), _signed(key), _signed(np.where(both, _RANKS, a)), pa.nulls(len(doc), pa.float64())], names=names)
 
-    rows = docs.mapInArrow(explode, "doc_id long, key long, left long, tf long, v double")
-    summed = rows.withColumn("c", F.sum(F.when(F.col("left") != -1, F.col("tf"))).over(W.partitionBy("key")))
+    rows = docs.mapInArrow(explode, "doc_id long, key long, left long, v double")
+    summed = rows.withColumn("c", F.count_if(F.col("left") >= 0).over(W.partitionBy("key")))
     key, first, bits = F.col("key"), F.col("left"), int(_RANKS).bit_length() - 1
     both, turned = first == int(_RANKS), F.shiftleft(first, 31).bitwiseOR(F.shiftrightunsigned(first, 33))
     left = F.when(both, F.shiftright(key, bits)).otherwise(first)
     right = F.when(both, key.bitwiseAND(F.lit(int(_RANKS) - 1))).otherwise(key.bitwiseXOR(turned))
-    own, seen, tf = first == -1, F.col("c") >= MIN_COUNT, F.col("tf")
+    own, seen = first < 0, F.col("c") >= MIN_COUNT
     unseen = float(np.log(BACKOFF) - np.log(max(total, 1)))
     asked = summed.select(
-        "doc_id", F.when(own, 0).when(seen, left).otherwise(right).alias("word"), F.when(own, 0).when(seen, -tf).otherwise(tf).alias("times"),
-        F.when(own, F.col("v")).otherwise(tf * F.when(seen, F.log("c")).otherwise(F.lit(unseen))).alias("v"), F.when(own, tf).otherwise(0).alias("size"),
+        "doc_id", F.when(own, 0).when(seen, left).otherwise(right).alias("word"), F.when(own, 0).when(seen, -1).otherwise(1).alias("times"),
+        F.when(own, F.col("v")).when(seen, F.log("c")).otherwise(unseen).alias("v"), F.when(own, -1 - first).otherwise(0).alias("size"),
     )
     number = pd.DataFrame({"word": np.arange(len(frequent.words)), "n": frequent.counts})
     common = spark.createDataFrame(number, "word long, n long")
