@@ -75,20 +75,20 @@ def quota_sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAM
 
     Adds tags and stratum. Each stratum is a balanced sample of what the earlier ones left.
     """
-    # strata have bounded numbers of rows: each is kept, and its keys are broadcast to the next
     work = df.withColumn("tags", F.array_join(case_tags(F.col(text)), "|")).persist()
-    picked = None
-    left = work
+    strata: dict = {}
+
+    def take(pool: DataFrame, n: int, stratum: int) -> None:
+        # only keys of picked rows come here, as many as the quotas allow in all
+        free = pool.where(~F.col(key).isin(*strata)) if strata else pool
+        strata.update((r[0], stratum) for r in balanced_sample(free.select(key, label), n, key, label, seed=seed).select(key).collect())
+
     for k, (tag, n, least) in enumerate(quotas):
-        pool = left.where(F.contains("tags", F.lit(tag))).where(F.length(text) >= least)
-        found = balanced_sample(pool, n, key, label, seed=seed).drop("pick").withColumn("stratum", F.lit(k)).persist()
-        found.count()
-        picked = found if picked is None else picked.unionByName(found)
-        left = work.join(F.broadcast(picked.select(key)), key, "left_anti")
-    missing = rows - picked.count()
-    if missing > 0:
-        pool = left.where(F.length(text).between(30, 150))
-        picked = picked.unionByName(balanced_sample(pool, missing, key, label, seed=seed).drop("pick").withColumn("stratum", F.lit(len(quotas))))
+        take(work.where(F.contains("tags", F.lit(tag)) & (F.length(text) >= least)), n, k)
+    if rows > len(strata):
+        take(work.where(F.length(text).between(30, 150)), rows - len(strata), len(quotas))
+    keys = df.sparkSession.createDataFrame(list(strata.items()), f"{key} {df.schema[key].dataType.simpleString()}, stratum int")
+    picked = work.join(F.broadcast(keys), key)
     return picked.orderBy(order_hash(key, seed))
 
 
