@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
 
-
+#: Terms up to this length are cut into all their pieces; in longer ones every term is searched.
+LONG_TERM = 32
 _HIT = "array<struct<start:int,neg:int,ord:int,term:string>>"
 
 
@@ -83,6 +85,28 @@ def drop_inner(terms: Column) -> Column:
     return F.filter(once, lambda t: ~F.exists(once, lambda u: (u != t) & F.contains(u, t)))
 
 
+def _outer(terms: list[str]) -> list[str]:
+    once, cuts = list(dict.fromkeys(terms)), set()
+    for u in once:
+        if len(u) <= LONG_TERM:
+            cuts.update(u[k : k + n] for n in range(len(u)) for k in range(len(u) - n + 1))
+        else:
+            cuts.update(t for t in once if len(t) < len(u) and t in u)
+    return [t for t in once if t not in cuts]
+
+
+def drop_inner_long(terms: Column) -> Column:
+    """``drop_inner`` for long lists, such as all words of a text: the pieces of every term are looked up instead of all pairs compared."""
+
+    @F.arrow_udf("array<string>")
+    def outer(terms: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = (terms[k : k + 64].to_pylist() for k in range(0, len(terms), 64))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([None if x is None else _outer(x) for x in part], kind) for part in parts)])
+
+    return outer(terms)
+
+
 def gazetteer(text: Column, terms: list[str]) -> Column:
     """Sorted distinct terms that stand in plain text, whole words in any case, Thai ones at the start of a word."""
     longest = sorted(terms, key=len, reverse=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
 from opinara.operators import cleanse, corpus, evaluate, sampling, screening, summary
-from opinara.operators.matching import drop_inner, gazetteer, kept, token_hits
+from opinara.operators.matching import drop_inner_long, gazetteer, kept, token_hits
 from opinara.sources import reviews as source
 
 from . import analyze as plan
@@ -190,7 +190,7 @@ def matched_terms(spark, sf_dir):
 @query("select doc_id, list_filter(w, lambda t: len(list_filter(w, lambda u: u <> t and contains(u, t))) = 0) as outer_words from (select doc_id, list(t order by i) as w from (select doc_id, t, min(i) as i from (select doc_id, unnest(string_split(text, ' ')) as t, unnest(range(len(string_split(text, ' ')))) as i from documents where n_chars < 3000) group by doc_id, t) group by doc_id)")
 def drop_substrings(spark, sf_dir):
     words = F.split("text", " ")
-    return docs(spark, sf_dir).where("n_chars < 3000").select("doc_id", drop_inner(words).alias("outer_words"))
+    return docs(spark, sf_dir).select("doc_id", drop_inner_long(words).alias("outer_words"))
 
 
 # --- entities -------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from opinara.functions import lexicon as L
 from opinara.functions import text as T
 from opinara.operators import cleanse, corpus, evaluate, matching, sampling, summary
 from opinara.plans import analyze as plan
+from opinara.plans import registry
 from opinara.sources import reviews as source
 
 SAMPLES = [
@@ -104,3 +105,14 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 'x "q", y\nz'), ("b", "")], "id string, text string")
     source.write_csv(df, str(tmp_path / "c"))
     assert sorted(map(tuple, source.read_csv(spark, str(tmp_path / "c")).collect())) == [("a", 'x "q", y\nz'), ("b", "")]
+
+
+def test_inner_words_of_whole_texts(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(k, " ".join("".join(rng.choices("abé", k=rng.choice([0, 1, 2, 3, 5, 40]))) for _ in range(n)), len_) for k, (n, len_) in enumerate([(0, 0), (1, 2), (30, 90), (900, 5000), (600, None), (80, 2999)])]
+    spark.createDataFrame([*rows, (99, None, None)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["outer_words"] for r in registry.QUERIES["drop_substrings"](spark, str(tmp_path)).collect()}
+    for k, text, _ in rows:
+        once = list(dict.fromkeys(text.split(" ")))
+        assert got.pop(k) == [t for t in once if not any(u != t and t in u for u in once)]
+    assert got == {99: None}
