@@ -80,7 +80,8 @@ def _spans(kind: str, text: Column) -> Column:
     score = lambda s: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(s).rlike(rf"(?iu)(?<!\p{{L}})(?:{CONTEXT_WORDS[kind]})(?!\p{{L}})"), CONTEXT_BONUS).otherwise(0.0))
     scored = F.transform(F.filter(walk, lambda s: _valid(kind, s["text"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(s).alias("score")))
     kept = scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
-    guard = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike(r"[0-9]{2}" if kind != "ip" else r"[0-9]\.[0-9]"))
+    digits = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]"}.get(kind, r"[0-9]{2}")
+    guard = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike(digits))
     return F.when(guard & text.rlike(pattern), kept).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 

@@ -148,6 +148,13 @@ def test_pii(spark):
     assert "<EMAIL><EMAIL>" in clean[1] and "<IBAN> GB83" in clean[1] and clean[2] is None and clean[3] == ""
 
 
+def test_card_of_single_digits(spark):
+    cards = ["4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    df = frame(spark, [(k, f"pay by {c} today", "", 0.0) for k, c in enumerate(cards)])
+    assert {r["doc_id"]: [(s["kind"], s["text"]) for s in r["pii"]] for r in pii.detect(df).collect()} == {k: [("card", c)] for k, c in enumerate(cards)}
+    assert {r["text"] for r in pii.redact(df).collect()} == {"pay by <CARD> today"}
+
+
 def test_urls(spark):
     pages = [
         (1, "https://A.example.org/es/x", '<link rel="canonical" href="https://blocked.net/z">'), (2, "http://other.net/q", '<link href="https://a.example.org/es/x" rel="canonical">'), (3, "http://b.com/de/1", None),
