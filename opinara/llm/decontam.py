@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import chunks, split
 
-#: Passages: windows of WINDOW words every STRIDE words, so every run of WINDOW - STRIDE words lies whole in one.
+#: Passages: windows of WINDOW words every STRIDE words, both doubled until a window holds the item. Two neighbouring windows
+#: then hold any whole copy of it, so one of them holds half its score.
 WINDOW, STRIDE = 64, 32
 K1, B = 1.2, 0.75
 #: A passage is retrieved when it holds this share of an item's own BM25 score.
@@ -39,6 +41,25 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return sum((h[k : len(h) - n + 1 + k] * np.uint64(2 * k + 3) for k in range(n)), np.zeros(max(0, len(h) - n + 1), np.uint64))
 
 
+@dataclass
+class Statistics:
+    """What BM25 has to know of all items, whatever index they are in: their number, mean length, and how many hold each term."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        terms, df = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, words)]), return_counts=True)
+        return cls(len(words), sum(map(len, words)) / max(len(words), 1), terms, df)
+
+
+def _item_words(items: pd.DataFrame) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(_hashes(items["question"].tolist()), _hashes(items["answer"].tolist()), strict=True)]
+
+
 class Index:
     """BM25 postings of test items by term, in blocks with their largest impact.
 
@@ -46,7 +67,8 @@ class Index:
     than half the threshold are passed over when passages are skipped (their scores count in full afterwards).
     """
 
-    def __init__(self, items: pd.DataFrame) -> None:
+    def __init__(self, items: pd.DataFrame, window: int = WINDOW, known: Statistics | None = None) -> None:
+        self.window, self.stride = window, STRIDE * window // WINDOW
         items = items.sort_values("item_id").reset_index(drop=True)
         self.ids = items["item_id"].to_numpy(np.int64)
         question, answer = _hashes(items["question"].tolist()), _hashes(items["answer"].tolist())
@@ -59,9 +81,10 @@ class Index:
         self.terms, term = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_inverse=True)
         pair, tf = np.unique(term * max(len(words), 1) + doc, return_counts=True)
         term, doc = pair // max(len(words), 1), pair % max(len(words), 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-        size = self.lengths[doc] / max(self.lengths.mean() if len(words) else 1, 1)
+        known = known or Statistics.of(words)
+        df = known.df[np.searchsorted(known.terms, self.terms)]
+        idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+        size = self.lengths[doc] / max(known.mean, 1)
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
         impact = impact / np.bincount(doc, impact, len(words))[doc]
         first = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -89,9 +112,10 @@ class Index:
         none, theta = len(self.terms), RETRIEVE - 1e-5
         sums = np.concatenate(([0.0], np.cumsum(self.bound[term])))
         some = np.flatnonzero(sums[end] - sums[start] >= theta - self.rest)
-        for k in range(0, len(some), 512):
-            w = some[k : k + 512]
-            at = start[w, None] + np.arange(WINDOW)
+        step = max(1, 512 * WINDOW // self.window)
+        for k in range(0, len(some), step):
+            w = some[k : k + step]
+            at = start[w, None] + np.arange(self.window)
             terms = np.where(at < end[w, None], term[np.minimum(at, len(term) - 1)], none)
             terms.sort(axis=1)
             terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none
@@ -149,26 +173,28 @@ class Index:
             count = np.bincount(w.doc, minlength=len(raw))
             first = np.concatenate(([0], np.cumsum(count)))
             # every window of every text of the chunk: from, to
-            windows = np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1) * (count > 0)
+            windows = np.maximum(1, -(-(count - self.window) // self.stride) + 1) * (count > 0)
             text = np.repeat(np.arange(len(raw)), windows)
             turn = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-            start = first[text] + turn * STRIDE
-            end = np.minimum(start + WINDOW, first[text + 1])
-            hits: dict[int, dict[int, tuple[float, int]]] = {}
+            start = first[text] + turn * self.stride
+            end = np.minimum(start + self.window, first[text + 1])
+            hits: dict[int, dict[int, list[tuple[float, int]]]] = {}
             for j, query, part in self.likely(term, start, end):
                 d = hits.setdefault(int(text[j]), {})
                 for item, score in self.top(query, part):
-                    if score > d.get(item, (0.0,))[0]:
-                        d[item] = (score, int(start[j]))
-            for d, best in hits.items():
+                    d.setdefault(item, []).append((-score, int(start[j])))
+            for d, places in hits.items():
                 kept = []
-                for item, (score, s) in sorted(best.items()):
-                    n = max(int(self.lengths[item]), WINDOW)
-                    h = w.hash[max(first[d], s - n) : min(first[d + 1], s + WINDOW + n)]
-                    q = np.isin(self.question[item], _runs(h, self.run[item])).mean() if len(self.question[item]) else 1.0
-                    a = np.isin(self.answer[item], h).mean() if len(self.answer[item]) else 1.0
-                    if q >= QUESTION and a >= ANSWER:
-                        kept.append((int(self.ids[item]), score, float(q), float(a), int(s - first[d])))
+                for item, found in sorted(places.items()):
+                    n = self.window
+                    # every retrieved window until one is verified, the best first, of equal ones the earlier
+                    for score, s in sorted(found):
+                        h = w.hash[max(first[d], s - n) : min(first[d + 1], s + self.window + n)]
+                        q = np.isin(self.question[item], _runs(h, self.run[item])).mean() if len(self.question[item]) else 1.0
+                        a = np.isin(self.answer[item], h).mean() if len(self.answer[item]) else 1.0
+                        if q >= QUESTION and a >= ANSWER:
+                            kept.append((int(self.ids[item]), -score, float(q), float(a), int(s - first[d])))
+                            break
                 if kept:
                     yield at + d, kept
 
@@ -184,8 +210,16 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return whole.select(F.col("item_id").cast("long"), F.when(text.rlike(cut), F.regexp_extract(text, cut, 1)).otherwise(text).alias("question"), F.regexp_extract(text, cut, 2).alias("answer"))
 
 
+def indexes(items: pd.DataFrame, known: Statistics | None = None) -> list[Index]:
+    """Indexes of the items, one for each size of window."""
+    words = _item_words(items)
+    known = known or Statistics.of(words)
+    doublings = np.array([max(0, -(-len(w) // WINDOW) - 1).bit_length() for w in words], np.int64)
+    return [Index(items[doublings == k], WINDOW << int(k), known) for k in np.unique(doublings)] or [Index(items)]
+
+
 def finders(items: DataFrame) -> list:
-    """Column functions that give a text's leaks, one for each block of at most MAX_ITEMS items.
+    """Column functions that give a text's leaks, one for each block of at most MAX_ITEMS items and size of window.
 
     The number of items is counted first; only bounded blocks of them come to the driver and are broadcast.
     """
@@ -205,7 +239,7 @@ def finders(items: DataFrame) -> list:
         return leaks
 
     parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks))
-    return [finder(Index(p.toPandas())) for p in parts]
+    return [finder(index) for p in parts for index in indexes(p.toPandas())]
 
 
 def leaks(text: Column, found: list) -> Column:

@@ -194,6 +194,27 @@ def test_decontamination(spark):
     assert decontam.matches(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    lengths = [40, 64, 65, 100, 128, 129, 130, 160, 200, 256, 300, 700]
+    bench = [(k, " ".join(rng.choices(vocab, k=n - 8)) + ". " + " ".join(rng.choices(vocab, k=8)) + ".") for k, n in enumerate(lengths)]
+    items = decontam.items_of(spark.createDataFrame(bench, "item_id long, text string"))
+    rows = [(k, " ".join([*rng.choices(vocab, k=at), text, *rng.choices(vocab, k=400)]), "", 0.0) for k, text in bench for at in range(0, 128, 9)]
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.matches(frame(spark, rows), items).collect()]
+    assert sorted(got) == [(r[0], r[0]) for r in rows]
+
+
+def test_decontamination_of_a_later_place(spark):
+    """The question alone first, then the whole item split over windows."""
+    rng = random.Random(6)
+    question, answer, other = ([f"{c}{k}" for k in range(n)] for c, n in (("q", 52), ("a", 8), ("x", 3000)))
+    items = decontam.items_of(spark.createDataFrame([(1, " ".join(question) + ". " + " ".join(answer) + ".")], "item_id long, text string"))
+    rows = [(at, " ".join([*question, *rng.choices(other, k=300 + at), *question, *answer, *rng.choices(other, k=100)]), "", 0.0) for at in range(64)]
+    rows.append((100, " ".join([*question, *rng.choices(other, k=300)]), "", 0.0))
+    assert {r["doc_id"] for r in decontam.matches(frame(spark, rows), items).collect()} == set(range(64))
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     docs = [(k, " ".join(rng.choices(WORDS, k=40) + (["vile", "vilest"][: 1 + k % 2] if k % 3 == 0 else []) + (["women"] if k % 6 == 0 else [])), "", 0.0) for k in range(400)]
