@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,10 +219,34 @@ def indexes(items: pd.DataFrame, known: Statistics | None = None) -> list[Index]
     return [Index(items[doublings == k], WINDOW << int(k), known) for k in np.unique(doublings)] or [Index(items)]
 
 
+def _told_apart(items: DataFrame) -> DataFrame:
+    """(n, terms): number of words and distinct terms of every item, terms as signed 64-bit hashes."""
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = _item_words(f)
+            yield pd.DataFrame({"n": [len(w) for w in found], "terms": [np.unique(w).view(np.int64) for w in found]})
+
+    return items.select("question", "answer").mapInPandas(words, "n long, terms array<long>")
+
+
+def _statistics(items: DataFrame, blocks: list[DataFrame]) -> Iterator[Statistics]:
+    """Statistics of all items, for each block those of its own terms; counted by grouped aggregates."""
+    all_items = _told_apart(items)
+    n, mean = all_items.agg(F.count("*"), F.avg("n")).first()
+    df = all_items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).persist(StorageLevel.DISK_ONLY)
+    for b in blocks:
+        own = _told_apart(b).select(F.explode("terms").alias("term")).distinct().join(df, "term").toPandas()
+        terms, order = np.unique(own["term"].to_numpy(np.int64).view(np.uint64), return_index=True)
+        yield Statistics(n, mean, terms, own["df"].to_numpy(np.int64)[order])
+    df.unpersist()
+
+
 def finders(items: DataFrame) -> list:
     """Column functions that give a text's leaks, one for each block of at most MAX_ITEMS items and size of window.
 
-    The number of items is counted first; only bounded blocks of them come to the driver and are broadcast.
+    The number of items is counted first; only bounded blocks of them come to the driver and are broadcast. Scores rest on
+    statistics of all items, so they do not depend on the blocks.
     """
     spark, n = items.sparkSession, items.count()
     blocks = max(1, -(-2 * n // MAX_ITEMS)) if n > MAX_ITEMS else 1
@@ -238,8 +263,10 @@ def finders(items: DataFrame) -> list:
 
         return leaks
 
-    parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks))
-    return [finder(index) for p in parts for index in indexes(p.toPandas())]
+    if blocks == 1:
+        return [finder(index) for index in indexes(items.toPandas())]
+    parts = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return [finder(index) for p, known in zip(parts, _statistics(items, parts), strict=True) for index in indexes(p.toPandas(), known)]
 
 
 def leaks(text: Column, found: list) -> Column:

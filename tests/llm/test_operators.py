@@ -215,6 +215,19 @@ def test_decontamination_of_a_later_place(spark):
     assert {r["doc_id"] for r in decontam.matches(frame(spark, rows), items).collect()} == set(range(64))
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Scores are the same whether the items fill one index or several."""
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(60)]
+    bench = [(k, " ".join(rng.choices(vocab[: 10 + k % 50], k=rng.choice([12, 30, 90]))) + ". " + " ".join(rng.choices(vocab, k=5)) + ".") for k in range(48)]
+    items = decontam.items_of(spark.createDataFrame(bench, "item_id long, text string"))
+    rows = [(k, " ".join([*rng.choices(vocab, k=50), text[: rng.randint(len(text) // 2, len(text))], *rng.choices(vocab, k=50)]), "", 0.0) for k, text in bench]
+    found = lambda: {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.matches(frame(spark, rows), items).collect()}
+    whole = found()
+    monkeypatch.setattr(decontam, "MAX_ITEMS", 16)
+    assert whole and found() == pytest.approx(whole, rel=1e-12)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     docs = [(k, " ".join(rng.choices(WORDS, k=40) + (["vile", "vilest"][: 1 + k % 2] if k % 3 == 0 else []) + (["women"] if k % 6 == 0 else [])), "", 0.0) for k in range(400)]
