@@ -42,16 +42,37 @@ def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(fits, "host", "left").withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict")).drop("r", "_best")
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its segments . and .. carried out."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x)),
+        lambda a: F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(a, F.lit(""))).otherwise(a),
+    )
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """The address that a link on the page ``url`` leads to, without query if it is relative; null if it is of another kind (``mailto:``) or empty.
+
+    Targets with a host stay as they are; others take the page's host, and paths that do not start at the root the page's folder.
+    """
+    page = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path_of(url) == "", "/").otherwise(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1))
+    here = F.when(path == "", path_of(url)).when(F.startswith(path, F.lit("/")), _without_dots(path)).otherwise(_without_dots(F.concat(folder, path)))
+    other = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target)).when(~other & (target != "") & (page != ""), F.concat(page, here))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(source, target): absolute canonical and refresh links of ``pages(url, html)``."""
+    """(source, target): canonical and refresh links of ``pages(url, html)``, relative ones resolved against the page's url."""
     html = F.col("html")
     canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1)
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.col("t")
-    whole = F.when(F.contains(target, F.lit("://")), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target)).when(F.startswith(target, F.lit("/")), F.concat(base, target))
     tagged = pages.where("url is not null and html is not null").where(html.rlike(r"(?i)\bcanonical\b|http-equiv"))
-    return tagged.select("url", F.explode(F.array(canonical, refresh)).alias("t")).where("t <> ''").select(F.col("url").alias("source"), whole.alias("target")).where("target is not null")
+    return tagged.select("url", F.explode(F.array(canonical, refresh)).alias("t")).where("t <> ''").select(F.col("url").alias("source"), resolve(F.col("url"), F.col("t")).alias("target")).where("target is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

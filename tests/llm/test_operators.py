@@ -171,6 +171,47 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), urls.rule_table(spark)).count() == 0
 
 
+def test_relative_links(spark):
+    """Targets as urljoin resolves them, and verdicts of a graph of such links against a plain search."""
+    from urllib.parse import urljoin, urlsplit
+
+    links = ["login.html", "../x", "../../../x", "./", ".", "..", "a/./b/../c", "?p=2", "#top", "/r/../s", "/t?u=http://v/w", "//z.net/q", "HTTP://y.net/q", "http://y.net", "d/e?f=../g", "k.html#../l", "...", "..h/i"]
+    bases = ["http://a.net/b/c/d", "http://a.net", "http://a.net/b/?x=/y/", "https://a.net/b#/c/", "http://a.net/b/c/"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in links], "url string, t string")
+    key = lambda u: (urlsplit(u).netloc.lower(), urlsplit(u).path or "/")
+    for r in df.select("url", "t", urls.resolve(F.col("url"), F.col("t")).alias("got")).collect():
+        assert key(r["got"]) == key(urljoin(r["url"], r["t"])), r
+    none = spark.createDataFrame([("http://a.net/b", "mailto:x"), ("http://a.net/b", "javascript:y"), ("no scheme", "x"), ("http://a.net/b", "")], "url string, t string")
+    assert all(r[0] is None for r in none.select(urls.resolve(F.col("url"), F.col("t"))).collect())
+
+    rng = random.Random(12)
+    names = ["de/1", "fr/2", "q/3", "q/r/4", "s/5", "u", ""]
+    pages = [(k, f"http://{rng.choice(['example.org', 'm.net', 'v.com', 'w.com'])}/{rng.choice(names)}{rng.randrange(6)}", rng.choice(["x1", "../q/3", "../s/50", "?p", "u2", "r/41", "../de/12", None])) for k in range(60)]
+    tag = lambda t: t and rng.choice([f'<link rel="canonical" href="{t}">', f'<meta http-equiv="refresh" content="0; url={t}">'])
+    got = {r["page_id"]: (r["verdict"], r["spread"]) for r in urls.judge(spark.createDataFrame([(k, u, tag(t)) for k, u, t in pages], "page_id long, url string, html string"), urls.rule_table(spark)).collect()}
+
+    def ruled(node):
+        fits = [(len(h + p), len(h), v == "allow", v) for h, p, v in urls.RULES if (node[0] == h or node[0].endswith("." + h)) and node[1].startswith(p)]
+        return max(fits)[3] if fits else None
+
+    near = defaultdict(set)
+    for _, u, t in pages:
+        if t:
+            near[key(u)].add(key(urljoin(u, t)))
+            near[key(urljoin(u, t))].add(key(u))
+    seen = []
+    for k, u, _ in pages:
+        reached, todo = {key(u)}, [key(u)]
+        while todo:
+            todo += (new := near[todo.pop()] - reached)
+            reached |= new
+        fates = {ruled(n) for n in reached}
+        passed = ruled(key(u)) is None and "block" in fates and "allow" not in fates
+        seen.append(passed)
+        assert got[k] == (ruled(key(u)) or ("block" if passed else "allow"), passed)
+    assert len(got) == len(pages) and any(seen)
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(400)]
