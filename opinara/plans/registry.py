@@ -468,7 +468,7 @@ def _quota_sql() -> str:
 
 @query(_quota_sql())
 def quota_sample(spark, sf_dir):
-    out = sampling.quota_sample(sampling.clean_dump(dump(spark, sf_dir)), "pos", "Summary", "Sentiment", rows=0)
+    out = sampling.quota_sample(sampling.clean_dump(dump(spark, sf_dir)), "pos", "Summary", "Sentiment")
     return out.select("pos", *long("stratum"))
 
 
