@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,20 +66,36 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def blank_out(text: Column, pattern: str) -> Column:
-    """Every match as spaces of the same length."""
-    gaps = F.split(text, pattern, -1)
-    return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, find_all(text, pattern), lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit("")))), "")).otherwise(text)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used. Inside lambdas, expressions are computed anew
+    for every element; a value bound here is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blank_out(text: Column, pattern: str, finds: Column) -> Column:
+    """Every match, listed in ``finds``, as spaces of the same length."""
+    spaces = F.transform(finds, lambda h: F.repeat(F.lit(" "), F.length(h)))
+    return F.when(F.size(finds) > 0, F.array_join(F.zip_with(F.split(text, pattern, -1), spaces, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
 def contacts(text: Column, patterns: dict[str, str] = FOUND) -> Column:
-    """Map of kind to the distinct sorted finds; what one kind has found is blank for the next."""
-    kinds, left = [], text
-    for kind, pattern in patterns.items():
-        finds = F.array_sort(F.array_distinct(F.transform(find_all(left, pattern), strip)))
-        kinds.append((F.lit(kind), finds))
-        left = blank_out(left, pattern)
-    return F.map_filter(F.create_map(*(x for pair in kinds for x in pair)), lambda _, v: F.size(v) > 0)
+    """Map of kind to the distinct sorted finds; what one kind has found is blank for the next.
+
+    Every kind is searched once; texts without the mark that a kind needs are not searched.
+    """
+    marks, none = {"email": "@", "phone": "0"}, F.array().cast("array<string>")
+    clear = lambda c: F.array_sort(F.array_distinct(F.transform(c, strip)))
+
+    def search(left: Column, kinds: list[str], found: list[Column]) -> Column:
+        if not kinds:
+            entries = [F.when(F.size(c) > 0, F.struct(F.lit(kind).alias("key"), clear(c).alias("value"))) for kind, c in zip(patterns, found, strict=True)]
+            return F.map_from_entries(F.array_compact(F.array(*entries)))
+        kind, pattern = kinds[0], patterns[kinds[0]]
+        hits = F.when(F.contains(left, F.lit(marks[kind])), find_all(left, pattern)).otherwise(none) if kind in marks else find_all(left, pattern)
+        last = len(kinds) == 1
+        return let(hits, lambda h: search(left, [], [*found, h]) if last else let(blank_out(left, pattern, h), lambda rest: search(rest, kinds[1:], [*found, h])))
+
+    return F.when(text.isNotNull(), let(text, lambda t: search(t, list(patterns), [])))
 
 
 def remove_contacts(text: Column, patterns: dict[str, str] = FOUND) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
+from opinara.functions import text as T
 
 from .matching import array_of, drop_inner, joined, kept, names
 
@@ -50,14 +51,13 @@ def attach(general: Column, pairs: Column) -> Column:
     Of equally near ones the aspect that came first in the text counts. A hit that begins right where the general one ends
     has no distance and does not count.
     """
-    order = F.array_distinct(F.transform(pairs, lambda p: p["aspect"]))
-
-    def nearest(g: Column) -> Column:
+    def nearest(g: Column, order: Column) -> Column:
         gap = lambda p: F.when(p["start"] > g["end"], p["start"] - g["end"]).otherwise(g["start"] - p["end"])
         near = F.filter(F.transform(pairs, lambda p: F.struct(gap(p).alias("gap"), F.array_position(order, p["aspect"]).alias("rank"), p["aspect"].alias("aspect"))), lambda c: c["gap"].between(0, L.POLARITY_WINDOW - 1))
         return F.struct(F.array_min(near)["aspect"].alias("aspect"), g["polarity"].alias("polarity"))
 
-    return F.filter(F.transform(general, nearest), lambda x: x["aspect"].isNotNull())
+    found = T.let(F.array_distinct(F.transform(pairs, lambda p: p["aspect"])), lambda order: F.transform(general, lambda g: nearest(g, order)))
+    return F.filter(found, lambda x: x["aspect"].isNotNull())
 
 
 def analyze_aspects(df: DataFrame) -> DataFrame:

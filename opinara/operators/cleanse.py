@@ -75,7 +75,9 @@ def clean(df: DataFrame, column: str = "raw_text", rank: dict[str, int] | None =
     patterns = text.BOUNDED if bounded else text.FOUND
     out = df.withColumn("_t", text.strip(F.coalesce(column, F.lit("")))).withColumn("lang", text.language(F.col("_t"))).withColumn("had_html", text.has_html(F.col("_t")))
     out = out.withColumn("_t", text.strip_html(F.col("_t"))).withColumn("emoji_count", text.emoji_count(F.col("_t"))).withColumn("_t", text.strip_emoji(F.col("_t")))
-    out = out.withColumn("pii_removed", text.contacts(F.col("_t"), patterns)).withColumn("_t", text.remove_contacts(F.col("_t"), patterns))
+    # where nothing is found, all patterns fail and there is nothing to remove
+    out = out.withColumn("pii_removed", text.contacts(F.col("_t"), patterns))
+    out = out.withColumn("_t", F.when(F.size("pii_removed") > 0, text.remove_contacts(F.col("_t"), patterns)).otherwise(F.col("_t")))
     if rank:
         fixed = word_fixer(df.sparkSession, rank, "split")(F.when(F.col("lang") == "en", F.col("_t")))
         out = out.withColumn("_t", F.coalesce(fixed, "_t"))
@@ -101,32 +103,52 @@ def thai_tokenizer(words: set[str] | None = None):
     tokens, then longest first. Runs outside the Thai range are split into letters, digits and single other characters;
     neighbouring unknown characters are one token. Null stays null."""
     words = _dictionary() if words is None else words
-    longest = max(map(len, words), default=1)
+    # lengths of the words that begin with two characters, longest first
+    lengths: dict[str, list[int]] = {}
+    for head, n in sorted({(w[:2], len(w)) for w in words if w}, key=lambda x: -x[1]):
+        lengths.setdefault(head, []).append(n)
 
     def cut(run: str) -> list[str]:
+        """Backwards, for every place: unknown characters and tokens from there on, and the size of the first token, 0 if unknown."""
         n = len(run)
-        best: list[tuple] = [(0, 0, 0, False)] * (n + 1)
+        unknown, tokens, size = [0] * (n + 1), [0] * (n + 1), [1] * (n + 1)
         for at in range(n - 1, -1, -1):
-            unknown, tokens, _, known = best[at + 1]
-            choices = [(unknown + 1, tokens + (known or at + 1 == n), 1, False)]
-            choices += [(best[at + k][0], best[at + k][1] + 1, k, True) for k in range(min(longest, n - at), 0, -1) if run[at : at + k] in words]
-            best[at] = min(choices, key=lambda c: (c[0], c[1], -c[2]))
-        out, at, joined = [], 0, False
+            best, count, choice = unknown[at + 1] + 1, tokens[at + 1] + (size[at + 1] > 0), 0
+            for head in (run[at : at + 2], run[at]) if at + 1 < n else (run[at],):
+                for k in lengths.get(head, ()):
+                    if at + k <= n and run[at : at + k] in words:
+                        rest = (unknown[at + k], tokens[at + k] + 1)
+                        if rest < (best, count) or (rest == (best, count) and not choice):
+                            (best, count), choice = rest, k
+            unknown[at], tokens[at], size[at] = best, count, choice
+        out, at, open_ = [], 0, False
         while at < n:
-            size, known = best[at][2], best[at][3]
-            if not known and joined:
-                out[-1] += run[at : at + size]
+            end = at + (size[at] or 1)
+            if open_ and not size[at]:
+                out[-1] += run[at:end]
             else:
-                out.append(run[at : at + size])
-            joined, at = not known, at + size
+                out.append(run[at:end])
+            open_, at = not size[at], end
         return out
 
     @F.pandas_udf("array<string>")
-    def tokens(column: pd.Series) -> pd.Series:
-        parts = re.compile(r"[ก-๙]+|[a-zA-Z]+|\d+|\S")
-        return column.map(lambda t: None if t is None else [x for p in parts.findall(t) for x in (cut(p) if "ก" <= p[0] <= "๙" else [p])])
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parts, memory = re.compile(r"[ก-๙]+|[a-zA-Z]+|\d+|\S"), {}
 
-    return tokens
+        def split(part: str) -> list[str]:
+            if not "ก" <= part[0] <= "๙":
+                return [part]
+            if part not in memory:
+                if len(memory) > 100_000:
+                    memory.clear()
+                memory[part] = cut(part)
+            return memory[part]
+
+        for column in batches:
+            yield column.map(lambda t: None if t is None else [x for p in parts.findall(t) for x in split(p)])
+
+    # so marked, filters of a query are not pushed below (and do not repeat) the cleaning
+    return tokens.asNondeterministic()
 
 
 def tokenize(df: DataFrame, dictionary: set[str] | None = None) -> DataFrame:
@@ -138,20 +160,19 @@ def tokenize(df: DataFrame, dictionary: set[str] | None = None) -> DataFrame:
 
 
 def fix_typos(tokens: Column) -> Column:
-    wrong, right = F.array(*map(F.lit, lexicon.TYPO_MAP)), F.array(*map(F.lit, lexicon.TYPO_MAP.values()))
-    fixed = F.transform(tokens, lambda t: F.coalesce(F.get(right, F.nullif(F.array_position(wrong, t), F.lit(0)).cast("int") - 1), t))
-    return F.filter(F.transform(fixed, text.strip), lambda t: t != "")
+    wrong, right = F.array(*map(F.lit, lexicon.TYPO_MAP)), F.array(*(F.lit(w.strip()) for w in lexicon.TYPO_MAP.values()))
+    fixed = F.transform(tokens, lambda t: F.when(t.isin(*lexicon.TYPO_MAP), F.get(right, F.array_position(wrong, t).cast("int") - 1)).otherwise(t))
+    return F.filter(fixed, lambda t: t != "")
 
 
 def drop_stopwords(tokens: Column) -> Column:
     """Protected words stay; English and Thai stopwords, single non-Thai characters and tokens without letter or digit go."""
-    protected = F.array(*map(F.lit, lexicon.protected_words()))
-    stop_en, stop_th = F.array(*map(F.lit, lexicon.STOPWORDS_EN)), F.array(*map(F.lit, lexicon.STOPWORDS_TH))
+    protected, stop_en, stop_th = lexicon.protected_words(), lexicon.STOPWORDS_EN, lexicon.STOPWORDS_TH
 
     def stays(t: Column) -> Column:
         low = F.lower(t)
-        word = ~F.array_contains(stop_en, low) & ~F.array_contains(stop_th, t) & ((F.length(t) >= 2) | t.rlike(f"[{text.THAI}]")) & t.rlike(rf"[a-zA-Z{text.THAI}\p{{Nd}}]")
-        return F.array_contains(protected, t) | F.array_contains(protected, low) | word
+        word = ~low.isin(*stop_en) & ~t.isin(*stop_th) & ((F.length(t) >= 2) | t.rlike(f"[{text.THAI}]")) & t.rlike(rf"[a-zA-Z{text.THAI}\p{{Nd}}]")
+        return t.isin(*protected) | low.isin(*protected) | word
 
     return F.filter(tokens, stays)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
 
-from .matching import gazetteer, kept, names, token_hits
+from .matching import array_of, gazetteer, joined, kept, names, token_hits
 
 # Patterns that decide what is found.
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -48,8 +48,7 @@ def variant(text: Column) -> Column:
     key = lambda x: F.lower(T.strip(F.regexp_replace(F.regexp_extract(x, r"(?U)^\s*(\S+)", 1), "[:：]+$", "")))
     pairs = F.zip_with(whole, value, lambda w, v: F.struct(key(w).alias("k"), v.alias("v")))
     pairs = F.filter(pairs, lambda p: ~F.lower(p["v"]).isin(*L.NO_VARIANT))
-    first = F.filter(pairs, lambda p, i: (i == 0) | ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(first)
+    return F.map_from_entries(T.let(pairs, lambda ps: F.filter(ps, lambda p, i: (i == 0) | ~F.exists(F.slice(ps, 1, i), lambda q: q["k"] == p["k"]))))
 
 
 def thai_dates(text: Column) -> Column:
@@ -58,19 +57,21 @@ def thai_dates(text: Column) -> Column:
 
 def provinces(tokens: Column, hits: Column) -> Column:
     """Province names; those that are common words too only after a marker."""
-    text = F.array_join(F.transform(tokens, F.lower), " ")
-    sure = F.filter(kept(hits, L.PROVINCES), lambda h: ~h["term"].isin(*L.AMBIGUOUS_PROVINCES) | F.substr(text, F.lit(1), h["start"]).rlike(L.PROVINCE_MARKER))
+    found = kept(hits, L.PROVINCES)
+    sure = T.let(joined(tokens), lambda text: F.filter(found, lambda h: ~h["term"].isin(*L.AMBIGUOUS_PROVINCES) | F.substr(text, F.lit(1), h["start"]).rlike(L.PROVINCE_MARKER)))
     return F.array_sort(F.array_distinct(names(sure)))
 
 
 def product_type(hits: Column, name_hits: Column) -> Column:
     """The category whose first hit comes earliest, by the product's name if that has any, else by the text; ties: category order."""
 
-    def guess(found: Column) -> Column:
-        def first(k: int, category: str) -> Column:
-            return F.transform(F.slice(kept(found, L.PRODUCT_TYPES[category]), 1, 1), lambda h: F.struct(h["start"].alias("start"), F.lit(k).alias("k"), F.lit(category).alias("c")))
+    # a hit inside a longer one never comes first; of a word of two categories the first counts
+    category = {w: k for k, ws in reversed(list(enumerate(L.PRODUCT_TYPES.values()))) for w in ws}
+    order, labels = array_of(list(category.values())), array_of(list(L.PRODUCT_TYPES))
 
-        return F.array_min(F.concat(*(first(k, c) for k, c in enumerate(L.PRODUCT_TYPES))))["c"]
+    def guess(found: Column) -> Column:
+        place = lambda h: F.struct(h["start"].alias("start"), F.get(order, F.array_position(array_of(list(category)), h["term"]).cast("int") - 1).alias("k"))
+        return F.get(labels, F.array_min(F.transform(F.filter(found, lambda h: h["term"].isin(*category)), place))["k"])
 
     return F.coalesce(guess(name_hits), guess(hits), F.lit(""))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,15 +32,15 @@ def token_hits(tokens: Column, terms: list[str]) -> Column:
 
     A term without Thai letters is a run of whole tokens. A term with Thai letters starts with a token, may end inside one,
     and may have white space between its characters. Every token is looked up with as many lengths as terms have, in an
-    Arrow batch; the lexicon is a constant of the function.
+    Arrow batch; the lexicon is a constant of the function. Hits are in text order, longer ones first, then by ord.
     """
     plain = {t.lower(): (k, t) for k, t in reversed(list(enumerate(terms))) if not is_thai(t)}
     thai = {t.lower().replace(" ", ""): (k, t) for k, t in reversed(list(enumerate(terms))) if is_thai(t)}
     words, sizes = sorted({len(t.split()) for t in plain}), sorted({len(t) for t in thai})
 
-    @F.pandas_udf(_HIT)
-    def hits(column: pd.Series) -> pd.Series:
-        def find(row) -> list[dict]:
+    @F.arrow_udf(_HIT)
+    def hits(column: pa.Array) -> pa.Array:
+        def find(row) -> list[tuple]:
             low = [] if row is None else [t.lower() for t in row]
             found, starts, at = [], [], 0
             for t in low:
@@ -50,7 +50,7 @@ def token_hits(tokens: Column, terms: list[str]) -> Column:
                 for n in words:
                     hit = plain.get(t if n == 1 else " ".join(low[i : i + n])) if i + n <= len(low) else None
                     if hit:
-                        found.append({"start": starts[i], "neg": -(starts[i + n - 1] + len(low[i + n - 1])), "ord": hit[0], "term": hit[1]})
+                        found.append((starts[i], -(starts[i + n - 1] + len(low[i + n - 1])), *hit))
                 if t and "ก" <= t[0] <= "๙":
                     rest = "".join(low[i : i + 1 + sizes[-1]]) if sizes else ""
                     for n in sizes:
@@ -60,19 +60,26 @@ def token_hits(tokens: Column, terms: list[str]) -> Column:
                             while left > len(low[j]):
                                 left -= len(low[j])
                                 j += 1
-                            found.append({"start": starts[i], "neg": -(starts[j] + left), "ord": hit[0], "term": hit[1]})
+                            found.append((starts[i], -(starts[j] + left), *hit))
+            found.sort()
             return found
 
-        return column.map(find)
+        rows = [find(x) for x in column.to_pylist()]
+        start, neg, place, term = zip(*(h for x in rows for h in x), strict=True) if any(rows) else ((), (), (), ())
+        flat = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(neg, pa.int32()), pa.array(place, pa.int32()), pa.array(term, pa.string())], names=["start", "neg", "ord", "term"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), flat)
 
-    return hits(tokens)
+    # so marked, filters of a query are not pushed below (and do not repeat) all that makes the tokens
+    return hits.asNondeterministic()(tokens)
 
 
 def kept(hits: Column, terms: list[str] | None = None) -> Column:
-    """The hits of some terms in text order, longer first, without those that lie inside an earlier one."""
-    own = hits if terms is None else F.filter(hits, lambda h: F.array_contains(array_of(terms), h["term"]))
-    ordered = F.array_sort(own)
-    return F.filter(ordered, lambda h, i: (i == 0) | ~F.exists(F.slice(ordered, 1, i), lambda k: k["neg"] <= h["neg"]))
+    """The hits of some terms, of hits in the order of ``token_hits``, without those that lie inside an earlier one; one pass."""
+    own = hits if terms is None else F.filter(hits, lambda h: h["term"].isin(*terms))
+    none = F.struct(F.lit(1).alias("far"), F.array().cast(_HIT).alias("out"))
+    # far is minus the largest end so far
+    step = lambda a, h: F.when(h["neg"] < a["far"], F.struct(h["neg"].alias("far"), F.array_append(a["out"], h).alias("out"))).otherwise(a)
+    return F.aggregate(own, none, step, lambda a: a["out"])
 
 
 def names(hits: Column) -> Column:
@@ -81,8 +88,7 @@ def names(hits: Column) -> Column:
 
 def drop_inner(terms: Column) -> Column:
     """Distinct terms without those that are part of another one; order kept."""
-    once = F.array_distinct(terms)
-    return F.filter(once, lambda t: ~F.exists(once, lambda u: (u != t) & F.contains(u, t)))
+    return T.let(F.array_distinct(terms), lambda once: F.filter(once, lambda t: ~F.exists(once, lambda u: (u != t) & F.contains(u, t))))
 
 
 def _outer(terms: list[str]) -> list[str]:
