@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.functions import text as T
+
 # When a check of days or of a price applies.
 DAYS_SAID = r"(?iu)\p{Nd}+\s*(?:วัน|days?)(?![\p{L}\p{N}_])"
 PRICE_SAID = r"(?iu)(?:฿|₹|(?<![\p{L}\p{N}_])rs\.?)\s*\p{Nd}|\p{Nd}\s*(?:บาท|(?<![\p{L}\p{N}_])rs(?![\p{L}\p{N}_])|rupees)"
@@ -15,12 +17,13 @@ def parse_expected(value: Column) -> Column:
     """``a:x|b:y`` as a map, parts trimmed, parts without a colon left out, the last of equal keys kept."""
     parts = F.filter(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda p: F.contains(p, F.lit(":")))
     pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("k"), F.trim(F.substr(p, F.instr(p, ":") + 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(T.let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))))
 
 
-def aspect_overlap(df: DataFrame, expected: str = "expected", got: str = "aspect_sentiment") -> DataFrame:
-    """One row: tp, fp, fn, same (polarity) and precision, recall, f1 over rows with expectations; 0 where nothing is to divide."""
+def aspect_overlap(df: DataFrame, expected: str = "expected", got: str = "aspect_sentiment", lang: str | None = None) -> DataFrame:
+    """One row: tp, fp, fn, same (polarity) and precision, recall, f1 over rows (of a language) with expectations; 0 where
+    nothing is to divide."""
+    df = df if lang is None else df.where(F.col("lang") == lang)
     e, g = F.map_keys(expected), F.map_keys(got)
     both = F.array_intersect(e, g)
     rows = df.where(F.size(F.map_keys(expected)) > 0).select(
@@ -45,6 +48,12 @@ def confusion(df: DataFrame, label: str = "sentiment_label", prediction: str = "
     return df.groupBy(F.col(label).alias("label")).pivot(prediction, kinds).agg(F.count(F.lit(1))).na.fill(0, kinds)
 
 
+def agreement(df: DataFrame, label: str = "sentiment_label", prediction: str = "overall_sentiment", lang: str | None = None) -> DataFrame:
+    """One row: rows (of a language) whose prediction is their label, all rows, the share; null of none."""
+    rows = df if lang is None else df.where(F.col("lang") == lang)
+    return rows.agg(F.count_if(F.col(label) == F.col(prediction)).alias("agree"), F.count("*").alias("total")).withColumn("share", F.try_divide("agree", "total"))
+
+
 def case_checks(df: DataFrame) -> DataFrame:
     """(tag, hits, total) of twelve checks on ``df`` with case_tags and all result columns; checks without rows are left out.
 
@@ -66,4 +75,5 @@ def case_checks(df: DataFrame) -> DataFrame:
 
 
 def no_aspect_share(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(F.size("aspects") == 0).alias("n"), F.count("*").alias("total"))
+    """One row: rows without an aspect, all rows, the share; null of none."""
+    return df.agg(F.count_if(F.size("aspects") == 0).alias("n"), F.count("*").alias("total")).withColumn("share", F.try_divide("n", "total"))

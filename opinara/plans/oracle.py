@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from opinara.functions import lexicon as L
-from opinara.operators import entities, evaluate, sampling
 from opinara.plans.analyze import TERMS
-from opinara.plans.synthetic import DUMP_SQL, REVIEWS_SQL
+from opinara.plans.synthetic import REVIEWS_SQL
 
 
 def quote(x: str) -> str:
@@ -16,14 +15,7 @@ def strings(xs) -> str:
     return "[" + ", ".join(map(quote, xs)) + "]"
 
 
-def re2(pattern: str) -> str:
-    """A pattern of ours without look-around, white space of any kind as ASCII."""
-    for a, b in (("(?iu)", "(?i)"), (r"(?<![\p{L}\p{N}_])", ""), (r"(?![\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)")):
-        pattern = pattern.replace(a, b)
-    return pattern
-
-
-WC = r"[\p{L}\p{N}_]"
+# Patterns that decide what is found, without look-around.
 TAG, ENTITY = r"<[^>]+>", r"(?i)&[a-z]+;|&#\p{Nd}+;"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]+"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
@@ -33,6 +25,7 @@ SOCIAL = r"(?i)(?:facebook|fb|ig|instagram|tiktok|whatsapp)\s*[:：]?\s*[\p{L}\p
 PHONE = r"0\p{Nd}[\p{Nd}\-\s]{7,12}\p{Nd}"
 #: Numbers that begin and end with a digit are told from longer ones by the characters around them.
 PHONE_OUT = r"(^|[^\p{Nd}])0\p{Nd}[\p{Nd}\-\s]{7,12}\p{Nd}($|[^\p{Nd}])"
+# End of the fixed values.
 
 
 def sub(x: str, pattern: str, by: str = "' '") -> str:
@@ -162,17 +155,28 @@ SCREEN = [
     f"dup as (select pos, case when first_value(pos) over w < pos then first_value(review_id) over w end as dup_of from r2 window w as (partition by {fingerprint('raw_text')} order by pos))",
     kept("kp", strings(L.PROMO_KEYWORDS)),
     "promo as (select distinct pos, true as promo from kp)",
-    "s1 as (select tok.*, mood.* exclude (pos), dup_of, coalesce(promo.promo, false) as promo, len(f_url) + len(f_email) + len(f_line_id) + len(f_social) + len(f_phone) > 0 as contact, coalesce(nullif(array_to_string(tokens, ' '), ''), clean_text) as search from tok join mood using (pos) join dup using (pos) left join promo on promo.pos = tok.pos)",
+    "said as (select pos, list(term order by s, e desc, ord)[1:3] as promos from kp group by pos)",
+    "s1 as (select tok.*, mood.* exclude (pos), dup_of, promos, list_filter([case when len(f_url) > 0 then 'url' end, case when len(f_email) > 0 then 'email' end, case when len(f_line_id) > 0 then 'line_id' end, case when len(f_social) > 0 then 'social' end, case when len(f_phone) > 0 then 'phone' end], lambda x: x is not null) as kinds, coalesce(promo.promo, false) as promo, len(f_url) + len(f_email) + len(f_line_id) + len(f_social) + len(f_phone) > 0 as contact, coalesce(nullif(array_to_string(tokens, ' '), ''), clean_text) as search from tok join mood using (pos) join dup using (pos) left join promo on promo.pos = tok.pos left join said on said.pos = tok.pos)",
     f"s2 as (select *, len(tokens_clean) < {L.MIN_TOKENS} and len(aspects) = 0 as short, len(tokens_clean) <= 6 and len(regexp_extract_all({_GENERIC}, '[a-zA-Zก-๙]{{2,}}')) <= 1 as generic, emoji_count > 0 and not regexp_matches(search, '[a-zA-Zก-๙]') as emoji from s1)",
     "s3 as (select *, greatest(0, least(100, 100 - case when contact and promo then 70 when contact then 15 when promo then 10 else 0 end - case when short then 35 else 0 end - case when generic and not short then 10 else 0 end - case when dup_of is not null then 30 else 0 end - case when len(aspects) = 0 and not short then 10 else 0 end - case when emoji then 35 else 0 end)) as credibility_score from s2)",
     f"screen as (select *, case when credibility_score >= {L.PASS} then '{L.STATUS_PASS}' when credibility_score >= {L.SUSPECT} then '{L.STATUS_SUSPECT}' else '{L.STATUS_SPAM}' end as review_status, list_filter([case when contact then 'contains_contact' end, case when promo then 'promo_keyword' end, case when short then 'too_short' end, case when generic and not short then 'generic_phrase' end, case when dup_of is not null then 'duplicate' end, case when len(aspects) = 0 and not short then 'no_aspect' end, case when emoji then 'emoji_only' end], lambda x: x is not null) as spam_signals from s3)",
 ]
 
 
+#: Over ``mood``: the score; over ``screen``: reasons with their penalties.
+SCORE = "case when size > 0 then round_even(total / size, 3) else 0.0 end"
+REASONS = (
+    "list_filter([case when contact and promo then 'contact with promotion/70' when contact then 'contact: ' || array_to_string(kinds, ', ') || '/15' when promo then 'promotion: ' || array_to_string(promos, ', ') || '/10' end, "
+    "case when short then 'words: ' || len(tokens_clean) || '/35' end, case when generic and not short then 'generic phrase/10' end, case when dup_of is not null then 'same as ' || dup_of || '/30' end, "
+    "case when len(aspects) = 0 and not short then 'no aspect/10' end, case when emoji then 'emoji only/35' end], lambda x: x is not null)"
+)
+
+
 def number(x: str) -> str:
     return f"try_cast(replace({x}, ',', '') as double)"
 
 
+# Patterns that decide what is found, without look-around.
 _PRICE = r"(?i)(?:฿|₹|\b(?:rs|inr|thb)\.?)\s*([0-9,]+(?:\.[0-9]+)?)|([0-9,]+(?:\.[0-9]+)?)\s*(?:บาท|฿|₹|\b(?:thb|rs|inr|rupees?)\b)"
 PRICE = number(f"coalesce(nullif(regexp_extract(clean_text, '{_PRICE}', 1), ''), nullif(regexp_extract(clean_text, '{_PRICE}', 2), ''))")
 _DAYS = r"(?i)([0-9]{1,3})\s*(?:วัน|วันทำการ|days?|day)"
@@ -180,6 +184,7 @@ DAYS = f"list_min(list_filter(list_transform(regexp_extract_all(normalized_text,
 _STAR = r"(?i)([0-9](?:\.[0-9])?)\s*(?:ดาว|stars?|/\s*5|เต็ม\s*5)"
 STARS = f"case when try_cast(nullif(regexp_extract(clean_text, '{_STAR}', 1), '') as double) between 0 and 5 then try_cast(nullif(regexp_extract(clean_text, '{_STAR}', 1), '') as double) end"
 _VAR = r"(?i)(?:สี|ไซส์|ไซซ์|ขนาด|รุ่น|size|colou?r|model)\s*[:：]?\s*([\p{L}\p{N}_ก-๙]{1,15})"
+# End of the fixed values.
 
 
 def gazetteer(x: str, terms: list[str]) -> str:

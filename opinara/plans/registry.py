@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +44,8 @@ def tokenized(spark, sf_dir):
 
 
 def results(spark, sf_dir):
-    # kept on disk, so filters of a query are not pushed into (and do not repeat) the long chain of expressions
-    return plan.analyze_batch(reviews(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+    # nothing is kept: a query computes the columns that it asks for
+    return plan.analyze_batch(reviews(spark, sf_dir))
 
 
 def pairs(column) -> F.Column:
@@ -187,7 +186,7 @@ def matched_terms(spark, sf_dir):
     return out.where(F.size("terms") > 0)
 
 
-@query("select doc_id, list_filter(w, lambda t: len(list_filter(w, lambda u: u <> t and contains(u, t))) = 0) as outer_words from (select doc_id, list(t order by i) as w from (select doc_id, t, min(i) as i from (select doc_id, unnest(string_split(text, ' ')) as t, unnest(range(len(string_split(text, ' ')))) as i from documents where n_chars < 3000) group by doc_id, t) group by doc_id)")
+@query("select doc_id, list_filter(w, lambda t: len(list_filter(w, lambda u: u <> t and contains(u, t))) = 0) as outer_words from (select doc_id, list(t order by i) as w from (select doc_id, t, min(i) as i from (select doc_id, unnest(string_split(text, ' ')) as t, unnest(range(len(string_split(text, ' ')))) as i from documents) group by doc_id, t) group by doc_id)")
 def drop_substrings(spark, sf_dir):
     words = F.split("text", " ")
     return docs(spark, sf_dir).select("doc_id", drop_inner_long(words).alias("outer_words"))
@@ -240,9 +239,9 @@ def product_types(spark, sf_dir):
 
 # --- aspects --------------------------------------------------------------------------------------------------------
 
-@query(O.with_(*O.ASPECTS) + "select pos, sentiment, aspects, overall_sentiment, total::bigint as score_total, size::bigint as score_size from mood")
+@query(O.with_(*O.ASPECTS) + "select pos, sentiment, aspects, overall_sentiment, total::bigint as score_total, size::bigint as score_size, " + O.SCORE + " as sentiment_score from mood")
 def aspect_sentiment(spark, sf_dir):
-    return results(spark, sf_dir).select("pos", pairs("aspect_sentiment").alias("sentiment"), "aspects", "overall_sentiment", *long("score_total", "score_size"))
+    return results(spark, sf_dir).select("pos", pairs("aspect_sentiment").alias("sentiment"), "aspects", "overall_sentiment", *long("score_total", "score_size"), "sentiment_score")
 
 
 @query(O.with_(*O.ASPECTS) + "select pos, coalesce(pros, []) as pros, coalesce(cons, []) as cons from tok left join proscons using (pos)")
@@ -271,9 +270,10 @@ def duplicates(spark, sf_dir):
     return out.select("doc_id", "fingerprint", F.coalesce("duplicate_of", F.lit(-1)).cast("long").alias("duplicate_of"))
 
 
-@query(O.with_(*O.SCREEN) + "select pos, review_status, credibility_score::bigint as credibility_score, spam_signals, contact and promo as is_ad_spam, short or generic as is_low_quality, dup_of is not null as is_duplicate, coalesce(dup_of, '') as duplicate_of from screen")
+@query(O.with_(*O.SCREEN) + "select pos, review_status, credibility_score::bigint as credibility_score, spam_signals, contact and promo as is_ad_spam, short or generic as is_low_quality, dup_of is not null as is_duplicate, coalesce(dup_of, '') as duplicate_of, " + O.REASONS + " as reasons from screen")
 def screening_results(spark, sf_dir):
-    return results(spark, sf_dir).select("pos", "review_status", *long("credibility_score"), "spam_signals", "is_ad_spam", "is_low_quality", "is_duplicate", "duplicate_of")
+    reasons = F.transform("screening_reasons", lambda r: F.concat_ws("/", r["reason"], r["penalty"])).alias("reasons")
+    return results(spark, sf_dir).select("pos", "review_status", *long("credibility_score"), "spam_signals", "is_ad_spam", "is_low_quality", "is_duplicate", "duplicate_of", reasons)
 
 
 _LIST = "array_to_string({0}, ', ') as {0}".format
@@ -282,15 +282,15 @@ _EXPORT_SQL = O.with_(*O.SCREEN, O.kept("kl", O.strings(L.PROVINCES)), "types(te
     "byname as (select pos, arg_min(c, p * 100 + k) as c from (select pos, c, k, instr(' ' || lower(product_name) || ' ', ' ' || term || ' ') as p from r, types) where p > 0 group by pos)",
     "bytext as (select pos, arg_min(c, s * 100 + k) as c from hit join types using (term) group by pos)",
     f"""flat as (select review_id, screen.pos, lang, review_status, credibility_score::bigint as credibility_score, overall_sentiment, coalesce(byname.c, bytext.c, '') as product_type,
-    {O.gazetteer('clean_text', L.BRANDS)} as brand, {O.PRICE} as price, ({O.DAYS})::bigint as delivery_days, {O.gazetteer('clean_text', L.COURIERS)} as courier, coalesce(location, []) as location, aspects, coalesce(pros, []) as pros, coalesce(cons, []) as cons, spam_signals, clean_text, sentiment, sentiment_label, expected_aspects, case_tags, raw_text, normalized_text,
+    {O.gazetteer('clean_text', L.BRANDS)} as brand, {O.PRICE} as price, ({O.DAYS})::bigint as delivery_days, {O.gazetteer('clean_text', L.COURIERS)} as courier, coalesce(location, []) as location, aspects, coalesce(pros, []) as pros, coalesce(cons, []) as cons, spam_signals, clean_text, {O.SCORE} as sentiment_score, sentiment, sentiment_label, expected_aspects, case_tags, raw_text, normalized_text,
     f_url, f_email, f_line_id, f_phone, had_html, contact and promo as is_ad_spam, short or generic as is_low_quality, coalesce(dup_of, '') as duplicate_of
     from screen left join proscons using (pos) left join places using (pos) left join byname using (pos) left join bytext using (pos))""")
 _ASPECT = "case when regexp_extract(sentiment, '(?:^|,){0}=([a-z]+)', 1) is null then '' else regexp_extract(sentiment, '(?:^|,){0}=([a-z]+)', 1) end as aspect_{0}".format
 
 
-@query(_EXPORT_SQL + "select review_id, lang, review_status, credibility_score, overall_sentiment, product_type, " + ", ".join(map(_LIST, ("brand", "courier", "location", "aspects", "pros", "cons", "spam_signals"))) + ", '' as seller_shop, price, delivery_days, clean_text, " + ", ".join(map(_ASPECT, L.ASPECT_KEYS)) + " from flat")
+@query(_EXPORT_SQL + "select review_id, lang, review_status, credibility_score, overall_sentiment, sentiment_score, product_type, " + ", ".join(map(_LIST, ("brand", "courier", "location", "aspects", "pros", "cons", "spam_signals"))) + ", '' as seller_shop, price, delivery_days, clean_text, " + ", ".join(map(_ASPECT, L.ASPECT_KEYS)) + " from flat")
 def flat_export(spark, sf_dir):
-    out = plan.export(results(spark, sf_dir)).drop("sentiment_score")
+    out = plan.export(results(spark, sf_dir))
     return out.withColumns({c: F.col(c).cast("long") for c in ("credibility_score", "delivery_days")})
 
 
@@ -312,9 +312,15 @@ def status_counts(spark, sf_dir):
 _MENTIONS = f"m as (select split_part(x, '=', 1) as key, split_part(x, '=', 2) as p from (select unnest(string_split(sentiment, ',')) as x from flat where {_OK} and sentiment <> ''))"
 
 
-@query(_EXPORT_SQL.rstrip() + ",\n" + _MENTIONS + " select key, count(*) as mentions, count(*) filter (where p = 'pos') as pos, count(*) filter (where p = 'neg') as neg, count(*) filter (where p = 'neutral') as neutral from m group by key")
+@query(_EXPORT_SQL + "select review_status, count(*) as n, count(*) / sum(count(*)) over () as share from flat group by review_status")
+def status_shares(spark, sf_dir):
+    return summary.status_shares(results(spark, sf_dir))
+
+
+@query(_EXPORT_SQL.rstrip() + ",\n" + _MENTIONS + ", s as (select key, count(*) as mentions, count(*) filter (where p = 'pos') as pos, count(*) filter (where p = 'neg') as neg, count(*) filter (where p = 'neutral') as neutral from m group by key)"
+    + " select ord::bigint as ord, key, label, mentions, pos, neg, neutral, round_even(pos / mentions * 100, 1) as pos_pct, round_even(neg / mentions * 100, 1) as neg_pct from s join (values " + ", ".join(f"({k}, {O.quote(a)}, {O.quote(g['label'])})" for k, (a, g) in enumerate(L.ASPECTS.items())) + ") n(ord, key, label) using (key)")
 def aspect_summary(spark, sf_dir):
-    return summary.aspect_summary(results(spark, sf_dir)).select("key", "mentions", "pos", "neg", "neutral")
+    return summary.aspect_summary(results(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
 
 
 def _top_sql(column: str, limit: int) -> str:
@@ -346,9 +352,9 @@ def price_range(spark, sf_dir):
     return summary.price_range(results(spark, sf_dir))
 
 
-@query(_EXPORT_SQL + f"select count(*) as n, sum(delivery_days)::bigint as days from flat where {_OK} and delivery_days > 0")
+@query(_EXPORT_SQL + f"select count(*) as n, sum(delivery_days)::bigint as days, round_even(sum(delivery_days) / count(*), 1) as avg_delivery_days from flat where {_OK} and delivery_days > 0")
 def delivery_average(spark, sf_dir):
-    return summary.delivery_average(results(spark, sf_dir)).select("n", "days")
+    return summary.delivery_average(results(spark, sf_dir))
 
 
 @query(_EXPORT_SQL + f"select k.overall_sentiment, count(flat.pos) as n from (values ('positive'), ('mixed'), ('neutral'), ('negative')) k(overall_sentiment) left join flat on flat.overall_sentiment = k.overall_sentiment and {_OK} group by 1")
@@ -372,10 +378,25 @@ g as (select pos, split_part(x, '=', 1) as a, split_part(x, '=', 2) as p from (s
 j as (select coalesce(e.pos, g.pos) as pos, coalesce(e.a, g.a) as a, e.p as want, g.p as have from e full join g on e.pos = g.pos and e.a = g.a) """
 
 
-@query(_BOTH + "select count(*) filter (where want is not null and have is not null) as tp, count(*) filter (where want is null) as fp, count(*) filter (where have is null) as fn, count(*) filter (where want = have) as same from j")
+_RATIOS = "select tp, fp, fn, same, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1, coalesce(same / nullif(tp, 0), 0) as polarity_accuracy from o"
+
+
+def _overlap_sql(where: str = "") -> str:
+    return _BOTH.replace("as x from flat)),", f"as x from flat {where})),") + ", o as (select count(*) filter (where want is not null and have is not null) as tp, count(*) filter (where want is null) as fp, count(*) filter (where have is null) as fn, count(*) filter (where want = have) as same from j) "
+
+
+def _expected(spark, sf_dir):
+    return results(spark, sf_dir).withColumn("expected", evaluate.parse_expected(F.col("expected_aspects")))
+
+
+@query(_overlap_sql() + _RATIOS)
 def aspect_overlap(spark, sf_dir):
-    out = results(spark, sf_dir).withColumn("expected", evaluate.parse_expected(F.col("expected_aspects")))
-    return evaluate.aspect_overlap(out).select(*long("tp", "fp", "fn", "same"))
+    return evaluate.aspect_overlap(_expected(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("tp", "fp", "fn", "same")})
+
+
+@query(_overlap_sql(where="where lang = 'th'") + _RATIOS)
+def aspect_overlap_thai(spark, sf_dir):
+    return evaluate.aspect_overlap(_expected(spark, sf_dir), lang="th").withColumns({c: F.col(c).cast("long") for c in ("tp", "fp", "fn", "same")})
 
 
 @query(_BOTH + "select pos, a as aspect, want as expected, have as got from j where want <> have")
@@ -389,6 +410,11 @@ def confusion_matrix(spark, sf_dir):
     return evaluate.confusion(results(spark, sf_dir))
 
 
+@query(_EXPORT_SQL + "select count(*) filter (where sentiment_label = overall_sentiment) as agree, count(*) as total, count(*) filter (where sentiment_label = overall_sentiment) / count(*) as share from flat where lang = 'en'")
+def agreement_english(spark, sf_dir):
+    return evaluate.agreement(results(spark, sf_dir), lang="en")
+
+
 _DAYS_SAID = r"(?i)[0-9]+\s*(?:วัน|days?)(?:[^\p{L}\p{N}_]|$)"
 _PRICE_SAID = r"(?i)(?:฿|₹|\brs\.?)\s*[0-9]|[0-9]\s*(?:บาท|\brs\b|rupees)"
 _CHECKS = [("ad_spam", "true", "is_ad_spam"), ("duplicate", "review_id not in (select duplicate_of from flat)", "duplicate_of <> ''"), ("low_quality", "true", "is_low_quality"), ("pii_phone", "true", "len(f_phone) > 0"), ("pii_line", "true", "len(f_line_id) > 0"), ("pii_url", "true", "len(f_url) > 0"), ("pii_email", "true", "len(f_email) > 0"), ("elongation", "true", "normalized_text <> clean_text"), ("delivery_days", f"regexp_matches(raw_text, '{_DAYS_SAID}')", "delivery_days is not null"), ("price", f"regexp_matches(raw_text, '{_PRICE_SAID}')", "price is not null"), ("html", "true", "had_html"), ("code_switch", "true", "len(aspects) > 0")]
@@ -399,7 +425,7 @@ def case_checks(spark, sf_dir):
     return evaluate.case_checks(results(spark, sf_dir))
 
 
-@query(_EXPORT_SQL + "select count(*) filter (where len(aspects) = 0) as n, count(*) as total from flat")
+@query(_EXPORT_SQL + "select count(*) filter (where len(aspects) = 0) as n, count(*) as total, count(*) filter (where len(aspects) = 0) / count(*) as share from flat")
 def no_aspect_share(spark, sf_dir):
     return evaluate.no_aspect_share(results(spark, sf_dir))
 
@@ -440,12 +466,12 @@ def length_stats(spark, sf_dir):
     return sampling.length_stats(docs(spark, sf_dir), "text").select(*long("min_length", "median_length", "max_length"))
 
 
-def _balanced_sql(pool: str, n: int, name: str, label: str = "Sentiment", key: str = "pos") -> str:
-    """CTEs of a balanced sample of a pool."""
-    per = -(-n // 3)
+def _balanced_sql(pool: str, n: int | str, name: str, label: str = "Sentiment", key: str = "pos") -> str:
+    """CTEs of a balanced sample of a pool; n is a number or an expression."""
+    per = -(-n // 3) if isinstance(n, int) else f"cast(ceil({n} / 3) as bigint)"
     h = f"sha1(concat_ws('|', cast({key} as varchar), '42'))"
     return f"""{name}_o as (select * exclude (q) from (select *, row_number() over (partition by {label} order by {h}, {key}) as q, case {label} when 'negative' then 0 when 'neutral' then 1 when 'positive' then 2 end as c from ({pool})) where c is not null and q <= {per}),
-{name}_f as (select * exclude (q), 3 as c from (select *, row_number() over (order by {h}, {key}) as q from ({pool}) p where {key} not in (select {key} from {name}_o)) where q <= {per * 3} - (select count(*) from {name}_o) and q <= {n}),
+{name}_f as (select * exclude (q), 3 as c from (select *, row_number() over (order by {h}, {key}) as q from ({pool}) p where {key} not in (select {key} from {name}_o)) where q <= {per} * 3 - (select count(*) from {name}_o) and q <= {n}),
 {name} as (select * exclude (c, q) from (select *, row_number() over (order by c, {h}, {key}) as q from (select * from {name}_o union all by name select * from {name}_f)) where q <= {n})"""
 
 
@@ -463,7 +489,10 @@ def _quota_sql() -> str:
         parts.append(_balanced_sql(f"select * from w where contains(tags, '{tag}') and length(Summary) >= {least}{left}", n, f"q{k}"))
         used.append(k)
     left = "".join(f" and pos not in (select pos from q{j})" for j in used)
-    return O.with_(*parts) + " union all ".join(f"select pos, {k}::bigint as stratum from q{k}" for k in used)
+    left = "".join(f" and pos not in (select pos from q{j})" for j in used)
+    taken = " + ".join(f"(select count(*) from q{k})" for k in used)
+    parts.append(_balanced_sql(f"select * from w where length(Summary) between 30 and 150{left}", f"({sampling.SAMPLE_ROWS} - ({taken}))", "q8"))
+    return O.with_(*parts) + " union all ".join(f"select pos, {k}::bigint as stratum from q{k}" for k in [*used, 8])
 
 
 @query(_quota_sql())
@@ -508,9 +537,9 @@ def _words(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.plain_tokens(F.col("text")).alias("tokens"))
 
 
-@query("with " + _WORDS + ", w as (select doc_id, term, nd, n * (ln((1 + nd) / (1 + df)) + 1) as w from n join b using (term)), l as (select doc_id, sqrt(sum(w * w)) as l from w group by 1) select term from (select term, sum(w / l) / any_value(nd) as m from w join l using (doc_id) group by 1) order by m desc, term limit 15")
+@query("with " + _WORDS + ", w as (select doc_id, term, nd, n * (ln((1 + nd) / (1 + df)) + 1) as w from n join b using (term)), l as (select doc_id, sqrt(sum(w * w)) as l from w group by 1) select term, round(m, 4) as weight from (select term, sum(w / l) / any_value(nd) as m from w join l using (doc_id) group by 1) order by m desc, term limit 15")
 def tfidf(spark, sf_dir):
-    return corpus.tfidf_keywords(_words(spark, sf_dir), "doc_id", "tokens").select("term")
+    return corpus.tfidf_keywords(_words(spark, sf_dir), "doc_id", "tokens")
 
 
 @query("with " + _WORDS + " select doc_id, term, n from n join b using (term)")
@@ -524,14 +553,10 @@ def lda_topics(spark, sf_dir):
     return corpus.lda_topics(tokenized(spark, sf_dir).select("pos", "tokens_clean"), "pos", "tokens_clean")[0]
 
 
-@query()
+@query("select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations")
 def csv_roundtrip(spark, sf_dir):
-    import tempfile
-    import uuid
-
     rows = docs(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/roundtrip-{uuid.uuid4().hex}"
+    path = source.scratch(spark, "roundtrip")
     source.write_csv(rows, path)
     return source.read_csv(spark, path)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +23,16 @@ def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return df.select(*(F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder, spark.checkpoint.dir; only a session on one machine may go without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="opinara-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with header that read_csv reads back; UTF-8 without a byte order mark."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
