@@ -55,9 +55,9 @@ def lda_topics(df: DataFrame, key: str = "review_id", tokens: str = "tokens_clea
         return none
     counted = vectors.transform(docs).select(key, "features").persist()
     model = LDA(k=topics, maxIter=20, seed=seed, optimizer="online").fit(counted)
-    vocabulary = list(vectors.vocabulary)
-    named = F.udf(lambda ids: [vocabulary[i] for i in ids], "array<string>")
-    found = model.describeTopics(words).select(F.col("topic").alias("topic_id"), named("termIndices").alias("words"))
+    # as many rows as topics, with a few words each
+    leading = [(r["topic"], [vectors.vocabulary[i] for i in r["termIndices"]]) for r in model.describeTopics(words).collect()]
+    found = spark.createDataFrame(leading, "topic_id int, words array<string>")
     weights = vector_to_array("topicDistribution")
     best = model.transform(counted).select(key, (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic_id"))
     return found, df.select(key).join(best, key, "left")

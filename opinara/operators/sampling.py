@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,18 +54,34 @@ def order_hash(key: str, seed: int = 42) -> Column:
     return F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def numbered(df: DataFrame, by: str, into: str, ties: tuple[str, ...] = (), descending: bool = False, block: int = 100_000) -> DataFrame:
+    """Adds the place of every row, from 0, in the order of a numeric column and then of ``ties``.
+
+    Rows are numbered within blocks of about ``block`` rows, cut at quantiles of the column (at most 1,000 of them come to the
+    driver), and shifted by the counts of the blocks before. Equal values share a block. Nulls come first.
+    """
+    value = F.col(by) * (-1 if descending else 1)
+    cuts = min(1000, df.count() // block)
+    bounds = df.agg(F.percentile_approx(value, [(k + 1) / (cuts + 1) for k in range(cuts)], 10_000)).first()[0] if cuts else []
+    placed = df.withColumn("_block", F.size(F.filter(F.array(*map(F.lit, bounds or [])), lambda x: x < value)) if bounds else F.lit(0))
+    before = placed.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_block")) - F.col("_n"))
+    place = F.row_number().over(W.partitionBy("_block").orderBy(value, *ties)) - 1
+    return placed.withColumn("_place", place).join(F.broadcast(before), "_block").withColumn(into, F.col("_before") + F.col("_place")).drop("_block", "_n", "_before", "_place")
+
+
 def balanced_sample(df: DataFrame, n: int, key: str, label: str, classes=CLASSES, seed: int = 42) -> DataFrame:
     """About n rows, the same number of each class; what a class lacks comes from the other rows of df; of all n at most,
     classes in order. Adds pick, the place in the sample.
 
-    Only the n first of each class (by hash) and the n first of all can be picked, so windows see bounded tables.
+    Only the n first of each class (by hash) and the n first of all can be picked; they are found by top-n, so windows see
+    bounded tables.
     """
     per_class = -(-n // len(classes))
     place = F.when(F.col(label) == classes[0], 0)
     for k, c in enumerate(classes[1:], 1):
         place = place.when(F.col(label) == c, k)
     ranked = df.withColumns({"_h": order_hash(key, seed), "_c": place})
-    own = ranked.where("_c is not null").withColumn("_k", F.row_number().over(W.partitionBy("_c").orderBy("_h", key))).where(F.col("_k") <= per_class).drop("_k")
+    own = reduce(DataFrame.unionByName, (ranked.where(F.col("_c") == k).orderBy("_h", key).limit(per_class) for k in range(len(classes))))
     lack = own.agg((F.lit(per_class * len(classes)) - F.count("*")).alias("_lack"))
     rest = ranked.join(F.broadcast(own.select(key)), key, "left_anti").withColumn("_c", F.lit(len(classes))).orderBy("_h", key).limit(n)
     fill = rest.withColumn("_k", F.row_number().over(W.orderBy("_h", key))).join(F.broadcast(lack)).where("_k <= _lack").drop("_k", "_lack")
@@ -87,19 +105,17 @@ def quota_sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAM
         take(work.where(F.contains("tags", F.lit(tag)) & (F.length(text) >= least)), n, k)
     if rows > len(strata):
         take(work.where(F.length(text).between(30, 150)), rows - len(strata), len(quotas))
+    work.unpersist()
     keys = df.sparkSession.createDataFrame(list(strata.items()), f"{key} {df.schema[key].dataType.simpleString()}, stratum int")
     picked = work.join(F.broadcast(keys), key)
     return picked.orderBy(order_hash(key, seed))
 
 
 def unified(df: DataFrame, lang: str, source: str, prefix: str, order: str) -> DataFrame:
-    """The ten columns of a labelled review table from Summary, product_name, product_price, rate, Sentiment and tags, numbered in order.
-
-    Meant for samples: numbering puts all rows in one order.
-    """
-    number = F.format_string(f"{prefix}%04d", F.row_number().over(W.orderBy(order)))
-    out = df.select(
-        number.alias("review_id"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.col("Summary").alias("raw_text"), "product_name", "product_price", "rate",
+    """The ten columns of a labelled review table from Summary, product_name, product_price, rate, Sentiment and tags, numbered in
+    the order of a numeric column."""
+    out = numbered(df, order, "_number").select(
+        F.format_string(f"{prefix}%04d", F.col("_number") + 1).alias("review_id"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.col("Summary").alias("raw_text"), "product_name", "product_price", "rate",
         F.col("Sentiment").alias("sentiment_label"), F.when(F.coalesce("tags", F.lit("")) == "", "untagged").otherwise(F.col("tags")).alias("case_tags"), F.lit("").alias("expected_aspects"),
     )
     return out.na.fill("")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicon as L
 from opinara.operators import aspects, cleanse, entities, screening
 from opinara.operators.matching import token_hits
+from opinara.operators.sampling import numbered
 
+# Columns of the flat table.
 EXPORT = ["review_id", "lang", "review_status", "credibility_score", "overall_sentiment", "sentiment_score", "product_type", "brand", "seller_shop", "price", "delivery_days", "courier", "location", "aspects", "pros", "cons", "spam_signals", "clean_text"]
+# End of the fixed values.
 
 #: All terms that are looked up in tokenized text.
 TERMS = list(dict.fromkeys([t for t, *_ in L.aspect_terms()] + [t for t, _ in L.general_terms()] + L.PROMO_KEYWORDS + L.PROVINCES + [w for ws in L.PRODUCT_TYPES.values() for w in ws]))
@@ -27,14 +30,7 @@ def prepare(df: DataFrame, text_column: str | None = None) -> DataFrame:
     out = df if "pos" in df.columns else df.withColumn("pos", F.monotonically_increasing_id())
     out = out.withColumn("raw_text", F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     if "review_id" not in out.columns:
-        from pyspark.sql import Window as W
-
-        # numbering needs one order of all rows: ranks within ranges of pos, shifted by the counts of the ranges before
-        block = out.withColumn("_b", F.spark_partition_id()) if "pos" not in df.columns else out.repartitionByRange("pos").withColumn("_b", F.spark_partition_id())
-        counts = block.groupBy("_b").agg(F.count("*").alias("n"))
-        before = counts.select("_b", (F.sum("n").over(W.orderBy("_b")) - F.col("n")).alias("_before"))
-        out = block.withColumn("_k", F.row_number().over(W.partitionBy("_b").orderBy("pos"))).join(F.broadcast(before), "_b")
-        out = out.withColumn("review_id", F.format_string("R%04d", F.col("_before") + F.col("_k"))).drop("_b", "_k", "_before")
+        out = numbered(out, "pos", "_number").withColumn("review_id", F.format_string("R%04d", F.col("_number") + 1)).drop("_number")
     name = F.coalesce(F.col("product_name").cast("string"), F.lit("")) if "product_name" in df.columns else F.lit("")
     return out.withColumn("product_name", name)
 

@@ -85,6 +85,36 @@ CLEAN = [
     f"clean as (select *, {strip(sub('t3', chr(92) + 's{2,}'))} as clean_text from c8)",
 ]
 NORMAL = [*CLEAN, f"normal as (select *, translate({collapse('clean_text')}, '{UPPER}', '{UPPER.lower()}') as normalized_text from clean)"]
+
+
+def _parts(name: str, source: str, column: str, where: str = "") -> str:
+    """Runs of letters and the gaps before them, one row each."""
+    gaps, runs = f"regexp_split_to_array({column}, '[a-zA-Z]+')", f"regexp_extract_all({column}, '[a-zA-Z]+')"
+    return f"{name} as (select pos, g[k + 1] as gap, m[k + 1] as w, k from (select pos, {gaps} as g, {runs} as m, unnest(range(len({gaps}))) as k from {source} {where}))"
+
+
+def mended(words: list[str]) -> list[str]:
+    """NORMAL with the words of a vocabulary, most frequent first: glued English words cut, doubled letters made single."""
+    single = "lower(w)"
+    for c in UPPER.lower():
+        single = f"regexp_replace({single}, '{c}{c}', '{c}', 'g')"
+    return [
+        *CLEAN[:-1],
+        "v(word, rank) as (values " + ", ".join(f"({quote(w)}, {k})" for k, w in enumerate(words)) + ")",
+        _parts("glued", "c8", "t3", "where lang = 'en'"),
+        "alone as (select distinct lower(w) as low from glued where length(w) >= 5 and lower(w) not in (select word from v))",
+        "cuts as (select low, unnest(range(2, length(low) - 1)) as i from alone)",
+        "best as (select low, arg_min(substr(low, 1, i) || ' ' || substr(low, i + 1), (a.rank + b.rank) * 100 + i) as two from cuts join v a on a.word = substr(low, 1, i) join v b on b.word = substr(low, i + 1) group by low)",
+        "apart as (select pos, string_agg(gap || coalesce(two, w, ''), '' order by k) as t4 from glued left join best on best.low = lower(glued.w) and length(glued.w) >= 5 group by pos)",
+        f"clean as (select c8.*, {strip(sub('coalesce(t4, t3)', chr(92) + 's{2,}'))} as clean_text from c8 left join apart using (pos))",
+        f"n1 as (select *, {collapse('clean_text')} as t5 from clean)",
+        _parts("doubled", "n1", "t5"),
+        f"single as (select *, {single} as s from doubled)",
+        "halved as (select pos, string_agg(gap || case when w is null then '' when lower(w) in (select word from v) then w when s in (select word from v) then s else w end, '' order by k) as t6 from single group by pos)",
+        f"normal as (select n1.*, translate(coalesce(t6, t5), '{UPPER}', '{UPPER.lower()}') as normalized_text from n1 left join halved using (pos))",
+    ]
+
+
 _TYPOS = "map(" + strings(L.TYPO_MAP) + ", " + strings(L.TYPO_MAP.values()) + ")"
 _PLAIN = r"[a-zA-Zก-๙]+|\p{Nd}+"
 _SPACED = r"[ก-๙]+|[a-zA-Z]+|[0-9]+|[^\sก-๙a-zA-Z0-9]"

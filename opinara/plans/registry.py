@@ -111,11 +111,8 @@ _VOCAB = "v as (select word, row_number() over (order by n desc, word) - 1 as ra
 
 @query("with " + _VOCAB + " select word, rank from v")
 def vocab_build(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    # a vocabulary is of bounded size (MAX_VOCABULARY words)
     vocab = cleanse.vocabulary(docs(spark, sf_dir), "text")
-    return vocab.select("word", (F.row_number().over(W.orderBy(F.desc("n"), "word")) - 1).cast("long").alias("rank"))
+    return sampling.numbered(vocab, "n", "rank", ("word",), descending=True).select("word", *long("rank"))
 
 
 def _vocab(spark, sf_dir):
@@ -164,10 +161,55 @@ def thai_tokenize(spark, sf_dir):
     return rows.select("pos", cleanse.thai_tokenizer()(F.col("raw_text")).alias("tokens"))
 
 
-@query(O.with_(O.R) + r"""select pos, list_filter(list_distinct(regexp_extract_all(raw_text, '[a-zA-Zก-๙]+|\p{Nd}+')), lambda t: false) as none, list_transform(regexp_extract_all(raw_text, '[a-zA-Zก-๙]+|\p{Nd}+'), lambda t: t || '/X') as tags from r""")
+@query(O.with_(O.R) + r"""select pos, list_transform(regexp_extract_all(raw_text, '[a-zA-Zก-๙]+|\p{Nd}+'), lambda t: t || '/X') as tags from r""")
 def pos_tags(spark, sf_dir):
     out = cleanse.tag_words(reviews(spark, sf_dir).withColumn("tokens", T.plain_tokens(F.col("raw_text"))))
-    return out.select("pos", F.col("keywords").alias("none"), F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])).alias("tags"))
+    return out.select("pos", F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])).alias("tags"))
+
+
+#: A small table of word classes, a small vocabulary and patterns of names, in place of models: they drive all that rests on models.
+_CLASSES = {"good": "ADJ", "nice": "ADJ", "bad": "ADJ", "great": "ADJ", "excellent": "ADJ", "ดี": "ADJ", "product": "NOUN", "delivery": "NOUN", "seller": "NOUN", "phone": "NOUN", "like": "VERB", "works": "VERB", "buy": "VERB", "speaker": "PROPN", "kettle": "PROPN", "box": "PROPN", "issue": "PROPN", "ok": "PROPN"}
+_KNOWN = ["the", "of", "this", "that", "was", "and", "good", "so", "product", "excellent", "never", "delivery", "very", "not"]
+_NAMES = {"org": "Kerry Express|support|speaker|Samsung", "place": "delivery|kettle", "date": "[0-9]+ days"}
+
+
+def _tagger(tokens: F.Column) -> F.Column:
+    classes = F.create_map(*(F.lit(x) for pair in _CLASSES.items() for x in pair))
+    return F.transform(tokens, lambda t: F.struct(t.alias("word"), F.coalesce(F.try_element_at(classes, F.lower(t)), F.lit("X")).alias("tag")))
+
+
+def _names(text: F.Column) -> F.Column:
+    return F.struct(*(T.find_all(text, p).alias(kind) for kind, p in _NAMES.items()))
+
+
+_TAG = "coalesce(map(" + O.strings(_CLASSES) + ", " + O.strings(_CLASSES.values()) + ")[lower(t)], 'X')"
+_NONE = "cast([] as varchar[])"
+_FOUND = {kind: f"case when lang = 'en' then regexp_extract_all(clean_text, '{p}') else {_NONE} end" for kind, p in _NAMES.items()}
+_MODELS_SQL = O.with_(*O.mended(_KNOWN), *O.ASPECTS[len(O.NORMAL):], O.kept("kl", O.strings(L.PROVINCES)),
+    "places as (select pos, list(distinct term) as location from kl join tok using (pos) where lang = 'th' and (not list_contains(" + O.strings(L.AMBIGUOUS_PROVINCES) + f", term) or regexp_matches(substr(array_to_string(low, ' '), 1, s), '{L.PROVINCE_MARKER}')) group by pos)",
+    f"tagged as (select *, list_filter(tokens, lambda t: {_TAG} in ('NOUN', 'PROPN', 'ADJ', 'VERB')) as content, list_filter(tokens, lambda t: {_TAG} = 'PROPN' and length(t) > 2)[1:3] as proper, {O.gazetteer('clean_text', L.BRANDS)} as brand, "
+    f"list_transform(list_concat(list_concat({O.gazetteer('clean_text', L.BRANDS)}, {O.gazetteer('clean_text', L.COURIERS)}), {O.gazetteer('clean_text', L.PLATFORMS)}), lambda x: lower(x)) as known, "
+    f"{_FOUND['org']} as org, {_FOUND['place']} as spot, {_FOUND['date']} as said, list_distinct(regexp_extract_all(clean_text, '[0-9]{{1,2}}\\s*(?:{L.THAI_MONTHS})\\s*[0-9]{{2,4}}|(?:{L.THAI_MONTHS})\\s*[0-9]{{2,4}}')) as dates from tok)",
+    "shops as (select *, list_filter(org, lambda x: not list_contains(known, lower(x))) as shop from tagged)",
+    f"adj as (select pos, t, i from (select pos, unnest(tokens) as t, unnest(range(len(tokens))) as i from tok) where {_TAG} = 'ADJ')",
+    "sides as (select pos, term, good, o from side union all select adj.pos, t, good, 1000000000 + i from adj join (select unnest(" + O.strings(L.GENERAL_POSITIVE) + ") as w, true as good union all select unnest(" + O.strings([w for w in L.GENERAL_NEGATIVE if w not in L.GENERAL_POSITIVE]) + "), false) on w = lower(t) where not exists (select 1 from side where side.pos = adj.pos and side.term = lower(t)))",
+    "sides2 as (select pos, term, good, min(o) as o from sides group by pos, term, good)",
+    "pick2 as (select pos, term, good, row_number() over (partition by pos, good order by o) as j from sides2 a where not exists (select 1 from sides2 b where b.pos = a.pos and b.good = a.good and b.term <> a.term and contains(b.term, a.term)))",
+    "praise as (select pos, list(term order by j) filter (where good and j <= 8) as pros, list(term order by j) filter (where not good and j <= 8) as cons from pick2 group by pos)",
+)
+
+
+def _ordered(x: str) -> str:
+    """The first of equal words kept, in order."""
+    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
+
+
+@query(_MODELS_SQL + f"select pos, clean_text, normalized_text, {_ordered('content')}[1:10] as keywords, list_sort(list_distinct(case when len(brand) = 0 and len(shop) = 0 then proper else shop end)) as seller_shop, "
+    f"list_sort(list_distinct(case when lang = 'th' then coalesce(location, {_NONE}) else spot end)) as location, list_sort(list_distinct(list_concat(dates, said))) as date_mentioned, coalesce(pros, {_NONE}) as pros, coalesce(cons, {_NONE}) as cons from shops left join places using (pos) left join praise using (pos)")
+def analysis_with_models(spark, sf_dir):
+    vocab = spark.createDataFrame([(w,) for w in _KNOWN], "word string")
+    out = plan.analyze_batch(reviews(spark, sf_dir), vocab=vocab, tagger=_tagger, ner=_names)
+    return out.select("pos", "clean_text", "normalized_text", "keywords", "seller_shop", "location", "date_mentioned", "pros", "cons")
 
 
 # --- matching -------------------------------------------------------------------------------------------------------
@@ -417,7 +459,9 @@ def agreement_english(spark, sf_dir):
 
 _DAYS_SAID = r"(?i)[0-9]+\s*(?:วัน|days?)(?:[^\p{L}\p{N}_]|$)"
 _PRICE_SAID = r"(?i)(?:฿|₹|\brs\.?)\s*[0-9]|[0-9]\s*(?:บาท|\brs\b|rupees)"
+# Names of the checks.
 _CHECKS = [("ad_spam", "true", "is_ad_spam"), ("duplicate", "review_id not in (select duplicate_of from flat)", "duplicate_of <> ''"), ("low_quality", "true", "is_low_quality"), ("pii_phone", "true", "len(f_phone) > 0"), ("pii_line", "true", "len(f_line_id) > 0"), ("pii_url", "true", "len(f_url) > 0"), ("pii_email", "true", "len(f_email) > 0"), ("elongation", "true", "normalized_text <> clean_text"), ("delivery_days", f"regexp_matches(raw_text, '{_DAYS_SAID}')", "delivery_days is not null"), ("price", f"regexp_matches(raw_text, '{_PRICE_SAID}')", "price is not null"), ("html", "true", "had_html"), ("code_switch", "true", "len(aspects) > 0")]
+# End of the fixed values.
 
 
 @query(_EXPORT_SQL + " union all ".join(f"select '{t}' as tag, count(*) filter (where {h}) as hits, count(*) as total from flat where contains(case_tags, '{t}') and {a} having count(*) > 0" for t, a, h in _CHECKS))
@@ -553,6 +597,11 @@ def lda_topics(spark, sf_dir):
     return corpus.lda_topics(tokenized(spark, sf_dir).select("pos", "tokens_clean"), "pos", "tokens_clean")[0]
 
 
+@query()
+def lda_assignments(spark, sf_dir):
+    return corpus.lda_topics(tokenized(spark, sf_dir).select("pos", "tokens_clean"), "pos", "tokens_clean")[1]
+
+
 @query("select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations")
 def csv_roundtrip(spark, sf_dir):
     rows = docs(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
