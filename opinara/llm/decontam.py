@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +25,7 @@ RETRIEVE = 0.5
 #: Shares of the question's word triples (words, if it has fewer) and of the answer's words that the place must hold.
 QUESTION, ANSWER = 0.5, 0.5
 #: Items in a block and in a part of a block, and items of one index; more items make more indexes, each of bounded size, used one after the other.
-BLOCK, PART, MAX_ITEMS = 16, 2, 512
+BLOCK, PART, MAX_ITEMS = 64, 4, 512
 _HIT = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,at_word:long>>"
 
 
@@ -106,9 +107,9 @@ class Index:
         self.rest = total.max(initial=0)
         self.bound = np.where(spared, 0, self.most)
 
-    def likely(self, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of a window, its distinct terms, parts of blocks whose largest impacts add up to the threshold) of the
-        windows that have such parts. Windows whose rarer words cannot bring any item there are passed over first, by one
+    def likely(self, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, list[int]]]:
+        """(number of a window, its distinct terms, a block, its parts whose largest impacts add up to the threshold) of the
+        windows and blocks that have such parts. Windows whose rarer words cannot bring any item there are passed over first, by one
         running sum; then blocks, then parts of the blocks that are left."""
         none, theta = len(self.terms), RETRIEVE - 1e-5
         sums = np.concatenate(([0.0], np.cumsum(self.bound[term])))
@@ -123,23 +124,25 @@ class Index:
             row, block = np.nonzero(self.block_max[terms].sum(axis=1) >= theta)
             for m in range(0, len(row), 512):
                 r, b = row[m : m + 512], block[m : m + 512]
-                hit, part = np.nonzero(self.part_max[terms[r], b[:, None]].sum(axis=1) >= theta)
-                for x, y in zip(hit.tolist(), part.tolist(), strict=True):
+                alive = self.part_max[terms[r], b[:, None]].sum(axis=1) >= theta
+                for x in np.flatnonzero(alive.any(axis=1)).tolist():
                     t = terms[r[x]]
-                    yield int(w[r[x]]), t[t < none], int(b[x]) * (BLOCK // PART) + y
+                    yield int(w[r[x]]), t[t < none], int(b[x]), np.flatnonzero(alive[x]).tolist()
 
-    def top(self, query: np.ndarray, part: int) -> list[tuple[int, float]]:
-        """WAND over a part of a block: (item, score) of all its items whose score over the distinct terms reaches the threshold.
+    def top(self, query: np.ndarray, block: int, alive: list[int]) -> list[tuple[int, float]]:
+        """Block-max WAND over a block: (item, score) of all items of its parts ``alive`` whose score over the distinct terms
+        reaches the threshold.
 
         Lists are kept by their current item. The pivot is the first item that the lists up to it could bring to the
-        threshold by their largest impacts in the part; what lies before it is skipped.
+        threshold by their largest impacts in the block; what lies before it is skipped, and so is the whole part around it
+        if that is not alive.
         """
-        found, lists, lo = [], [], part * PART
-        most = self.part_max.reshape(len(self.part_max), -1)[query, part]
+        found, lists, lo = [], [], block * BLOCK
+        most = self.block_max[query, block]
         for t, m in zip(query[most > 0].tolist(), most[most > 0].tolist(), strict=True):
             d, w = self.postings[t]
             a = int(d.searchsorted(lo))
-            b = a + int(d[a : a + PART].searchsorted(lo + PART))
+            b = a + int(d[a : a + BLOCK].searchsorted(lo + BLOCK))
             lists.append([d[a:b].tolist(), w[a:b].tolist(), m, 0])
         while lists:
             lists.sort(key=lambda x: x[0][x[3]])
@@ -151,10 +154,16 @@ class Index:
                     break
             if pivot is None:
                 break
+            part = (pivot - lo) // PART
+            if part not in alive:
+                pivot = lo + min((p for p in alive if p > part), default=BLOCK // PART) * PART
+                for x in lists:
+                    x[3] = bisect_left(x[0], pivot, x[3])
+                lists = [x for x in lists if x[3] < len(x[0])]
+                continue
             score = 0.0
             for x in lists:
-                while x[3] < len(x[0]) and x[0][x[3]] < pivot:
-                    x[3] += 1
+                x[3] = bisect_left(x[0], pivot, x[3])
                 if x[3] < len(x[0]) and x[0][x[3]] == pivot:
                     score += x[1][x[3]]
                     x[3] += 1
@@ -180,9 +189,9 @@ class Index:
             start = first[text] + turn * self.stride
             end = np.minimum(start + self.window, first[text + 1])
             hits: dict[int, dict[int, list[tuple[float, int]]]] = {}
-            for j, query, part in self.likely(term, start, end):
+            for j, query, block, alive in self.likely(term, start, end):
                 d = hits.setdefault(int(text[j]), {})
-                for item, score in self.top(query, part):
+                for item, score in self.top(query, block, alive):
                     d.setdefault(item, []).append((-score, int(start[j])))
             for d, places in hits.items():
                 kept = []

@@ -230,7 +230,7 @@ def test_decontamination(spark):
         scores = np.zeros(len(index.ids))
         for t in term:
             scores[index.postings[t][0]] += index.postings[t][1]
-        found = [h for part in range(-(-len(index.ids) // decontam.PART)) for h in index.top(term, part)]
+        found = [h for block in range(-(-len(index.ids) // decontam.BLOCK)) for h in index.top(term, block, list(range(decontam.BLOCK // decontam.PART)))]
         assert {d for d, _ in found} == set(np.flatnonzero(scores >= decontam.RETRIEVE).tolist())
     assert decontam.matches(frame(spark, rows), items.limit(0)).count() == 0
 
