@@ -89,7 +89,8 @@ def detect(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFram
     """Adds ``into``: array of (kind, start, end, text, score) by kind as listed, then start; code points, end exclusive.
 
     Works within the row, whole texts, no shuffle. Spans of the base kinds that pass their check always stay; those of
-    other kinds need THRESHOLD. Null texts count as empty and have no spans; other columns are untouched.
+    other kinds need THRESHOLD. Null texts count as empty and have no spans; a column that is already named ``into`` is
+    replaced, others are untouched. Repeated rows are searched each; an empty table gives no rows.
     """
     text = F.coalesce(F.col(column), F.lit(""))
     return docs.withColumn(into, F.concat(*(_spans(kind, text) for kind in PATTERNS)))
@@ -98,9 +99,12 @@ def detect(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFram
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """The same rows and columns with every span of ``column`` replaced by its kind in angle brackets.
 
-    Overlapping spans become one mark, of the first. Null stays null; texts without spans are unchanged.
+    Overlapping spans become one mark, of the first. Null stays null; texts without spans are unchanged. Other columns,
+    whatever their names, are untouched.
     """
-    spans = "_pii_spans"
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
     found, text = detect(docs, column, spans), F.col(column)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
     walk = F.aggregate(

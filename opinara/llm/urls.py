@@ -24,7 +24,8 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in rule) + ")" for rule in rules)
+    return spark.sql(f"select * from values {quoted} as rules(host, path, verdict)")
 
 
 def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,10 +107,28 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
-  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+with recursive p as (select page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as rid from pages),
 r(h, q, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-k as (select row_number() over () as rid, * from p),
-f as (select rid, arg_max(h || q, length(h || q)) as rule, arg_max(v, length(h || q)) as verdict from k join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by rid)
-select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict, false as spread from k left join f using (rid)
+tag as (select url, path, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+  regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as t from p where url is not null and html is not null),
+cut as (select url, t, path as own, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as page, regexp_extract(t, '(?s)^([^?#]*)', 1) as rel, case when path = '' then '/' else regexp_extract(path, '(?s)^(.*/)', 1) end as folder from tag where t <> ''),
+whole as (select *, case when starts_with(rel, '/') then rel else folder || rel end as raw from cut),
+dots as (select *, case when not regexp_matches(raw, '/\.\.?(?:/|$)') then raw else coalesce(list_reduce(string_split(raw, '/')[2:], lambda a, x: case x when '..' then regexp_replace(a, '/[^/]*$', '') when '.' then a else a || '/' || x end, ''), '')
+  || case when regexp_matches(raw, '/\.\.?$') then '/' else '' end end as plain from whole),
+link as (select url, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then 'http:' || t
+  when not regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') and page <> '' then page || case when rel = '' then own else plain end end as target from dots),
+ends as (select translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as ha, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as pa,
+  translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as hb, regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as pb from link where target is not null),
+edge as (select ha || case pa when '' then '/' else pa end as a, hb || case pb when '' then '/' else pb end as b from ends),
+both_ways as (select a, b from edge where a <> b union select b, a from edge where a <> b),
+reach(a, b) as (select a, b from both_ways union select reach.a, e.b from reach join both_ways e on e.a = reach.b),
+node as (select distinct b as node, regexp_extract(b, '(?s)^([^/]*)', 1) as host, regexp_extract(b, '(?s)^[^/]*(.*)$', 1) as path from reach),
+place as (select 'p' || rid as id, host, path from p union all select 'n' || node, host, path from node),
+fit as (select id, arg_max(h || q, length(h || q) * 1000000 + length(h) * 10 + (v = 'allow')::int) as rule, arg_max(v, length(h || q) * 1000000 + length(h) * 10 + (v = 'allow')::int) as verdict
+  from place join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by id),
+fate as (select a as node, coalesce(bool_or(verdict = 'allow'), false) as allowed, coalesce(bool_or(verdict = 'block'), false) as blocked from reach left join fit on fit.id = 'n' || b group by a),
+out as (select page_id, p.host, p.path, rule, verdict, rule is null and coalesce(blocked and not allowed, false) as spread
+  from p left join fit on fit.id = 'p' || rid left join fate on fate.node = p.host || case p.path when '' then '/' else p.path end)
+select page_id, host, path, rule, coalesce(verdict, case when spread then 'block' else 'allow' end) as verdict, spread from out
 """
