@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -21,7 +22,8 @@ LENGTH, END = 1024, 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Texts of these characters only, without a special token's mark, take the faster of the two libraries.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-ſก-๛‐-‧€]|<\|")
-_SCHEMA = "doc_id long, start long, length long, tokens array<int>, doc_tokens long"
+#: Documents for one part of each bucket of pieces of equal length.
+PART = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -72,33 +74,38 @@ def pieces(n: int, longest: int = LENGTH) -> Iterator[tuple[int, int]]:
         size >>= 1
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, longest: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, tokens, doc_tokens, sequence_id, offset) of every piece of ``docs(doc_id, text)``.
+def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, longest: int = LENGTH, tokens: bool = True) -> DataFrame:
+    """(doc_id, start, length, tokens, ids_crc32, doc_tokens, sequence_id, offset) of every piece of ``docs(doc_id, text)``.
 
-    A document's ids, with END behind them, are cut into pieces whose lengths are powers of two, each a sequence of its own:
-    ``length`` is also the bucket under which sequences of equal length are batched or written (partitionBy). One row is cut
-    by one task and nothing is shuffled. A null or empty text is the single id END. sequence_id is unique; offset is 0.
-    Repeated rows are packed each; an empty table gives no rows; further columns are ignored. ``longest`` is a power of two.
+    A document's ids, with END behind them, are cut into pieces whose lengths are powers of two, each a sequence of its own.
+    Pieces of equal length are brought together in buckets, longest first: a bucket is dealt out by a hash of the document
+    in parts of about PART documents, a part stands in one partition, sorted, and numbers its pieces, so sequence_id
+    (bucket, part, number) rests on the documents alone, not on how the input is split, and rises within a document. offset is 0. ids_crc32 is the checksum of the ids as little-endian 32-bit
+    numbers; without ``tokens`` the ids themselves are left out and only narrow rows are shuffled. A null or empty text is the
+    single id END. Repeated rows are packed each; an empty table gives no rows; further columns are ignored. ``longest`` is a
+    power of two.
     """
     own = paths()
     vocabulary, ranks = vocabulary or own[0], ranks if vocabulary else own[1]
+    kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("_doc", pa.int64())] + [("tokens", pa.list_(pa.int32()))] * tokens)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.list_(pa.int32())), ("doc_tokens", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
             held: list[np.ndarray] = []
             size = 0
 
             def flush() -> pa.RecordBatch:
-                ends = np.cumsum([0] + [r[2] for r in rows], dtype=np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
-                a, b, c, d = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), tokens, pa.array(d, pa.int64())], schema=kind)
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                if tokens:
+                    ends = np.cumsum([0] + [r[2] for r in rows], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held))))
+                return pa.RecordBatch.from_arrays(columns, schema=kind)
 
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py(), vocabulary, ranks), END], np.int32)
-                rows += [(doc.as_py(), at, n, len(ids)) for at, n in pieces(len(ids), longest)]
+                ids = np.array([*encode(text.as_py(), vocabulary, ranks), END], "<i4")
+                whole = zlib.crc32(ids)
+                rows += [(doc.as_py(), at, n, zlib.crc32(ids[at : at + n]), len(ids), whole) for at, n in pieces(len(ids), longest)]
                 held.append(ids)
                 size += len(ids)
                 if size > 1 << 20:
@@ -107,23 +114,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
             if rows:
                 yield flush()
 
-    cut_rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _SCHEMA)
-    return cut_rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-
-
-def digest(packed: DataFrame) -> DataFrame:
-    """The pieces with a checksum in place of the ids."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column(batch.schema.get_field_index("tokens"))
-            sums = [zlib.crc32(np.ascontiguousarray(x.values.to_numpy(), "<u4")) for x in tokens]
-            kept = [n for n in batch.schema.names if n != "tokens"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"])
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name != "tokens")
-    return packed.mapInArrow(crc, f"{kept}, ids_crc32 long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _doc long" + ", tokens array<int>" * tokens
+    cut_rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    parts = max(1, docs.count() // PART)
+    part = F.pmod(F.xxhash64("doc_id", "_doc"), F.lit(parts))
+    number = F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "_doc", "start")) - 1
+    bucket = (F.lit(longest.bit_length()) - F.length(F.bin("length"))).cast("long")
+    numbered = cut_rows.withColumn("_part", part).withColumn("sequence_id", F.shiftleft(bucket, 58).bitwiseOR(F.shiftleft("_part", 32)).bitwiseOR(number))
+    return numbered.withColumn("offset", F.lit(0).cast("long")).drop("_part", "_doc")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return pack(table(spark, sf_dir, "documents"), tokens=False)
