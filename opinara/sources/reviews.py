@@ -43,7 +43,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
     Ranks come from the place in the file: files of vocabularies are read whole, as one row each.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     words = F.filter(F.split("value", r"(?U)\s+"), lambda w: w != "")
     return text.select(F.posexplode(words).alias("rank", "word")).groupBy("word").agg(F.max("rank").alias("rank")).orderBy("rank")
 
