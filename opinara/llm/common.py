@@ -28,20 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of stashes in the order in which they were made, those of deleted ones too.
+_made: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can reread it."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can reread it.
+
+    Operators delete their stashes when the last reader is written; one that returns a stash leaves it to its caller.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    _made.append(path)
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete stashed tables that no later step reads."""
-    for df in frames:
-        spark, path = df.sparkSession, df._stash_path
+def stashes() -> int:
+    """A mark for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the stashes made since a mark, but for some."""
+    stay = {df._stash_path for df in kept}
+    gone = [path for path in _made[since:] if path not in stay]
+    _made[since:] = [path for path in _made[since:] if path in stay]
+    for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

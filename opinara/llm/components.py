@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import clear, stash, stashes
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a logarithmic number of rounds. Rounds are written to the shared folder. Self loops, repeated edges and an empty table
     are allowed; edges with a null end are ignored.
     """
-    kind = edges.schema["a"].dataType
+    kind, spark, mark = edges.schema["a"].dataType, edges.sparkSession, stashes()
     one = edges.select("a", "b").where("a <> b")
     current = stash(one.union(one.select("b", "a")).distinct())
     parents: list[DataFrame] = []
@@ -30,13 +30,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         a = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         b = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         later = stash(current.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-        discard(current)
+        clear(spark, mark, *parents, later)
         current = later
     if not parents:
-        return edges.sparkSession.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
+        clear(spark, mark)
+        return spark.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
     found = parents[0]
     for p in parents[1:]:
         found = found.join(p.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"))
     found = stash(found)
     least = found.groupBy("parent").agg(F.min("node").alias("component"))
-    return stash(found.join(least, "parent").select("node", "component"))
+    out = stash(found.join(least, "parent").select("node", "component"))
+    clear(spark, mark, out)
+    return out

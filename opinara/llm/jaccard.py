@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import clear, stash, stashes, table
 from .components import connected_components
 from .tokens import chunks, mix, shingles, split
 
@@ -201,7 +201,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     nothing; neither is a row with a null doc_id (component null). Rows with the same doc_id count as one document. An
     empty table gives no rows; further columns are ignored.
     """
-    t = Fraction(threshold)
+    t, spark, mark = Fraction(threshold), docs.sparkSession, stashes()
     docs = docs.select("doc_id", "text")
     found = stash(_sizes(docs, k))
     reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -223,7 +223,9 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     more = stash(_verify(stash(_box_join(rest, t)), docs, k, t))
     joined = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = stash(out.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id")))
+    clear(spark, mark, out)
+    return out
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stash, table
+from .common import clear, stash, stashes, table
 from .tokens import chunks, mix, split
 
 #: Factor of a backoff, and the count from which a bigram is in its table. The model is made of the documents that it scores,
@@ -266,7 +266,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, cell: int = CELL, pack: i
     Rows with the same doc_id are one document, so are rows without; texts without words have n_words and log_score 0 and a
     null mean; an empty table gives no rows; columns of other names are ignored.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, stashes()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts = stash(docs.select("text").mapInArrow(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     start = int(np.array(_START).view(np.int64))
@@ -304,9 +304,9 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, cell: int = CELL, pack: i
         def rows(ids: pa.Array, own: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
             first, size, done = own[0][0], *(np.concatenate([x[k] for x in own]) for k in (1, 2))
             doc, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            mark = mix(np.array([size.sum() * 31 + len(size)], np.uint64) + (mix(a[:1])[0] ^ b[0] if len(a) else np.uint64(first)))[0]
-            pack = int(mark >> np.uint64(2))
-            yield _batch([(int(mark % np.uint64(cells)), _OWN, pack, len(size), ids.slice(first, len(size)), _pack(size.astype(np.int64), done))])
+            sign = mix(np.array([size.sum() * 31 + len(size)], np.uint64) + (mix(a[:1])[0] ^ b[0] if len(a) else np.uint64(first)))[0]
+            pack = int(sign >> np.uint64(2))
+            yield _batch([(int(sign % np.uint64(cells)), _OWN, pack, len(size), ids.slice(first, len(size)), _pack(size.astype(np.int64), done))])
             both = (a < _RANKS) & (b < _RANKS)
             code, rest = a[both] * _RANKS + b[both], ~both
             at = lambda x: (x % np.uint64(cells)).astype(np.int64)
@@ -367,7 +367,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, cell: int = CELL, pack: i
     out = found.join(other, "word", "left").select("ids", "size", "v", F.coalesce(F.log("n"), F.lit(0.0)).alias("more")).mapInArrow(_add_up, "doc_id long, size long, v double")
     out = out.groupBy("doc_id").agg(F.sum("size").alias("n_words"), F.sum("v").alias("log_score"))
     out = stash(out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))))
-    discard(counts)
+    clear(spark, mark, out)
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import clear, stash, stashes, table
 
 #: Arcs of the ring; a fixed number, so tables of arcs have a proven bound.
 ARCS = 1 << 14
@@ -32,7 +32,7 @@ def place(parts: DataFrame, hops: DataFrame, capacity: list[int]) -> DataFrame:
     shard exceeds its capacity by less than one load); the rest goes on clockwise.
     """
     spark = parts.sparkSession
-    cap = spark.createDataFrame(list(enumerate(capacity)), "shard int, cap long")
+    cap = spark.sql("select * from values " + ", ".join(f"({k}, {c}L)" for k, c in enumerate(capacity)) + " as caps(shard, cap)")
     wait, placed = parts.withColumn("hop", F.lit(0)), None
     for _ in capacity:
         ask = wait.join(F.broadcast(hops), ["arc", "hop"]).join(F.broadcast(cap), "shard")
@@ -48,7 +48,7 @@ def place(parts: DataFrame, hops: DataFrame, capacity: list[int]) -> DataFrame:
     return placed.select("arc", "part", "load", "shard")
 
 
-def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.002, parts: int = 256, blocks: int = 512) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.002, parts: int = 256, block: int = 50_000) -> DataFrame:
     """Shard of every row of ``docs(doc_id, text)``, balanced by bytes: law ``bytes``.
 
     A text's hash is its place on a ring of ARCS arcs; virtual nodes of the shards lie on the same ring. A shard takes what
@@ -59,13 +59,15 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: floa
     fixed size. Null texts have size 1, null ids and repeated rows are placed like any other row; an empty table gives no
     rows; further columns are ignored. slot counts a shard's rows from 0 without gaps.
     """
-    spark, text = docs.sparkSession, F.col("text")
+    spark, text, mark = docs.sparkSession, F.col("text"), stashes()
     rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(ARCS)).alias("arc"), F.xxhash64("doc_id", text, F.lit(1)).alias("h"),
     )
-    rows = stash(rows.select("doc_id", "size", "text_crc32", "arc", F.pmod("h", F.lit(parts)).cast("int").alias("part"), F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int").alias("block")))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = stash(rows.select("doc_id", "size", "text_crc32", "arc", F.pmod("h", F.lit(parts)).cast("int").alias("part"), F.shiftrightunsigned("h", 20).alias("block")))
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # a shard's rows are counted in as many blocks as there are, so none grows with the input
+    rows = rows.withColumn("block", F.pmod("block", F.lit(max(512, n // (shards * block)))))
     limit = -(-int(total * (1 + slack)) // shards) + 1
     heavy = limit // 50
     # arcs are cut into parts only where they are heavy: at most 50 arcs a shard
@@ -78,9 +80,11 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: floa
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     first = counts.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("first"))
     slot = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("slot", slot).join(F.broadcast(first), ["shard", "block"]).select(
+    out = stash(rows.withColumn("slot", slot).join(first, ["shard", "block"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    ))
+    clear(spark, mark, out)
+    return out
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
