@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stash, table
+from .common import clear, stash, stashes, table
 from .tokens import chunks, mix, split
 
 #: The classifier is fitted on at most this many distinct labelled texts, those of lowest hash.
@@ -34,6 +35,19 @@ IDENTITY_TERMS = (
 )
 
 
+def inserter(groups=IDENTITY_TERMS):
+    """A function that puts an identity term into a text; term and place follow from the text's checksum."""
+    terms = [t for g in groups for t in g]
+
+    def insert(text: str) -> str:
+        mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        gaps = [m.start() for m in re.finditer(r"\s", text)]
+        at = gaps[mark // len(terms) % len(gaps)] if gaps else len(text)
+        return f"{text[:at]} {terms[mark % len(terms)]}{text[at:]}"
+
+    return insert
+
+
 def swapper(groups=IDENTITY_TERMS):
     """A function that swaps every identity term of a text, or None where the text has none."""
     following = {t: g[(k + 1) % len(g)] for g in groups for k, t in enumerate(g)}
@@ -64,6 +78,8 @@ class Model:
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0
+    change: float = 0.0
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << 20, bool)
@@ -86,14 +102,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n: int, swaps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model, classes weighed alike, with an L1 term and the mean squared change of score
-    over swapped pairs of texts as penalties; accelerated proximal gradient steps."""
+def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n: int, swaps: list[tuple[np.ndarray, np.ndarray]], swap_weight: float = SWAP_WEIGHT) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model, classes weighed alike, with an L1 term and ``swap_weight`` times the mean squared
+    change of the score's log-odds over swapped pairs of texts as penalties; accelerated proximal gradient steps."""
     weigh = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     cf_row = np.concatenate([np.full(len(a) + len(b), k) for k, (a, b) in enumerate(swaps)]) if swaps else np.empty(0, int)
     cf_col = np.concatenate([np.concatenate(p) for p in swaps]) if swaps else np.empty(0, int)
     cf_sign = np.concatenate([np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in swaps]) if swaps else np.empty(0)
-    lam = SWAP_WEIGHT / max(len(swaps), 1)
+    lam = swap_weight / max(len(swaps), 1)
     # traces bound the largest eigenvalues
     step = 1 / (0.25 * (weigh * (np.bincount(doc, minlength=len(y)) + 1)).sum() + 2 * lam * len(cf_row))
     w = v = np.zeros(n + 1)
@@ -113,18 +129,23 @@ def fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n: int, swaps: list
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups=IDENTITY_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups=IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT) -> Model:
     """Fit on the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks; rows with a null in any are left out,
     equal texts count once (toxic if any row is).
 
+    Every text of the sample gives one counterfactual pair: with its identity terms (those of ``groups``) swapped, or, if it
+    has none, with a term of a group put in. The terms are features even where no text holds them. Without
+    groups there are no pairs. The model's ``pairs`` and ``change`` tell how many there are and how much the log-odds of the
+    score still differ on average.
     The sample is chosen among hashes of texts; only its texts are fetched. Word statistics are grouped aggregates over the
     sample; only the MAX_FEATURES best and the sample's hits on them, both of bounded size, come to the driver. Without
     labels of both classes the model scores every text 0.
     """
-    mark = F.struct(F.xxhash64("text").alias("h"), F.crc32("text").alias("c"))
-    marks = docs.where("text is not null").select("doc_id", mark.alias("mark")).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    sign = F.struct(F.xxhash64("text").alias("h"), F.crc32("text").alias("c"))
+    marks = docs.where("text is not null").select("doc_id", sign.alias("mark")).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
     chosen = marks.groupBy("mark").agg(F.max("toxic").cast("int").alias("toxic"), F.min("doc_id").alias("doc_id")).orderBy("mark").limit(max_train)
-    texts = docs.where("text is not null").select("doc_id", "text", mark.alias("mark")).join(F.broadcast(chosen), ["doc_id", "mark"])
+    texts = docs.where("text is not null").select("doc_id", "text", sign.alias("mark")).join(F.broadcast(chosen), ["doc_id", "mark"])
+    mark = stashes()
     sample = stash(texts.dropDuplicates(["doc_id", "mark"]).select("text", "toxic").repartition(16))
 
     def hashed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups
 
     n_pos, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if n_pos in (0, n_all):
+        clear(docs.sparkSession, mark)
         return Model(np.empty(0, np.uint64), np.empty(0), -30.0)
     counted = sample.mapInPandas(hashed, "f long, pos long, n long").groupBy("f").agg(F.sum("pos").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
     rate = n_pos / n_all
@@ -145,33 +167,34 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups
     a, n = F.col("a"), F.col("n")
     ratio = 2 * (part(a, n * rate) + part(n - a, n * (1 - rate)))
     best = counted.withColumn("g", ratio).where(F.col("g") >= MIN_RATIO).orderBy(F.desc("g"), "f").limit(MAX_FEATURES).select("f")
-    hashes = np.sort(best.toPandas()["f"].to_numpy(np.int64).view(np.uint64))
-    model, swap = Model(hashes, np.zeros(len(hashes)), 0.0), swapper(groups)
+    terms = np.concatenate([np.empty(0, np.uint64), *(h for _, h in features([" ".join(t for g in groups for t in g)]))])
+    hashes = np.unique(np.concatenate((best.toPandas()["f"].to_numpy(np.int64).view(np.uint64), terms)))
+    model = Model(hashes, np.zeros(len(hashes)), 0.0)
+    swap, insert = (swapper(groups), inserter(groups)) if groups else (None, None)
 
     def hits(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in rows:
+
+            def lists(texts: list[str]) -> list[np.ndarray]:
+                out: list = [np.empty(0, int)] * len(texts)
+                for doc, k in model.known(texts):
+                    for d, x in zip(*np.unique(doc, return_index=True), strict=True):
+                        out[d] = k[x : x + np.searchsorted(doc[x:], d, "right")]
+                return out
+
             texts = part["text"].tolist()
-            lists: list[list] = [[] for _ in texts]
-            for doc, k in model.known(texts):
-                for d, x in zip(doc.tolist(), k.tolist(), strict=True):
-                    lists[d].append(x)
-            other = [swap(t) for t in texts]
-            swapped: list[list | None] = [None if o is None else [] for o in other]
-            for doc, k in model.known(other):
-                for d, x in zip(doc.tolist(), k.tolist(), strict=True):
-                    if swapped[d] is not None:
-                        swapped[d].append(x)
-            yield pd.DataFrame({"toxic": part["toxic"], "x": lists, "s": swapped})
-
-    found = sample.mapInPandas(hits, "toxic int, x array<int>, s array<int>").toPandas()
+            pairs = [(t, swap(t) or insert(t)) for t in texts] if groups else [(t, t) for t in texts]
+            one, other = (lists(list(x)) for x in zip(*pairs, strict=True)) if texts else ([], [])
+            yield pd.DataFrame({"toxic": part["toxic"], "x": lists(texts), "a": list(map(np.setdiff1d, one, other)), "b": list(map(np.setdiff1d, other, one))})
+
+    found = sample.mapInPandas(hits, "toxic int, x array<int>, a array<int>, b array<int>").toPandas()
     doc = np.repeat(np.arange(len(found)), [len(x) for x in found["x"]])
     feature = np.concatenate([np.asarray(x, int) for x in found["x"]]) if len(found) else np.empty(0, int)
-    swaps = []
-    for x, s in zip(found["x"], found["s"], strict=True):
-        if s is not None:
-            swaps.append((np.setdiff1d(x, s).astype(int), np.setdiff1d(s, x).astype(int)))
-    model.weights, model.bias = fit(doc, feature, found["toxic"].to_numpy(float), len(hashes), swaps)
-    discard(sample)
+    swaps = [(np.asarray(a, int), np.asarray(b, int)) for a, b in zip(found["a"], found["b"], strict=True)] if groups else []
+    model.weights, model.bias = fit(doc, feature, found["toxic"].to_numpy(float), len(hashes), swaps, swap_weight)
+    model.pairs = len(swaps)
+    model.change = float(np.mean([abs(model.weights[a].sum() - model.weights[b].sum()) for a, b in swaps])) if swaps else 0.0
+    clear(docs.sparkSession, mark)
     return model
 
 
