@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import decontam, jaccard, packing, pii, toxicity
-from opinara.llm.common import discard, stash, table
+from opinara.llm.common import clear, stash, stashes, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        after = stash(stage(spark, docs, sf_dir))
-        if hasattr(docs, "_stash_path"):
-            discard(docs)
-        docs = after
+    """The rows of the last stage over documents.
+
+    Without labels of both classes nothing is toxic, without benchmark items nothing is a leak; without documents there are
+    no rows. What the stages have written is deleted but for the input of the last one, which the result reads.
+    """
+    docs, mark = table(spark, sf_dir, "documents"), stashes()
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+        clear(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
