@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import clear, stash, stashes, table
 from .components import connected_components
 
 #: Rules of the query: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Rule tables up to this many rows are broadcast; larger ones are joined by a shuffle on the host.
-SMALL_RULES = 10_000
+#: Rule tables up to so many rows are looked through row by row; up to so many are broadcast, larger ones joined by a shuffle on the host.
+FEW_RULES, SMALL_RULES = 50, 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,8 +31,15 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and verdict of the longest fitting rule (of equal ones the longer host, then allow), or nulls, to rows with host and path.
 
-    Hosts are looked up once each: every host meets the rules of its suffixes, and its few candidates go back to the rows.
+    A few rules are part of the plan, and nothing is joined. Of more, hosts are looked up once each: every host meets the rules
+    of its suffixes, and its few candidates go back to the rows.
     """
+    few = rules.select("host", "path", "verdict").limit(FEW_RULES + 1).collect()
+    if 0 < len(few) <= FEW_RULES:
+        entry = lambda h, p, v: F.struct(F.lit(len(h + p)).alias("n"), F.lit(len(h)).alias("m"), F.lit(int(v == "allow")).alias("allow"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path"))
+        ours = lambda x: ((F.col("host") == x["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), x["host"]))) & F.startswith(F.col("path"), x["path"])
+        found = rows.withColumn("_best", F.array_max(F.filter(F.array(*(entry(*r) for r in few if None not in r)), ours)))
+        return found.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict")).drop("_best")
     small = rules.limit(SMALL_RULES + 1).count() <= SMALL_RULES
     hint = F.broadcast if small else (lambda x: x)
     by_host = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_list(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"), F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("allow"), F.col("path"), F.concat("host", "path").alias("rule"), "verdict")).alias("r"))
@@ -85,6 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     and path. Null urls and urls without ``://`` have empty host and path, no rule and no links: allow. Repeated rows stay;
     an empty table gives no rows; columns of other names are ignored.
     """
+    mark = stashes()
     key = lambda url: F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = _ruled(rows, rules)
@@ -99,7 +107,9 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     spread = parts.join(fate.where("block and not coalesce(allow, false)").select("component"), "component").select("node", F.lit(True).alias("spread"))
     out = ruled.join(spread, "node", "left")
     passed = F.coalesce("spread", F.lit(False)) & F.col("rule").isNull()
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(passed, "block").otherwise("allow")).alias("verdict"), passed.alias("spread"))
+    out = stash(out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(passed, "block").otherwise("allow")).alias("verdict"), passed.alias("spread")))
+    clear(pages.sparkSession, mark, out)
+    return out
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
