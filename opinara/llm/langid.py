@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import clear, stash, stashes, table
 from .tokens import chunks
 from .urls import host_of
 
-#: Buckets of hashed byte triples in the text model; languages it may know (a bound on what is broadcast).
-BUCKETS, MAX_LANGUAGES = 1 << 15, 256
+#: Buckets of hashed byte triples in the text model; languages in one block of it (a bound on what is broadcast at once).
+BUCKETS, LANGUAGES = 1 << 15, 128
 #: Weight of one triple's evidence (neighbouring triples repeat each other) and the most that text may say against a language.
 TEMPER, MOST = 0.2, 40.0
 #: Pseudo-counts: of a triple, of a declaration or suffix, and of a parent's share in a host's or domain's prior.
@@ -22,22 +22,24 @@ TRIPLE_PRIOR, MARK_PRIOR, PARENT = 0.5, 0.5, 5.0
 
 
 def _triples(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every byte triple; anything but letters counts as one space."""
-    data = np.frombuffer(b"  ".join(raw) + b"  ", np.uint8)
+    """(text number, bucket) of every byte triple around a letter; anything else counts as a space, so do a text's ends."""
+    data = np.frombuffer(b" " + b"  ".join(raw) + b"  ", np.uint8)
     data = np.where((data >= 65) & (data <= 90), data | 32, data)
     data = np.where(((data >= 97) & (data <= 122)) | (data >= 128), data, 32).astype(np.uint32)
     first = np.cumsum([0] + [len(r) + 2 for r in raw])
     code = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
     bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
+    # a triple belongs to the text of its middle
     doc = np.repeat(np.arange(len(raw)), np.diff(first))[: len(code)]
     real = (data[1:-1] != 32) & ~((data[:-2] == 32) & (data[2:] == 32))
     return doc[real], bucket[real].astype(np.int64)
 
 
-def text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood by language and bucket) from ``labelled(text, lang)``: counts over all rows.
+def text_model(labelled: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """(languages, blocks of log-likelihoods by language and bucket) from ``labelled(text, lang)``: counts over all rows.
 
-    Each task adds up its rows; per language and bucket one sum is shuffled and at most MAX_LANGUAGES x BUCKETS come back.
+    Each task adds up its rows, and per language and bucket one sum is shuffled. Languages come back in blocks, one row of
+    BUCKETS sums each; however many there are, all are known. Rows without text or lang are left out.
     """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,28 +58,36 @@ def text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     sums = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    found = sums.join(F.broadcast(known), "lang", "left_semi").toPandas()
-    languages = sorted(found["lang"].unique().tolist())
-    table_ = np.full((len(languages), BUCKETS), TRIPLE_PRIOR)
-    table_[[languages.index(x) for x in found["lang"]], found["bucket"].to_numpy(int)] += found["n"].to_numpy()
-    return languages, np.log(table_ / table_.sum(axis=1, keepdims=True)) if languages else table_
-
-
-def text_evidence(spark: SparkSession, model: tuple[list[str], np.ndarray]):
-    """A column function: log-likelihoods of a text by language, in the model's order, relative to the best; zeros for no text."""
-    shared = spark.sparkContext.broadcast(model[1].astype(np.float32))
+    mark = stashes()
+    sums = stash(sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")))
+    languages, blocks = sorted(r["lang"] for r in sums.select("lang").collect()), []
+    for k in range(0, len(languages), LANGUAGES):
+        own = languages[k : k + LANGUAGES]
+        table_ = np.full((len(own), BUCKETS), TRIPLE_PRIOR)
+        for lang, bucket, n in sums.where(F.col("lang").isin(*own)).toPandas()[["lang", "bucket", "n"]].itertuples(index=False):
+            table_[own.index(lang), np.asarray(bucket, int)] += n
+        blocks.append(np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32))
+    clear(labelled.sparkSession, mark)
+    return languages, blocks
+
+
+def text_evidence(spark: SparkSession, model: tuple[list[str], list[np.ndarray]], text: Column) -> Column:
+    """Log-likelihoods of a text by language, in the model's order; zeros for no text. One function for each block of languages."""
+
+    def of_block(logs: np.ndarray) -> Column:
+        shared = spark.sparkContext.broadcast(logs)
+
+        @F.pandas_udf("array<double>")
+        def evidence(text: pd.Series) -> pd.Series:
+            out: list = []
+            for _, raw in chunks(text.tolist()):
+                doc, bucket = _triples(raw)
+                out += list(np.stack([np.bincount(doc, row[bucket], len(raw)) for row in shared.value], axis=1) * TEMPER)
+            return pd.Series(out)
 
-    @F.pandas_udf("array<double>")
-    def evidence(text: pd.Series) -> pd.Series:
-        logs, out = shared.value, []
-        for _, raw in chunks(text.tolist()):
-            doc, bucket = _triples(raw)
-            sums = np.stack([np.bincount(doc, row[bucket], len(raw)) for row in logs], axis=1) * TEMPER
-            out += list(np.maximum(sums - sums.max(axis=1, keepdims=True), -MOST))
-        return pd.Series(out)
+        return evidence(text)
 
-    return evidence
+    return F.concat(*map(of_block, model[1]))
 
 
 def visible_text(html: Column) -> Column:
@@ -91,7 +101,7 @@ def declared(html: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
 
 
-def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(pages: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> DataFrame:
     """(page_id, host, declared, suffix, text_lang, lang, prob) of every row of ``pages(page_id, url, html)``.
 
     Text likelihoods alone give every page weights over the languages. Grouped sums of these weights give, with all pages
@@ -108,8 +118,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.:]*)(?::[0-9]*)?$", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
     if not n:
         return rows.select("page_id", "host", "declared", "suffix", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob"))
-    rows = rows.withColumn("e", text_evidence(spark, model)("_text")).drop("_text")
+    rows = rows.withColumn("e", text_evidence(spark, model, F.col("_text"))).drop("_text")
+    rows = rows.withColumn("_best", F.array_max("e")).withColumn("e", F.transform("e", lambda x: F.greatest(x - F.col("_best"), F.lit(-MOST)))).drop("_best")
     exps = F.transform("e", lambda x: F.exp(x))
+    mark = stashes()
     rows = stash(rows.withColumn("w", F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))))
     name = F.array(*map(F.lit, languages))
 
@@ -123,7 +135,6 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     # declarations and suffixes are few kinds, hosts and domains are not
     for key in ("declared", "suffix", "domain", "host"):
         joined = joined.join(sums(key, f"s_{key}"), key)
-    kinds = {"declared": joined}
     get = lambda c, k: F.col(c)[k]
     posterior = []
     n_declared = rows.select("declared").distinct().count()
@@ -137,7 +148,9 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     out = joined.withColumn("_p", F.array(*posterior)).withColumn("_m", F.array_max("_p"))
     out = out.withColumn("_z", F.aggregate(F.transform("_p", lambda x: F.exp(x - F.col("_m"))), F.lit(0.0), lambda a, b: a + b))
     best = lambda c: F.element_at(name, F.array_position(F.col(c), F.array_max(c)).cast("int"))
-    return out.select("page_id", "host", "declared", "suffix", best("e").alias("text_lang"), best("_p").alias("lang"), (1 / F.col("_z")).alias("prob"))
+    out = stash(out.select("page_id", "host", "declared", "suffix", best("e").alias("text_lang"), best("_p").alias("lang"), (1 / F.col("_z")).alias("prob")))
+    clear(spark, mark, out)
+    return out
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
