@@ -27,13 +27,15 @@ PART = 10_000
 
 
 @lru_cache(maxsize=4)
-def _encoders(vocabulary: str, ranks: str | None):
+def _exact(vocabulary: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(vocabulary)
-    if not ranks:
-        return slow, None
+    return Tokenizer.from_file(vocabulary)
+
+
+@lru_cache(maxsize=4)
+def _fast(ranks: str):
     import base64
 
     import public_tokenizers
@@ -41,7 +43,7 @@ def _encoders(vocabulary: str, ranks: str | None):
 
     with open(ranks, "rb") as lines:
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
 
 
 def paths() -> tuple[str, str]:
@@ -54,10 +56,10 @@ def encode(text: str | None, vocabulary: str, ranks: str | None = None) -> list[
     """Token ids without special tokens added; null gives none. Ids are those of ``vocabulary``; ``ranks`` only speeds up plain texts."""
     if not text:
         return []
-    slow, fast = _encoders(vocabulary, ranks)
-    if fast is None or _PLAIN.search(text):
-        return slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    # either is loaded when a text needs it
+    if not ranks or _PLAIN.search(text):
+        return _exact(vocabulary).encode(text, add_special_tokens=False).ids
+    return _fast(ranks).encode_ordinary(text)
 
 
 def pieces(n: int, longest: int = LENGTH) -> Iterator[tuple[int, int]]:
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
                 rows += [(doc.as_py(), at, n, zlib.crc32(ids[at : at + n]), len(ids), whole) for at, n in pieces(len(ids), longest)]
                 held.append(ids)
                 size += len(ids)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield flush()
                     rows, held, size = [], [], 0
             if rows:
