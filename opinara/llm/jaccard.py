@@ -205,7 +205,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     docs = docs.select("doc_id", "text")
     found = stash(_sizes(docs, k))
     reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"))
+    members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     shared = stash(_thin(_cells(_of(docs.where("doc_id is not null"), copies, "left_anti"), k, t)))
     points = stash(_points(_of(docs, shared.select(F.col("rep").alias("doc_id")).distinct()), k))

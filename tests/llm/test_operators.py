@@ -39,7 +39,7 @@ def sets(text, k):
 
 @pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_classes(spark, k, num, den):
-    rows = texts(k)
+    rows = [*texts(k), (1003, "the cat of the dog and x", None, None)]
     got = {r["doc_id"]: r for r in jaccard.classes(frame(spark, rows), k, f"{num}/{den}").collect()}
     own = {i: sets(t, k) for i, t, *_ in rows if i is not None}
     parent = {i: i for i in own}
@@ -56,6 +56,7 @@ def test_jaccard_classes(spark, k, num, den):
                 parent[b] = a
     assert {i: root(i) for i in own} == {i: got[i]["component_id"] for i in own}
     assert all(got[i]["n_shingles"] == len(own[i]) for i in own)
+    assert got[None]["component_id"] is None
     assert jaccard.classes(empty(spark)).count() == 0
 
 
