@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,37 +29,80 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of stashes in the order in which they were made, those of deleted ones too.
-_made: list[str] = []
+#: Of each thread, the paths of its stashes in the order in which they were made: calls in other threads are not touched.
+_own = threading.local()
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can reread it.
+def _made() -> list[str]:
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
-    Operators delete their stashes when the last reader is written; one that returns a stash leaves it to its caller.
-    """
+
+def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
-    _made.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The tables that one call writes in the shared folder: ``with Scratch(spark) as scratch``.
+
+    Lineage ends at a written table, and any executor can read it again. When the call ends, its tables are deleted but for
+    those handed on to the reader of its result; when it fails, all of them are. Other calls, in other threads too, have their own.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out = _written(df)
+        self.paths.append(out._stash_path)
+        return out
+
+    def hand_on(self, df: DataFrame) -> DataFrame:
+        self.paths.remove(df._stash_path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can reread it.
+
+    Operators delete their stashes when the last reader is written; one that returns a stash leaves it to its caller.
+    """
+    out = _written(df)
+    _made().append(out._stash_path)
     return out
 
 
 def stashes() -> int:
-    """A mark for ``clear``."""
-    return len(_made)
+    """A mark for ``clear``, of this thread."""
+    return len(_made())
 
 
 def clear(spark: SparkSession, since: int, *kept: DataFrame) -> None:
-    """Delete the stashes made since a mark, but for some."""
-    stay = {df._stash_path for df in kept}
-    gone = [path for path in _made[since:] if path not in stay]
-    _made[since:] = [path for path in _made[since:] if path in stay]
+    """Delete the stashes that this thread has made since a mark, but for some."""
+    made, stay = _made(), {df._stash_path for df in kept}
+    gone = [path for path in made[since:] if path not in stay]
+    made[since:] = [path for path in made[since:] if path in stay]
     for path in gone:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def words(text):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, lm, packing, pii, quality, sharding, toxicity, urls
+from . import decontam, divergence, infill, jaccard, langid, lm, mixing, packing, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_langid": langid.op9_langid,
     "op10_lm": lm.op10_lm,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLE_SQL = {
     "op3_urls": urls.OP3_SQL,
     "op6_quality": quality.OP6_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op13_infill": infill.OP13_SQL,
 }
