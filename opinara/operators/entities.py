@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
 
-from .matching import array_of, gazetteer, joined, kept, names, token_hits
+from .matching import array_of, gazetteers, joined, kept, names, token_hits
 
 # Patterns that decide what is found.
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -85,8 +85,9 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     clean, tokens = F.col("clean_text"), F.col("tokens")
     words = [w for ws in L.PRODUCT_TYPES.values() for w in ws]
     name_tokens = T.find_all(F.lower(F.coalesce("product_name", F.lit(""))), rf"[\p{{L}}\p{{N}}_{T.THAI}]+")
-    out = df.withColumns({
-        "brand": gazetteer(clean, L.BRANDS), "courier": gazetteer(clean, L.COURIERS), "platform": gazetteer(clean, L.PLATFORMS),
+    listed = {"brand": L.BRANDS, "courier": L.COURIERS, "platform": L.PLATFORMS}
+    out = df.withColumn("_listed", gazetteers(clean, listed)).withColumns({
+        **{name: F.col(f"_listed.{name}") for name in listed},
         "price": price(clean), "delivery_days": delivery_days(F.col("normalized_text")), "star_rating": stars(clean), "variant": variant(clean),
         "_name_hits": token_hits(name_tokens, words), "_found": ner(F.when(F.col("lang") == "en", clean)) if ner else F.lit(None).cast("struct<org:array<string>,place:array<string>,date:array<string>>"),
     })
@@ -100,4 +101,4 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
         "seller_shop": clear(F.when((F.size("brand") == 0) & (F.size(shops) == 0), proper).otherwise(shops)),
         "location": clear(places), "date_mentioned": F.array_sort(F.array_distinct(F.concat(thai_dates(clean), F.coalesce("_found.date", none)))),
         "product_type": product_type(F.col("hits"), F.col("_name_hits")),
-    }).drop("_name_hits", "_found")
+    }).drop("_name_hits", "_found", "_listed")

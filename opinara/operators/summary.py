@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 
 
-def not_spam(results: DataFrame) -> DataFrame:
-    return results.where(F.col("review_status") != L.STATUS_SPAM)
+def unless_spam(column: Column | str) -> Column:
+    """The value of rows that are not spam, else null. Not a filter: that would be pushed down to where the hits are made, and
+    repeat the whole screening and all that it rests on as its condition."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.when(F.col("review_status") != L.STATUS_SPAM, value)
 
 
 def status_counts(results: DataFrame) -> DataFrame:
@@ -27,7 +30,7 @@ def status_shares(results: DataFrame) -> DataFrame:
 
 def aspect_summary(results: DataFrame) -> DataFrame:
     """(ord, key, label, mentions, pos, neg, neutral, pos_pct, neg_pct) of every aspect that non-spam reviews mention."""
-    said = not_spam(results).select(F.explode("aspect_sentiment").alias("key", "polarity"))
+    said = results.select(F.explode(unless_spam("aspect_sentiment")).alias("key", "polarity"))
     count = lambda p: F.count_if(F.col("polarity") == p).alias(p)
     sums = said.groupBy("key").agg(F.count("*").alias("mentions"), count("pos"), count("neg"), count("neutral"))
     names = F.create_map(*(F.lit(x) for a, g in L.ASPECTS.items() for x in (a, g["label"])))
@@ -38,25 +41,27 @@ def aspect_summary(results: DataFrame) -> DataFrame:
 
 def top_terms(results: DataFrame, column: str, limit: int = 8) -> DataFrame:
     """(term, n) most frequent terms of a list column in non-spam reviews; of equal ones the first seen."""
-    terms = not_spam(results).select("pos", F.posexplode(column).alias("i", "term"))
+    terms = results.select("pos", F.posexplode(unless_spam(column)).alias("i", "term"))
     return terms.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("first")).orderBy(F.desc("n"), "first").limit(limit).select("term", "n")
 
 
 def price_range(results: DataFrame) -> DataFrame:
     """One row: least and largest price but 0."""
-    return not_spam(results).where("price <> 0").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    price = unless_spam(F.nullif("price", F.lit(0.0)))
+    return results.agg(F.min(price).alias("min_price"), F.max(price).alias("max_price"))
 
 
 def delivery_average(results: DataFrame) -> DataFrame:
     """One row: number, sum and mean of delivery days; the mean to one digit, null without any."""
-    days = not_spam(results).where("delivery_days > 0").agg(F.count("*").alias("n"), F.sum("delivery_days").alias("days"))
+    said = unless_spam(F.when(F.col("delivery_days") > 0, F.col("delivery_days")))
+    days = results.agg(F.count(said).alias("n"), F.sum(said).alias("days"))
     return days.withColumn("avg_delivery_days", F.bround(F.try_divide("days", "n"), 1))
 
 
 def sentiment_counts(results: DataFrame) -> DataFrame:
     """(overall_sentiment, n) of the four classes, zeros included."""
     kinds = ("positive", "mixed", "neutral", "negative")
-    row = not_spam(results).agg(*(F.count_if(F.col("overall_sentiment") == k).alias(k) for k in kinds))
+    row = results.agg(*(F.count_if(unless_spam(F.col("overall_sentiment") == k)).alias(k) for k in kinds))
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("overall_sentiment"), F.col(k).alias("n")) for k in kinds))).alias("r")).select("r.*")
 
 

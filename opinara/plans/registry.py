@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
-from opinara.operators import cleanse, corpus, evaluate, sampling, screening, summary
-from opinara.operators.matching import drop_inner_long, gazetteer, kept, token_hits
+from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, summary
+from opinara.operators.matching import drop_inner_long, kept, token_hits
 from opinara.sources import reviews as source
 
 from . import analyze as plan
@@ -255,8 +255,8 @@ def thai_dates(spark, sf_dir):
 
 @query(O.with_(*O.CLEAN) + f"select pos, {O.gazetteer('clean_text', L.BRANDS)} as brand, {O.gazetteer('clean_text', L.COURIERS)} as courier, {O.gazetteer('clean_text', L.PLATFORMS)} as platform from clean")
 def gazetteers(spark, sf_dir):
-    clean = F.col("clean_text")
-    return cleaned(spark, sf_dir).select("pos", gazetteer(clean, L.BRANDS).alias("brand"), gazetteer(clean, L.COURIERS).alias("courier"), gazetteer(clean, L.PLATFORMS).alias("platform"))
+    found = matching.gazetteers(F.col("clean_text"), {"brand": L.BRANDS, "courier": L.COURIERS, "platform": L.PLATFORMS})
+    return cleaned(spark, sf_dir).select("pos", found.alias("f")).select("pos", "f.*")
 
 
 _AMBIGUOUS = O.strings(L.AMBIGUOUS_PROVINCES)
