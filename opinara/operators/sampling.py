@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.sources.reviews import scratch
 
 UNIFIED = ["review_id", "lang", "source", "raw_text", "product_name", "product_price", "rate", "sentiment_label", "case_tags", "expected_aspects"]
 
@@ -88,27 +89,59 @@ def balanced_sample(df: DataFrame, n: int, key: str, label: str, classes=CLASSES
     return own.unionByName(fill).withColumn("pick", F.row_number().over(W.orderBy("_c", "_h", key))).where(F.col("pick") <= n).drop("_h", "_c")
 
 
+def sketches(df: DataFrame, key: str, text: str, label: str, strata: list[tuple[Column, int]], classes=CLASSES, seed: int = 42) -> DataFrame:
+    """The first rows of df, by hash of their key, of every (stratum, class): as many as any sample with these quotas can
+    need. Adds stratum, class (labels of no class are one more) and hash; a row comes once for each stratum it is in.
+
+    ``strata`` holds conditions and quotas in order. A stratum of quota n loses at most what the earlier ones may take, and
+    takes at most a class's share and n to fill up, so its sketch of a class needs no more than all three together. One
+    scan; every task cuts its groups to that size before the shuffle.
+    """
+    place = F.lit(len(classes))
+    for k, c in reversed(list(enumerate(classes))):
+        place = F.when(F.col(label) == c, k).otherwise(place)
+    need, before = [], 0
+    for _, n in strata:
+        need.append(before + -(-n // len(classes)) + n)
+        before += n
+    inside = F.array_compact(F.array(*(F.when(cond, k) for k, (cond, _) in enumerate(strata))))
+    rows = df.withColumns({"class": place, "hash": order_hash(key, seed), "stratum": F.explode(inside)})
+    rank = F.row_number().over(W.partitionBy("stratum", "class").orderBy("hash", key))
+    return rows.withColumn("_rank", rank).where((F.col("_rank") <= max(need)) & (F.col("_rank") <= F.get(F.array(*map(F.lit, need)), F.col("stratum")))).drop("_rank")
+
+
+def resolve(rows, quotas: list[int], classes: int = len(CLASSES), total: int | None = None) -> dict:
+    """Key to stratum of a sample, from the (stratum, class, hash, key) of sketches: strata in order, none takes a row
+    twice. Of a stratum every class gives an equal part, what a class lacks comes from the other rows, in order of the hash;
+    if there is more than the quota, the last classes lose. The last stratum fills up to ``total``."""
+    picked: dict = {}
+    for k, n in enumerate(quotas):
+        if total is not None and k == len(quotas) - 1:
+            n = max(0, total - len(picked))
+        free = sorted((h, key, c) for s, c, h, key in rows if s == k and key not in picked)
+        part, own = -(-n // classes), []
+        for c in range(classes):
+            own += [x for x in free if x[2] == c][:part]
+        taken = {x[1] for x in own}
+        own += [x for x in free if x[1] not in taken][: max(0, part * classes - len(own))]
+        picked.update((x[1], k) for x in own[:n])
+    return picked
+
+
 def quota_sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, quotas=QUOTAS, seed: int = 42) -> DataFrame:
     """A sample with quotas of tagged cases, rarest first, without repeats, filled up with texts of 30 to 150 characters.
 
-    Adds tags and stratum. Each stratum is a balanced sample of what the earlier ones left.
+    Adds tags and stratum. df is read once, for sketches of every stratum and class; the sample is worked out on their keys,
+    of which there are as many as the quotas allow for, and its rows are taken from the sketches.
     """
-    work = df.withColumn("tags", F.array_join(case_tags(F.col(text)), "|")).persist()
-    strata: dict = {}
-
-    def take(pool: DataFrame, n: int, stratum: int) -> None:
-        # only keys of picked rows come here, as many as the quotas allow in all
-        free = pool.where(~F.col(key).isin(*strata)) if strata else pool
-        strata.update((r[0], stratum) for r in balanced_sample(free.select(key, label), n, key, label, seed=seed).select(key).collect())
-
-    for k, (tag, n, least) in enumerate(quotas):
-        take(work.where(F.contains("tags", F.lit(tag)) & (F.length(text) >= least)), n, k)
-    if rows > len(strata):
-        take(work.where(F.length(text).between(30, 150)), rows - len(strata), len(quotas))
-    work.unpersist()
-    keys = df.sparkSession.createDataFrame(list(strata.items()), f"{key} {df.schema[key].dataType.simpleString()}, stratum int")
-    picked = work.join(F.broadcast(keys), key)
-    return picked.orderBy(order_hash(key, seed))
+    tagged = df.withColumn("tags", F.array_join(case_tags(F.col(text)), "|"))
+    strata = [(F.contains("tags", F.lit(tag)) & (F.length(text) >= least), n) for tag, n, least in quotas] + [(F.length(text).between(30, 150), rows)]
+    spark, path = df.sparkSession, scratch(df.sparkSession, "sketches")
+    sketches(tagged, key, text, label, strata, seed=seed).write.parquet(path)
+    found = spark.read.parquet(path)
+    picked = resolve(found.select("stratum", "class", "hash", key).collect(), [n for _, n in strata], total=rows)
+    keys = spark.createDataFrame(list(picked.items()), f"{key} {df.schema[key].dataType.simpleString()}, stratum int")
+    return found.join(F.broadcast(keys), [key, "stratum"]).orderBy("hash").select(*df.columns, "tags", "stratum")
 
 
 def unified(df: DataFrame, lang: str, source: str, prefix: str, order: str) -> DataFrame:

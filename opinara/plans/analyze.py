@@ -41,12 +41,18 @@ def analyze_batch(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ne
     ``vocab(word)``, most frequent first, turns on the mending of English words; ``tagger`` and ``ner`` are column functions
     for word classes and names; ``dictionary`` holds the words of Thai text.
     """
-    rank = cleanse.ranks(vocab) if vocab is not None else None
     out = screening.mark_duplicates(df.withColumn("raw_text", cleanse.text.strip(F.coalesce("raw_text", F.lit("")))))
-    out = cleanse.normalize(cleanse.clean(out, "raw_text", rank, bounded), rank)
+    return screening.screen(within_rows(out, vocab, tagger, ner, dictionary, bounded)).drop("hits")
+
+
+def within_rows(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ner=None, dictionary: set[str] | None = None, bounded: bool = False) -> DataFrame:
+    """The steps of ``analyze_batch`` that look at one row alone, of ``df(raw_text, product_name)`` with stripped texts: all but
+    duplicates and screening. Adds hits, too."""
+    rank = cleanse.ranks(vocab) if vocab is not None else None
+    out = cleanse.normalize(cleanse.clean(df, "raw_text", rank, bounded), rank)
     out = cleanse.tag_words(cleanse.tokenize(out, dictionary), tagger)
     out = out.withColumn("hits", token_hits(F.col("tokens"), TERMS))
-    return screening.screen(aspects.analyze_aspects(entities.extract(out, ner))).drop("hits")
+    return aspects.analyze_aspects(entities.extract(out, ner))
 
 
 def analyze(spark: SparkSession, raw_text: str, review_id: str = "-", product_name: str = "", **options) -> DataFrame:

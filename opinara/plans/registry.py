@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
-from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, summary
+from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, spelling, summary
 from opinara.operators.matching import drop_inner_long, kept, token_hits
 from opinara.sources import reviews as source
 
 from . import analyze as plan
+from . import incremental
 from . import oracle as O
 from .synthetic import DUMP_SQL, REVIEWS_SQL, dump, reviews
 
@@ -234,6 +235,31 @@ def drop_substrings(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", drop_inner_long(words).alias("outer_words"))
 
 
+_SPELL = _VOCAB + ", u as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents), w as (select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) where word in (select word from v) group by word)"
+
+
+def _near(sql: str) -> str:
+    return f"""with {_SPELL}, p as (select token, word, n, levenshtein(token, word) as distance from u, w where length(token) >= 3 and token not in (select word from v) and abs(length(token) - length(word)) <= 2),
+f as (select token, arg_min((word, distance, n), (distance, -n, word)) as b from p where distance <= case when length(token) < 5 then 1 else 2 end group by token) {sql}"""
+
+
+def _spelling(spark, sf_dir):
+    texts = docs(spark, sf_dir)
+    tokens = texts.select(F.explode(T.find_all(F.lower("text"), "[a-z]+")).alias("token"))
+    return spelling.corrections(tokens, cleanse.vocabulary(texts, "text"))
+
+
+@query(_near("select token, b[1] as word, b[2]::bigint as distance, b[3] as n from f"))
+def spell_corrections(spark, sf_dir):
+    return _spelling(spark, sf_dir).select("token", "word", *long("distance"), "n")
+
+
+@query(_near(", t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token, unnest(range(len(regexp_extract_all(lower(text), '[a-z]+')))) as i from documents) select doc_id, string_agg(coalesce(b[1], token), ' ' order by i) as corrected from t left join f using (token) group by doc_id"))
+def spell_correct(spark, sf_dir):
+    found = spelling.correct(docs(spark, sf_dir).select("doc_id", T.find_all(F.lower("text"), "[a-z]+").alias("words")), "doc_id", "words", _spelling(spark, sf_dir))
+    return found.where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("corrected"))
+
+
 # --- entities -------------------------------------------------------------------------------------------------------
 
 @query(O.with_(*O.NORMAL) + f"select pos, {O.PRICE} as price, ({O.DAYS})::bigint as delivery_days, {O.STARS} as star_rating from normal")
@@ -312,10 +338,25 @@ def duplicates(spark, sf_dir):
     return out.select("doc_id", "fingerprint", F.coalesce("duplicate_of", F.lit(-1)).cast("long").alias("duplicate_of"))
 
 
-@query(O.with_(*O.SCREEN) + "select pos, review_status, credibility_score::bigint as credibility_score, spam_signals, contact and promo as is_ad_spam, short or generic as is_low_quality, dup_of is not null as is_duplicate, coalesce(dup_of, '') as duplicate_of, " + O.REASONS + " as reasons from screen")
-def screening_results(spark, sf_dir):
+_SCREEN_SQL = O.with_(*O.SCREEN) + "select pos, review_status, credibility_score::bigint as credibility_score, spam_signals, contact and promo as is_ad_spam, short or generic as is_low_quality, dup_of is not null as is_duplicate, coalesce(dup_of, '') as duplicate_of, " + O.REASONS + " as reasons from screen"
+
+
+def _screened(out: DataFrame) -> DataFrame:
     reasons = F.transform("screening_reasons", lambda r: F.concat_ws("/", r["reason"], r["penalty"])).alias("reasons")
-    return results(spark, sf_dir).select("pos", "review_status", *long("credibility_score"), "spam_signals", "is_ad_spam", "is_low_quality", "is_duplicate", "duplicate_of", reasons)
+    return out.select("pos", "review_status", *long("credibility_score"), "spam_signals", "is_ad_spam", "is_low_quality", "is_duplicate", "duplicate_of", reasons)
+
+
+@query(_SCREEN_SQL)
+def screening_results(spark, sf_dir):
+    return _screened(results(spark, sf_dir))
+
+
+@query(_SCREEN_SQL)
+def incremental_analysis(spark, sf_dir):
+    # the second run finds all contents in the store
+    store = source.scratch(spark, "contents")
+    incremental.analyze_incremental(reviews(spark, sf_dir), store)
+    return _screened(incremental.analyze_incremental(reviews(spark, sf_dir), store))
 
 
 _LIST = "array_to_string({0}, ', ') as {0}".format

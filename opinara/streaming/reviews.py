@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opinara.functions import text as T
-from opinara.operators import aspects, cleanse, entities, screening
-from opinara.operators.matching import token_hits
-from opinara.plans.analyze import TERMS
+from opinara.operators import screening
+from opinara.plans.analyze import within_rows
 
 
 def analyze_stream(reviews: DataFrame, dictionary: set[str] | None = None) -> DataFrame:
     """Result columns of a stream ``reviews(review_id, raw_text, product_name)`` without a look at other rows: none is a duplicate."""
     out = reviews.withColumn("raw_text", T.strip(F.coalesce("raw_text", F.lit("")))).withColumn("fingerprint", T.fingerprint(F.col("raw_text"))).withColumn("duplicate_of", F.lit(None).cast("string"))
-    out = cleanse.tag_words(cleanse.tokenize(cleanse.normalize(cleanse.clean(out, "raw_text")), dictionary))
-    out = out.withColumn("hits", token_hits(F.col("tokens"), TERMS))
-    return screening.screen(aspects.analyze_aspects(entities.extract(out))).drop("hits")
+    return screening.screen(within_rows(out, dictionary=dictionary)).drop("hits")
 
 
 def first_reviews(reviews: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
