@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon, text
 
+from . import thai
+
 #: A vocabulary of more words than this is refused, so what is broadcast has a bound.
 MAX_VOCABULARY = 200_000
 
@@ -92,63 +94,16 @@ def normalize(df: DataFrame, rank: dict[str, int] | None = None) -> DataFrame:
     return df.withColumn("normalized_text", text.lower_latin(out))
 
 
-def _dictionary() -> set[str]:
+def dictionary() -> set[str]:
+    """The Thai words of all lexicons."""
     own = [w for words in (lexicon.GENERAL_POSITIVE, lexicon.GENERAL_NEGATIVE, lexicon.NEGATIONS, lexicon.PROMO_KEYWORDS, lexicon.GENERIC_PHRASES, lexicon.COURIERS, lexicon.PROVINCES, lexicon.STOPWORDS_TH, lexicon.TYPO_MAP, lexicon.TYPO_MAP.values(), *lexicon.PRODUCT_TYPES.values()) for w in words]
     own += [t for t, *_ in lexicon.aspect_terms()] + lexicon.THAI_MONTHS.split("|") + ["วัน", "ภายใน", "มาก", "ดาว", "สี", "ไซส์", "ขนาด", "รุ่น"]
     return {w for w in own if re.search("[ก-๙]", w) and " " not in w}
 
 
 def thai_tokenizer(words: set[str] | None = None):
-    """Column function: tokens of Thai text by maximal matching over a dictionary; fewest unknown characters, then fewest
-    tokens, then longest first. Runs outside the Thai range are split into letters, digits and single other characters;
-    neighbouring unknown characters are one token. Null stays null."""
-    words = _dictionary() if words is None else words
-    # lengths of the words that begin with two characters, longest first
-    lengths: dict[str, list[int]] = {}
-    for head, n in sorted({(w[:2], len(w)) for w in words if w}, key=lambda x: -x[1]):
-        lengths.setdefault(head, []).append(n)
-
-    def cut(run: str) -> list[str]:
-        """Backwards, for every place: unknown characters and tokens from there on, and the size of the first token, 0 if unknown."""
-        n = len(run)
-        unknown, tokens, size = [0] * (n + 1), [0] * (n + 1), [1] * (n + 1)
-        for at in range(n - 1, -1, -1):
-            best, count, choice = unknown[at + 1] + 1, tokens[at + 1] + (size[at + 1] > 0), 0
-            for head in (run[at : at + 2], run[at]) if at + 1 < n else (run[at],):
-                for k in lengths.get(head, ()):
-                    if at + k <= n and run[at : at + k] in words:
-                        rest = (unknown[at + k], tokens[at + k] + 1)
-                        if rest < (best, count) or (rest == (best, count) and not choice):
-                            (best, count), choice = rest, k
-            unknown[at], tokens[at], size[at] = best, count, choice
-        out, at, open_ = [], 0, False
-        while at < n:
-            end = at + (size[at] or 1)
-            if open_ and not size[at]:
-                out[-1] += run[at:end]
-            else:
-                out.append(run[at:end])
-            open_, at = not size[at], end
-        return out
-
-    @F.pandas_udf("array<string>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parts, memory = re.compile(r"[ก-๙]+|[a-zA-Z]+|\d+|\S"), {}
-
-        def split(part: str) -> list[str]:
-            if not "ก" <= part[0] <= "๙":
-                return [part]
-            if part not in memory:
-                if len(memory) > 100_000:
-                    memory.clear()
-                memory[part] = cut(part)
-            return memory[part]
-
-        for column in batches:
-            yield column.map(lambda t: None if t is None else [x for p in parts.findall(t) for x in split(p)])
-
-    # so marked, filters of a query are not pushed below (and do not repeat) the cleaning
-    return tokens.asNondeterministic()
+    """``thai.tokenizer`` with the words of the lexicons where none are given."""
+    return thai.tokenizer(dictionary() if words is None else words)
 
 
 def tokenize(df: DataFrame, dictionary: set[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
-from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, spelling, summary
+from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, spelling, summary, thai
 from opinara.operators.matching import drop_inner_long, kept, token_hits
 from opinara.sources import reviews as source
 
@@ -162,6 +162,31 @@ def thai_tokenize(spark, sf_dir):
     return rows.select("pos", cleanse.thai_tokenizer()(F.col("raw_text")).alias("tokens"))
 
 
+_MINED = """c as (select regexp_extract_all(run, '{0}') as c, count(*) as m from (select unnest(regexp_extract_all(raw_text, '[ก-๙]+')) as run from r) group by run),
+g as (select c, m, i, unnest(range(1, least(6, len(c) - i + 1) + 1)) as k from (select c, m, unnest(range(1, len(c) + 1)) as i from c)),
+gram as (select array_to_string(c[i:i + k - 1], '') as gram, k, m, case when i > 1 then c[i - 1] end as near_l, c[i + k] as near_r from g),
+nl as (select gram, near_l as near, sum(m) as m from gram group by 1, 2), nr as (select gram, near_r as near, sum(m) as m from gram group by 1, 2),
+el as (select gram, sum(case when near is not null then m * log2(m) else 0 end) as l from nl group by 1), er as (select gram, sum(case when near is not null then m * log2(m) else 0 end) as r from nr group by 1),
+n as (select gram, k, sum(m) as n from gram group by 1, 2), f as (select gram, k, n, log2(n) - greatest(l, r) / n as freedom from n join el using (gram) join er using (gram)),
+cut as (select gram, n, freedom, array_to_string(c[1:i], '') as a, array_to_string(c[i + 1:], '') as b from (select gram, n, freedom, c, unnest(range(1, k)) as i from (select *, regexp_extract_all(gram, '{0}') as c from f where n >= 20 and k >= 2 and freedom >= 1.5))),
+tie as (select cut.gram, cut.n, cut.freedom, min(log2(cut.n * (select sum(n) from f where k = 1) / (x.n::double * y.n))) as cohesion from cut join f x on x.gram = a join f y on y.gram = b group by 1, 2, 3)
+""".format(thai.CLUSTER)
+
+
+@query(O.with_(O.R, _MINED) + "select gram as word, n::bigint as n, round(freedom, 6) as freedom, round(cohesion, 6) as cohesion from tie where cohesion >= 3.0")
+def thai_words(spark, sf_dir):
+    found = thai.mine_words(reviews(spark, sf_dir), "raw_text")
+    return found.select("word", "n", F.round("freedom", 6).alias("freedom"), F.round("cohesion", 6).alias("cohesion"))
+
+
+@query()
+def thai_tokenize_mined(spark, sf_dir):
+    # a vocabulary of checked size, mined from the texts themselves, beside the lexicons
+    rows = reviews(spark, sf_dir).where(F.col("raw_text").rlike(f"[{T.THAI}]"))
+    words = cleanse.dictionary() | set(cleanse.ranks(thai.mine_words(rows, "raw_text")))
+    return rows.select("pos", cleanse.thai_tokenizer(words)("raw_text").alias("tokens"))
+
+
 @query(O.with_(O.R) + r"""select pos, list_transform(regexp_extract_all(raw_text, '[a-zA-Zก-๙]+|\p{Nd}+'), lambda t: t || '/X') as tags from r""")
 def pos_tags(spark, sf_dir):
     out = cleanse.tag_words(reviews(spark, sf_dir).withColumn("tokens", T.plain_tokens(F.col("raw_text"))))

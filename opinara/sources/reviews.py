@@ -33,8 +33,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with header that read_csv reads back; UTF-8 without a byte order mark."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV files with header that read_csv reads back, in UTF-8; with ``mark`` every file begins with a byte order mark, as
+    spreadsheets want it.
+
+    The mark is the first character of each header. The first column's name must not need quotes then.
+    """
+    if mark:
+        first = df.columns[0]
+        if re.search(r'[",\n\r]|^\s|\s$', first):
+            raise ValueError(f"with a byte order mark the first column cannot be named {first!r}")
+        df = df.toDF("\ufeff" + first, *df.columns[1:])
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
