@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opinara.sources.reviews import scratch
+
 
 def term_counts(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_share: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """((key, term, n), (term, df, n_docs)): counts per document and document frequencies within bounds.
@@ -30,34 +37,123 @@ def tfidf_keywords(df: DataFrame, key: str = "review_id", tokens: str = "tokens_
     return sums.orderBy(F.desc("weight"), "term").limit(top).select("term", F.round("weight", 4).alias("weight"))
 
 
-def lda_topics(df: DataFrame, key: str = "review_id", tokens: str = "tokens_clean", topics: int = 5, words: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """((topic_id, words), (key, topic_id)): leading words of each topic, and the strongest topic of each document.
+def digamma(x: np.ndarray) -> np.ndarray:
+    """For positive numbers, to about 12 digits: recurrence up to 6 and more, then the asymptotic series."""
+    x, out = np.array(x, float), 0.0
+    for _ in range(6):
+        out, x = out - 1 / x, x + 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+class Fitted(NamedTuple):
+    """Documents' weights of topics, and by document and word the counts expected of each topic."""
+
+    weight: np.ndarray
+    counts: np.ndarray
+
+
+def fit_documents(starts: np.ndarray, n: np.ndarray, beta: np.ndarray, prior: float, rounds: int = 100, tolerance: float = 1e-3) -> Fitted:
+    """Variational weights of many documents at once, none of them empty; document d has the words from starts[d] to
+    starts[d + 1]: n occurrences of each, whose row of beta is exp(E[log p(word | topic)]).
+
+    Each document starts from equal weights and stops for itself, when its weights change by less than the tolerance.
+    """
+    sizes, weight = np.diff(starts), np.ones((len(starts) - 1, beta.shape[1]))
+    theta_of = lambda w: np.exp(digamma(w) - digamma(w.sum(1))[:, None])
+    active = np.arange(len(sizes))
+    for _ in range(rounds):
+        if not len(active):
+            break
+        own = np.repeat(starts[active] - np.concatenate(([0], np.cumsum(sizes[active])[:-1])), sizes[active])
+        rows, theta = own + np.arange(len(own)), theta_of(weight[active])
+        some = beta[rows]
+        ratio = n[rows] / ((some * np.repeat(theta, sizes[active], 0)).sum(1) + 1e-100)
+        first = np.concatenate(([0], np.cumsum(sizes[active])[:-1]))
+        new = prior + theta * np.add.reduceat(ratio[:, None] * some, first, axis=0)
+        moved = np.abs(new - weight[active]).mean(1)
+        weight[active] = new
+        active = active[moved >= tolerance]
+    theta = np.repeat(theta_of(weight), sizes, 0)
+    return Fitted(weight, (n / ((beta * theta).sum(1) + 1e-100))[:, None] * theta * beta)
+
+
+def _fit(rows: pa.Array, topics: int) -> tuple[np.ndarray, pa.Array, Fitted]:
+    """(starts, terms, fit) of a column of words as ``_documents`` makes it."""
+    starts, flat = rows.offsets.to_numpy().astype(np.int64), rows.flatten()
+    n, beta = flat.field("n").to_numpy().astype(float), flat.field("b").flatten().to_numpy().reshape(-1, topics)
+    return starts - starts[0], flat.field("term"), fit_documents(starts - starts[0], n, beta, 1 / topics)
+
+
+_STATS = "array<struct<term:string,s:array<double>>>"
 
-    Documents without tokens have a null topic. With fewer than two documents a topic, or fewer terms than topics, there
-    are no topics and all assignments are null.
+
+def _documents(counts: DataFrame, terms: DataFrame, key: str, topics: int) -> DataFrame:
+    """(key, words) with the words of each document, their counts and expectations under ``terms(term, l)``."""
+    total = [float(x) for x in terms.agg(*(F.sum(F.get("l", F.lit(k))) for k in range(topics))).first()]
+
+    @F.arrow_udf("array<double>")
+    def expected(rows: pa.Array) -> pa.Array:
+        values = np.exp(digamma(rows.flatten().to_numpy().reshape(-1, topics)) - digamma(np.array(total)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * topics, pa.int32()), pa.array(values.ravel()))
+
+    beta = terms.select("term", expected("l").alias("b"))
+    return counts.join(beta, "term").groupBy(key).agg(F.collect_list(F.struct("term", "n", "b")).alias("words"))
+
+
+def topic_terms(counts: DataFrame, key: str, topics: int, iterations: int = 20, seed: int = 42) -> DataFrame:
+    """(term, l): the weight of every term in each topic, after batch variational updates of a topic model over
+    ``counts(key, term, n)``; priors are 1 / topics, the start is a hash of seed, topic and term.
+
+    Every iteration is one join by term, in which Spark broadcasts the terms where it finds them small, one step within the
+    document, and one aggregate by term; its result is written in the shared folder. Nothing but a sum for each topic comes
+    to the driver, so the vocabulary has no bound.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
+    spark, prior = counts.sparkSession, 1 / topics
+
+    @F.arrow_udf(_STATS)
+    def stats(words: pa.Array) -> pa.Array:
+        starts, terms, fitted = _fit(words, topics)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1) * topics, pa.int32()), pa.array(fitted.counts.ravel()))
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([terms, each], names=["term", "s"]))
 
+    start = F.array(*(F.crc32(F.concat(F.lit(f"{seed}|{k}|"), "term")) / F.lit(float(1 << 32)) + 0.5 for k in range(topics)))
+    path = scratch(spark, "topics")
+    counts.select("term").distinct().select("term", start.alias("l")).write.parquet(f"{path}/0")
+    for k in range(iterations):
+        terms = spark.read.parquet(f"{path}/{k}")
+        found = _documents(counts, terms, key, topics).select(F.explode(stats("words")).alias("w")).select("w.*")
+        sums = found.groupBy("term").agg(*(F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(topics)))
+        sums.select("term", F.array(*(F.col(f"s{j}") + prior for j in range(topics))).alias("l")).write.parquet(f"{path}/{k + 1}")
+    return spark.read.parquet(f"{path}/{iterations}")
+
+
+def lda_topics(df: DataFrame, key: str = "review_id", tokens: str = "tokens_clean", topics: int = 5, words: int = 8, seed: int = 42, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
+    """((topic_id, words), (key, topic_id)): leading words of each topic, and the strongest topic of each document.
+
+    Terms of two documents and more, but not of over 0.6 of all, count. Documents without tokens have a null topic, as have
+    those without such terms. With fewer than two documents a topic, or fewer terms than topics, there are no topics and all
+    assignments are null.
+    """
     spark = df.sparkSession
     none = spark.createDataFrame([], "topic_id int, words array<string>"), df.select(key, F.lit(None).cast("int").alias("topic_id"))
-    docs = df.where(F.size(tokens) > 0).select(key, F.col(tokens).alias("tokens"))
-    if docs.limit(2 * topics).count() < 2 * topics:
+    if df.where(F.size(tokens) > 0).limit(2 * topics).count() < 2 * topics:
         return none
-    try:
-        vectors = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2, maxDF=0.6).fit(docs)
-    except Exception as e:  # no term within the bounds
-        if "vocabulary" in str(e).lower():
-            return none
-        raise
-    if len(vectors.vocabulary) < topics:
+    counts, kept = term_counts(df, key, tokens)
+    path = scratch(spark, "term-counts")
+    counts.join(kept.select("term"), "term").write.parquet(path)
+    counts = spark.read.parquet(path)
+    if counts.select("term").distinct().limit(topics).count() < topics:
         return none
-    counted = vectors.transform(docs).select(key, "features").persist()
-    model = LDA(k=topics, maxIter=20, seed=seed, optimizer="online").fit(counted)
-    # as many rows as topics, with a few words each
-    leading = [(r["topic"], [vectors.vocabulary[i] for i in r["termIndices"]]) for r in model.describeTopics(words).collect()]
-    found = spark.createDataFrame(leading, "topic_id int, words array<string>")
-    weights = vector_to_array("topicDistribution")
-    best = model.transform(counted).select(key, (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic_id"))
-    return found, df.select(key).join(best, key, "left")
+    terms = topic_terms(counts, key, topics, iterations, seed)
+    weighed = terms.select("term", F.posexplode("l").alias("topic_id", "w"))
+    place = F.row_number().over(W.partitionBy("topic_id").orderBy(F.desc("w"), "term"))
+    first = weighed.withColumn("p", place).where(F.col("p") <= words).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("p", "term"))).alias("x"))
+    leading = first.select("topic_id", F.transform("x", lambda x: x["term"]).alias("words"))
+
+    @F.arrow_udf("int")
+    def strongest(rows: pa.Array) -> pa.Array:
+        return pa.array(_fit(rows, topics)[2].weight.argmax(1), pa.int32())
+
+    best = _documents(counts, terms, key, topics).select(key, strongest("words").alias("topic_id"))
+    return leading, df.select(key).join(best, key, "left")

@@ -19,6 +19,24 @@ VARIANT = r"(?iu)(?:สี|ไซส์|ไซซ์|ขนาด|รุ่น|s
 DATE = rf"\p{{Nd}}{{1,2}}\s*(?:{L.THAI_MONTHS})\s*\p{{Nd}}{{2,4}}|(?:{L.THAI_MONTHS})\s*\p{{Nd}}{{2,4}}"
 # End of the fixed values.
 
+#: English dates, from parts: what names a day, a month or a year. A mere length of time, such as three days, is none.
+MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
+YEAR = "(?:(?:19|20)[0-9][0-9])"
+WEEKDAY = "(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day)"
+NUMBER = "(?:[0-9]{1,3}|an?|one|two|three|four|five|six|seven|eight|nine|ten|few|couple of)"
+ENGLISH_DATE = "|".join((
+    rf"(?:{WEEKDAY},?\s+)?{MONTH}\.?\s+{DAY}(?:st|nd|rd|th)?(?:,?\s+{YEAR})?", rf"(?:{WEEKDAY},?\s+)?{DAY}(?:st|nd|rd|th)?(?:\s+of)?\s+{MONTH}\.?(?:,?\s+{YEAR})?",
+    rf"{MONTH}\.?,?\s+{YEAR}", rf"{YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", rf"{DAY}[/.](?:0?[1-9]|1[0-2])[/.]{YEAR}",
+    rf"(?:last|next|this)\s+(?:week|month|year|{WEEKDAY}|{MONTH})", rf"{NUMBER}\s+(?:days?|weeks?|months?|years?)\s+ago", "yesterday|today|tomorrow", WEEKDAY,
+))
+
+
+def english_dates(text: Column) -> Column:
+    """Sorted distinct dates as they are written: calendar days with or without year, months of a year, weekdays, and days told
+    from today, such as last week or two days ago."""
+    return F.array_sort(F.array_distinct(T.find_all(text, f"(?iu){_B}(?:{ENGLISH_DATE}){_E}")))
+
 
 def _ascii_digits(x: Column) -> Column:
     return F.translate(x, "๐๑๒๓๔๕๖๗๘๙", "0123456789")
@@ -80,7 +98,7 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     """Adds the entity columns; needs clean_text, normalized_text, tokens, pos_tags, lang, product_name and ``hits`` (token hits).
 
     ``ner`` is a column function clean_text -> struct<org array<string>, place array<string>, date array<string>> for English
-    rows; without one there are no such finds.
+    rows, beside the dates that patterns find; without one there are no names.
     """
     clean, tokens = F.col("clean_text"), F.col("tokens")
     words = [w for ws in L.PRODUCT_TYPES.values() for w in ws]
@@ -99,6 +117,6 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     places = F.when(F.col("lang") == "th", provinces(tokens, F.col("hits"))).otherwise(F.coalesce("_found.place", none))
     return out.withColumns({
         "seller_shop": clear(F.when((F.size("brand") == 0) & (F.size(shops) == 0), proper).otherwise(shops)),
-        "location": clear(places), "date_mentioned": F.array_sort(F.array_distinct(F.concat(thai_dates(clean), F.coalesce("_found.date", none)))),
+        "location": clear(places), "date_mentioned": F.array_sort(F.array_distinct(F.concat(thai_dates(clean), F.when(F.col("lang") == "en", english_dates(clean)).otherwise(none), F.coalesce("_found.date", none)))),
         "product_type": product_type(F.col("hits"), F.col("_name_hits")),
     }).drop("_name_hits", "_found", "_listed")

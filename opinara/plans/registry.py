@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
-from opinara.operators import cleanse, corpus, evaluate, matching, sampling, screening, spelling, summary, thai
+from opinara.operators import cleanse, corpus, entities, evaluate, matching, sampling, screening, spelling, summary, tagging, thai
 from opinara.operators.matching import drop_inner_long, kept, token_hits
 from opinara.sources import reviews as source
 
@@ -193,6 +193,15 @@ def pos_tags(spark, sf_dir):
     return out.select("pos", F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])).alias("tags"))
 
 
+@query()
+def pos_tags_learned(spark, sf_dir):
+    # learned from the words of the small table below in their sentences; all words of the reviews are tagged
+    tokens = reviews(spark, sf_dir).select("pos", T.plain_tokens(F.col("raw_text")).alias("tokens"))
+    model = tagging.fit(tokens.select(_tagger(F.col("tokens")).alias("pos_tags")))
+    out = cleanse.tag_words(tokens, tagging.tagger(spark, model))
+    return out.select("pos", F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])).alias("tags"), "keywords")
+
+
 #: A small table of word classes, a small vocabulary and patterns of names, in place of models: they drive all that rests on models.
 _CLASSES = {"good": "ADJ", "nice": "ADJ", "bad": "ADJ", "great": "ADJ", "excellent": "ADJ", "ดี": "ADJ", "product": "NOUN", "delivery": "NOUN", "seller": "NOUN", "phone": "NOUN", "like": "VERB", "works": "VERB", "buy": "VERB", "speaker": "PROPN", "kettle": "PROPN", "box": "PROPN", "issue": "PROPN", "ok": "PROPN"}
 _KNOWN = ["the", "of", "this", "that", "was", "and", "good", "so", "product", "excellent", "never", "delivery", "very", "not"]
@@ -304,6 +313,20 @@ def thai_dates(spark, sf_dir):
     return results(spark, sf_dir).select("pos", F.col("date_mentioned").alias("dates"))
 
 
+#: Phrases with the date of an order, written in Spark's and in DuckDB's formats.
+_SAID = [("concat('arrived on ', {0}, ' after 3 days')", "MMMM d, yyyy", "%B %-d, %Y"), ("concat('bought ', {0}, ', broken two weeks ago')", "d MMM", "%-d %b"), ("concat({0}, ' was a Monday')", "yyyy-MM-dd", "%Y-%m-%d"),
+    ("concat('since ', {0}, ' or last week; lasted 2 months')", "MMM yyyy", "%b %Y"), ("concat('on ', {0}, '/1999x and 05/02/2001')", "d/M", "%-d/%-m"), ("concat('may be ', {0}, ' or mayday 2000')", "EEEE", "%A")]
+_DATED = "(case {pick} " + " ".join(f"when {k} then {t}" for k, (t, _, _) in enumerate(_SAID)) + " end)"
+
+
+@query("with s as (select o_orderkey as pos, " + _DATED.format(*["?"], pick="o_orderkey % 6").replace("?", "d") + f" as said from (select *, case o_orderkey % 6 " + " ".join(f"when {k} then strftime(o_orderdate, '{f}')" for k, (_, _, f) in enumerate(_SAID)) + " end as d from orders) union all select doc_id, text from documents)"
+    + r" select pos, list_sort(list_distinct(regexp_extract_all(said, '(?i)\b(?:" + entities.ENGLISH_DATE + r")\b'))) as dates from s")
+def english_dates(spark, sf_dir):
+    forms = F.coalesce(*(F.when(F.col("o_orderkey") % 6 == k, F.date_format("o_orderdate", f)) for k, (_, f, _) in enumerate(_SAID)))
+    said = docs(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderkey", forms.alias("d")).select("pos", F.expr(_DATED.format("d", pick="cast(o_orderkey % 6 as int)")).alias("said"))
+    return said.unionAll(docs(spark, sf_dir).select("doc_id", "text")).select("pos", entities.english_dates(F.col("said")).alias("dates"))
+
+
 @query(O.with_(*O.CLEAN) + f"select pos, {O.gazetteer('clean_text', L.BRANDS)} as brand, {O.gazetteer('clean_text', L.COURIERS)} as courier, {O.gazetteer('clean_text', L.PLATFORMS)} as platform from clean")
 def gazetteers(spark, sf_dir):
     found = matching.gazetteers(F.col("clean_text"), {"brand": L.BRANDS, "courier": L.COURIERS, "platform": L.PLATFORMS})
@@ -676,6 +699,32 @@ def csv_roundtrip(spark, sf_dir):
     return source.read_csv(spark, path)
 
 
+#: Cells that a strict reader takes for missing, among others.
+_CELL = "case cast({0} % 4 as int) when 0 then 'NA' when 1 then '' when 2 then 'none' else {1} end"
+
+
+@query("select cast(conv_id as varchar) as conv_id, case cast(turn % 4 as int) when 0 then null when 1 then null when 2 then 'none' else role end as role, nullif(text, '') as text from conversations")
+def csv_strict(spark, sf_dir):
+    rows = docs(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string"), F.expr(_CELL.format("turn", "role")).alias("role"), "text")
+    path = source.scratch(spark, "strict")
+    source.write_csv(rows, path, mark=True)
+    return source.read_csv(spark, path, strict=True)
+
+
+@query("with " + _VOCAB + " select word, rank from v")
+def vocabulary_file(spark, sf_dir):
+    path = source.scratch(spark, "vocabulary")
+    source.write_vocabulary(cleanse.vocabulary(docs(spark, sf_dir), "text"), path)
+    return source.read_vocabulary(spark, path).select("word", *long("rank"))
+
+
+@query("select doc_id, row_number() over (order by sha1(doc_id || '|42')) - 1 as place from documents")
+def shuffled(spark, sf_dir):
+    # the first 60 bits of the hash that orders samples, as a number
+    number = F.conv(F.substr(sampling.order_hash("doc_id"), F.lit(1), F.lit(15)), 16, 10).cast("long")
+    return sampling.numbered(docs(spark, sf_dir).select("doc_id", number.alias("h")), "h", "place", ("doc_id",)).select("doc_id", *long("place"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.aspect_summary(results(spark, sf_dir))
 

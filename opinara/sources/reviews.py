@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """A CSV table of strings with header, quotes doubled, line breaks in quotes, a byte order mark allowed.
+def read_csv(spark: SparkSession, path: str, strict: bool = False, breaks: bool = True) -> DataFrame:
+    """A CSV table of strings with header, quotes doubled, a byte order mark allowed.
 
-    Empty cells are empty strings; with ``strict`` they, and the usual marks of missing values, are null.
+    ``breaks``: cells in quotes may hold line breaks, so a file is read by one task; without them large files are split. Empty cells are empty strings; with ``strict`` they, and the usual marks of missing values, are null.
     """
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", breaks).csv(path)
     if not strict:
         return df.na.fill("")
     missing = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A"]
