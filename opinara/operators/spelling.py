@@ -46,10 +46,14 @@ def corrections(tokens: DataFrame, known: DataFrame, least: int = 3, short: int
     return best.select("token", "b.word", "b.distance", (-F.col("b.m")).alias("n"))
 
 
-def correct(df: DataFrame, key: str, column: str, found: DataFrame) -> DataFrame:
-    """df with the tokens of a list column replaced by ``found(token, word)``. ``key`` is unique. Only tokens that are
-    replaced are gathered by row; all other tokens stay where they are."""
-    spots = df.select(key, F.posexplode(column).alias("i", "token")).join(found.select("token", "word"), "token")
-    fixes = spots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("_fixes"))
-    fixed = F.when(F.col("_fixes").isNull(), F.col(column)).otherwise(F.transform(column, lambda t, i: F.coalesce(F.try_element_at("_fixes", i), t)))
+def correct(df: DataFrame, key: str, column: str, found: DataFrame, known: DataFrame) -> DataFrame:
+    """df with the tokens of a list column replaced by ``found(token, word)``; ``known(word)`` are right as they are. ``key`` is
+    unique.
+
+    Each row's distinct tokens meet the known words first, which Spark broadcasts if it knows their table to be small: write
+    it before. Only what is left is dealt by token, and only what is replaced is gathered by row.
+    """
+    spots = df.select(key, F.explode(F.array_distinct(column)).alias("token")).join(known.select(F.col("word").alias("token")), "token", "left_anti")
+    fixes = spots.join(found.select("token", "word"), "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("_fixes"))
+    fixed = F.when(F.col("_fixes").isNull(), F.col(column)).otherwise(F.transform(column, lambda t: F.coalesce(F.try_element_at("_fixes", t), t)))
     return df.join(fixes, key, "left").withColumn(column, fixed).drop("_fixes")

@@ -278,19 +278,26 @@ f as (select token, arg_min((word, distance, n), (distance, -n, word)) as b from
 
 
 def _spelling(spark, sf_dir):
-    texts = docs(spark, sf_dir)
-    tokens = texts.select(F.explode(T.find_all(F.lower("text"), "[a-z]+")).alias("token"))
-    return spelling.corrections(tokens, cleanse.vocabulary(texts, "text"))
+    """(known words, corrections) of the documents, each a table: words are counted once."""
+    path = source.scratch(spark, "spelling")
+    words = docs(spark, sf_dir).select(F.explode(T.find_all(F.lower("text"), "[a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words.write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    words.where("n >= 50 and length(word) >= 2").write.parquet(f"{path}/known")
+    known = spark.read.parquet(f"{path}/known")
+    spelling.corrections(words.select(F.col("word").alias("token")), known).write.parquet(f"{path}/found")
+    return known, spark.read.parquet(f"{path}/found")
 
 
 @query(_near("select token, b[1] as word, b[2]::bigint as distance, b[3] as n from f"))
 def spell_corrections(spark, sf_dir):
-    return _spelling(spark, sf_dir).select("token", "word", *long("distance"), "n")
+    return _spelling(spark, sf_dir)[1].select("token", "word", *long("distance"), "n")
 
 
 @query(_near(", t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token, unnest(range(len(regexp_extract_all(lower(text), '[a-z]+')))) as i from documents) select doc_id, string_agg(coalesce(b[1], token), ' ' order by i) as corrected from t left join f using (token) group by doc_id"))
 def spell_correct(spark, sf_dir):
-    found = spelling.correct(docs(spark, sf_dir).select("doc_id", T.find_all(F.lower("text"), "[a-z]+").alias("words")), "doc_id", "words", _spelling(spark, sf_dir))
+    known, corrections = _spelling(spark, sf_dir)
+    found = spelling.correct(docs(spark, sf_dir).select("doc_id", T.find_all(F.lower("text"), "[a-z]+").alias("words")), "doc_id", "words", corrections, known)
     return found.where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("corrected"))
 
 

@@ -37,7 +37,7 @@ def test_corrections(spark, letters, size):
     found = spelling.corrections(spark.createDataFrame([(t,) for t in tokens], "token string"), frame)
     assert {r["token"]: (r["word"], r["distance"], r["n"]) for r in found.collect()} == want
     rows = [(k, [rng.choice(tokens) for _ in range(rng.randint(0, 6))]) for k in range(60)] + [(99, None)]
-    got = spelling.correct(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", found).collect()
+    got = spelling.correct(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", found, frame).collect()
     assert {r["k"]: r["w"] for r in got} == {k: None if w is None else [want[t][0] if t in want else t for t in w] for k, w in rows}
     assert spelling.corrections(frame.limit(0).select(F.col("word").alias("token")), frame).count() == 0
 
