@@ -41,7 +41,10 @@ def corrections(tokens: DataFrame, known: DataFrame, least: int = 3, short: int
     unknown = tokens.where(F.length("token") >= least).select("token").distinct().join(known.select(F.col("word").alias("token")), "token", "left_anti")
     wanted = unknown.select("token", F.explode(remainders(F.col("token"), allowed(F.col("token"), short, most))).alias("rest"))
     index = known.where(F.length("word") >= least - 1).select("word", "n", F.explode(remainders(F.col("word"), most)).alias("rest"))
-    met = wanted.join(index, "rest").select("token", "word", "n", F.levenshtein("token", "word").alias("distance")).where(F.col("distance") <= allowed(F.col("token"), short, most))
+    near = F.abs(F.length("token") - F.length("word")) <= allowed(F.col("token"), short, most)
+    # -1 where the distance is greater than the threshold, at which the comparison ends
+    met = wanted.join(index, "rest").where(near).select("token", "word", "n", F.levenshtein("token", "word", most).alias("distance"))
+    met = met.where((F.col("distance") >= 0) & (F.col("distance") <= allowed(F.col("token"), short, most)))
     best = met.groupBy("token").agg(F.min(F.struct("distance", (-F.col("n")).alias("m"), "word")).alias("b"))
     return best.select("token", "b.word", "b.distance", (-F.col("b.m")).alias("n"))
 
