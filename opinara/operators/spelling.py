@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Only so many first letters of a word are deleted from. Two words within d edits share a remainder of their first letters
 #: with d deletions at most, if the prefix is longer than d.
-PREFIX = 7
+PREFIX = 10
 
 
 def remainders(word: Column, deletions: Column | int) -> Column:
@@ -36,7 +36,7 @@ def corrections(tokens: DataFrame, known: DataFrame, least: int = 3, short: int
     ``known(word, n)`` holds distinct words and their frequency. Tokens of ``least`` letters and more are looked for; of
     the known words within the allowed edits (insertions, deletions, replacements) the nearest counts, then the most
     frequent, then the first. Tokens with none, and nulls, are left out. Tokens are made distinct before anything is joined;
-    both sides are keyed by remainders, at most 29 a word, and every pair that meets is verified.
+    both sides are keyed by remainders, at most 56 a word, and every pair that meets is verified.
     """
     unknown = tokens.where(F.length("token") >= least).select("token").distinct().join(known.select(F.col("word").alias("token")), "token", "left_anti")
     wanted = unknown.select("token", F.explode(remainders(F.col("token"), allowed(F.col("token"), short, most))).alias("rest"))
