@@ -58,7 +58,8 @@ def mark_duplicates(reviews: DataFrame, remember: timedelta, order: str = "pos",
 
     A first row is forgotten ``remember`` after it was seen (by the clock), so state is bounded; a later copy is a first row
     again. Keys are strings. A trigger's rows of a fingerprint not yet known are looked at together: bound them by the size of
-    a trigger (maxFilesPerTrigger). Uses the session's state store, set here to one that can forget.
+    a trigger (maxFilesPerTrigger). Uses the session's state store, set here to one that can forget. As time alone changes its
+    state, such a query does not end by itself, whatever its trigger: stop it when its progress shows all input.
     """
     reviews.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = StructType([*reviews.schema.fields, StructField("duplicate_of", StringType())])
