@@ -17,6 +17,8 @@ from .urls import host_of
 BUCKETS, LANGUAGES = 1 << 15, 128
 #: Weight of one triple's evidence (neighbouring triples repeat each other) and the most that text may say against a language.
 TEMPER, MOST = 0.2, 40.0
+#: Bytes up to which sums by declaration and by suffix are broadcast.
+SMALL = 32 << 20
 #: Pseudo-counts: of a triple, of a declaration or suffix, and of a parent's share in a host's or domain's prior.
 TRIPLE_PRIOR, MARK_PRIOR, PARENT = 0.5, 0.5, 5.0
 
@@ -101,6 +103,16 @@ def declared(html: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
 
 
+def _parts() -> dict[str, Column]:
+    """Suffix and domain of a host."""
+    return {"suffix": F.regexp_extract("host", r"([^.:]*)(?::[0-9]*)?$", 1), "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)}
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, broadcast if its rows of n numbers are counted to stay within SMALL bytes."""
+    return F.broadcast(df) if df.limit(SMALL // (8 * n) + 1).count() <= SMALL // (8 * n) else df
+
+
 def identify(pages: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> DataFrame:
     """(page_id, host, declared, suffix, text_lang, lang, prob) of every row of ``pages(page_id, url, html)``.
 
@@ -115,38 +127,37 @@ def identify(pages: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> Dat
     n = len(languages)
     host = host_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), declared(F.col("html")).alias("declared"), visible_text(F.coalesce("html", F.lit(""))).alias("_text"))
-    rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.:]*)(?::[0-9]*)?$", 1)).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
     if not n:
-        return rows.select("page_id", "host", "declared", "suffix", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob"))
+        return rows.select("page_id", "host", "declared", _parts()["suffix"].alias("suffix"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob"))
     rows = rows.withColumn("e", text_evidence(spark, model, F.col("_text"))).drop("_text")
     rows = rows.withColumn("_best", F.array_max("e")).withColumn("e", F.transform("e", lambda x: F.greatest(x - F.col("_best"), F.lit(-MOST)))).drop("_best")
     exps = F.transform("e", lambda x: F.exp(x))
     mark = stashes()
     rows = stash(rows.withColumn("w", F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))))
-    name = F.array(*map(F.lit, languages))
-
-    def sums(key: str, alias: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.array(*(F.sum(F.col("w")[k]) for k in range(n))).alias(alias))
-
-    whole = rows.agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) for k in range(n))).first()
-    base = [(x + 1) / (sum(whole) + n) for x in whole]
-    zero = F.array(*[F.lit(0.0)] * n)
-    joined = rows
-    # declarations and suffixes are few kinds, hosts and domains are not
-    for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(sums(key, f"s_{key}"), key)
-    get = lambda c, k: F.col(c)[k]
-    posterior = []
-    n_declared = rows.select("declared").distinct().count()
-    for k in range(n):
-        of_suffix = (get("s_suffix", k) + PARENT * base[k]) / (sum((get("s_suffix", j) for j in range(n)), F.lit(0.0)) + PARENT)
-        total = lambda c: sum((get(c, j) for j in range(n)), F.lit(0.0)) - 1
-        of_domain = (F.greatest(get("s_domain", k) - get("w", k), F.lit(0.0)) + PARENT * of_suffix) / (total("s_domain") + PARENT)
-        of_host = (F.greatest(get("s_host", k) - get("w", k), F.lit(0.0)) + PARENT * of_domain) / (total("s_host") + PARENT)
-        said = F.when(F.col("declared") == "", 0.0).otherwise(F.log((get("s_declared", k) + MARK_PRIOR) / (whole[k] + MARK_PRIOR * max(n_declared, 1))))
-        posterior.append(get("e", k) + F.log(of_host) + said)
-    out = joined.withColumn("_p", F.array(*posterior)).withColumn("_m", F.array_max("_p"))
-    out = out.withColumn("_z", F.aggregate(F.transform("_p", lambda x: F.exp(x - F.col("_m"))), F.lit(0.0), lambda a, b: a + b))
+    name = F.lit(languages)
+
+    def sums(df: DataFrame, key: str, column: str, alias: str) -> DataFrame:
+        return df.groupBy(key).agg(F.array(*(F.sum(F.col(column)[k]) for k in range(n))).alias(alias))
+
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    blend = lambda own, parent, size: F.zip_with(own, parent, lambda x, p: (x + PARENT * p) / (size + PARENT))
+    # a host has one domain and one suffix, so pages are gathered by host only
+    hosts = stash(sums(rows, "host", "w", "s_host").withColumns(_parts()))
+    domains, suffixes = stash(sums(hosts, "domain", "s_host", "s_domain")), stash(sums(hosts, "suffix", "s_host", "s_suffix"))
+    marks = stash(sums(rows, "declared", "w", "s_declared"))
+    whole = suffixes.agg(*(F.coalesce(F.sum(F.col("s_suffix")[k]), F.lit(0.0)) for k in range(n))).first()
+    base, seen = F.lit([(x + 1) / (sum(whole) + n) for x in whole]), F.lit([x + MARK_PRIOR * max(marks.count(), 1) for x in whole])
+    suffixes = suffixes.select("suffix", blend(F.col("s_suffix"), base, total(F.col("s_suffix"))).alias("of_suffix"))
+    hosts = hosts.join(_small(suffixes, n), "suffix").join(domains, "domain").select("host", "suffix", "of_suffix", "s_domain", total(F.col("s_domain")).alias("n_domain"), "s_host", total(F.col("s_host")).alias("n_host"))
+    marks = marks.select("declared", F.when(F.col("declared") == "", F.transform("s_declared", lambda _: F.lit(0.0))).otherwise(F.zip_with("s_declared", seen, lambda x, m: F.log((x + MARK_PRIOR) / m))).alias("said"))
+    joined = rows.join(_small(marks, n), "declared").join(hosts, "host")
+    # without the page's own weight
+    others = lambda c: F.zip_with(c, "w", lambda s, w: F.greatest(s - w, F.lit(0.0)))
+    of_domain = blend(others("s_domain"), F.col("of_suffix"), F.col("n_domain") - 1)
+    of_host = blend(others("s_host"), of_domain, F.col("n_host") - 1)
+    posterior = F.zip_with(F.zip_with("e", of_host, lambda e, p: e + F.log(p)), "said", lambda x, y: x + y)
+    out = joined.withColumn("_p", posterior).withColumn("_m", F.array_max("_p"))
+    out = out.withColumn("_z", total(F.transform("_p", lambda x: F.exp(x - F.col("_m")))))
     best = lambda c: F.element_at(name, F.array_position(F.col(c), F.array_max(c)).cast("int"))
     out = stash(out.select("page_id", "host", "declared", "suffix", best("e").alias("text_lang"), best("_p").alias("lang"), (1 / F.col("_z")).alias("prob")))
     clear(spark, mark, out)

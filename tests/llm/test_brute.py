@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -195,6 +196,19 @@ def test_languages_in_blocks(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in whole.items()} and all(got[k][1] == pytest.approx(whole[k][1]) for k in got)
 
 
+def test_two_hundred_languages(spark):
+    """The plan does not grow with the square of the languages."""
+    rng = random.Random(29)
+    own = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(200)}
+    say = lambda lang: " ".join(rng.choices(own[lang], k=25))
+    model = langid.text_model(spark.createDataFrame([(say(x), x) for x in own for _ in range(2)], "text string, lang string"))
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.t{k % 3}/", f"<p>{say(x)}", x) for k, x in enumerate(own)], "page_id long, url string, html string, right string")
+    begin = time.monotonic()
+    got = {r["page_id"]: r for r in langid.identify(pages.drop("right"), model).collect()}
+    assert time.monotonic() - begin < 40
+    assert all(got[k]["lang"] == x for k, x in enumerate(own)) and len(model[1]) == 2
+
+
 def test_counterfactual_pairs_keep_neutral_mentions_clean(spark):
     """Labels under which a group is mentioned in toxic texts only: with the penalty, mentions alone are not toxic."""
     rng = random.Random(27)
