@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +139,7 @@ def identify(pages: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> Dat
     name = F.lit(languages)
 
     def sums(df: DataFrame, key: str, column: str, alias: str) -> DataFrame:
-        return df.groupBy(key).agg(F.array(*(F.sum(F.col(column)[k]) for k in range(n))).alias(alias))
+        return df.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(alias))
 
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
     blend = lambda own, parent, size: F.zip_with(own, parent, lambda x, p: (x + PARENT * p) / (size + PARENT))
@@ -145,8 +147,9 @@ def identify(pages: DataFrame, model: tuple[list[str], list[np.ndarray]]) -> Dat
     hosts = stash(sums(rows, "host", "w", "s_host").withColumns(_parts()))
     domains, suffixes = stash(sums(hosts, "domain", "s_host", "s_domain")), stash(sums(hosts, "suffix", "s_host", "s_suffix"))
     marks = stash(sums(rows, "declared", "w", "s_declared"))
-    whole = suffixes.agg(*(F.coalesce(F.sum(F.col("s_suffix")[k]), F.lit(0.0)) for k in range(n))).first()
-    base, seen = F.lit([(x + 1) / (sum(whole) + n) for x in whole]), F.lit([x + MARK_PRIOR * max(marks.count(), 1) for x in whole])
+    whole = (sums(suffixes.withColumn("all", F.lit(1)), "all", "s_suffix", "s").first() or {"s": [0.0] * n})["s"]
+    kinds = max(marks.count(), 1)
+    base, seen = F.lit([(x + 1) / (sum(whole) + n) for x in whole]), F.lit([x + MARK_PRIOR * kinds for x in whole])
     suffixes = suffixes.select("suffix", blend(F.col("s_suffix"), base, total(F.col("s_suffix"))).alias("of_suffix"))
     hosts = hosts.join(_small(suffixes, n), "suffix").join(domains, "domain").select("host", "suffix", "of_suffix", "s_domain", total(F.col("s_domain")).alias("n_domain"), "s_host", total(F.col("s_host")).alias("n_host"))
     marks = marks.select("declared", F.when(F.col("declared") == "", F.transform("s_declared", lambda _: F.lit(0.0))).otherwise(F.zip_with("s_declared", seen, lambda x, m: F.log((x + MARK_PRIOR) / m))).alias("said"))
