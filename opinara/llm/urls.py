@@ -32,7 +32,7 @@ def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and verdict of the longest fitting rule (of equal ones the longer host, then allow), or nulls, to rows with host and path.
 
     A few rules are part of the plan, and nothing is joined. Of more, hosts are looked up once each: every host meets the rules
-    of its suffixes, and its few candidates go back to the rows.
+    of its suffixes, and its few candidates, written to the shared folder, go back to the rows.
     """
     few = rules.select("host", "path", "verdict").limit(FEW_RULES + 1).collect()
     if 0 < len(few) <= FEW_RULES:
@@ -45,7 +45,8 @@ def _ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
     by_host = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_list(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"), F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("allow"), F.col("path"), F.concat("host", "path").alias("rule"), "verdict")).alias("r"))
     labels = F.split("host", r"\.")
     hosts = rows.select("host").distinct().select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("suffix"))
-    fits = hosts.join(hint(by_host), "suffix").groupBy("host").agg(F.flatten(F.collect_list("r")).alias("r"))
+    # written, so that the join below has a shuffle of its own and the rows of a large host are split as skew
+    fits = stash(hosts.join(hint(by_host), "suffix").groupBy("host").agg(F.flatten(F.collect_list("r")).alias("r")))
     best = F.array_max(F.filter("r", lambda x: F.startswith(F.col("path"), x["path"])))
     return rows.join(fits, "host", "left").withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict")).drop("r", "_best")
 
