@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for p in parents[1:]:
         found = found.join(p.select(F.col("node").alias("parent"), F.col("parent").alias("up")), "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"))
     found = stash(found)
-    least = found.groupBy("parent").agg(F.min("node").alias("component"))
+    # written before it is joined, so that the join has a shuffle of its own and a giant component is split as skew
+    least = stash(found.groupBy("parent").agg(F.min("node").alias("component")))
     out = stash(found.join(least, "parent").select("node", "component"))
     clear(spark, mark, out)
     return out

@@ -114,11 +114,15 @@ def _thin(cells: DataFrame) -> DataFrame:
     A set shares at least so many keys of a grid with a similar one, so each may leave out all but one of so many of its
     keys, the same ones first for all: those of most members. What only a passage in common brings together goes this way.
     """
-    over, own = W.partitionBy("key"), W.partitionBy("rep", F.col("mark") % 2).orderBy(F.desc("m"), "key")
-    met = cells.select("key", "rep", "mark", F.count("*").over(over).alias("m"), F.min("rep").over(over).alias("lo"), F.max("rep").over(over).alias("hi")).where("lo < hi").drop("lo", "hi")
-    kept = met.withColumn("place", F.row_number().over(own)).where(F.col("place") >= F.floor(F.col("mark") / 2)).select("key", "rep")
-    kept = kept.select("key", "rep", F.min("rep").over(over).alias("leader"), F.max("rep").over(over).alias("last"))
-    return kept.where("leader < last").select("key", "rep", "leader")
+    own = W.partitionBy("rep", F.col("mark") % 2).orderBy(F.desc("m"), "key")
+    cells = stash(cells)
+    # a passage in common may give one key to any number of sets: keys are counted by partial aggregates, never gathered, and
+    # their written table has a shuffle of its own in the join, whose larger partitions the adaptive skew join splits
+    met = stash(cells.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "m"))
+    placed = cells.join(met, "key").withColumn("place", F.row_number().over(own))
+    kept = stash(placed.where(F.col("place") >= F.floor(F.col("mark") / 2)).select("key", "rep"))
+    led = stash(kept.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"))
+    return kept.join(led, "key").select("key", "rep", "leader")
 
 
 def _points(docs: DataFrame, k: int) -> DataFrame:
@@ -204,10 +208,14 @@ def classes(docs: DataFrame, k: int = 5, threshold: Fraction | str = "0.8") -> D
     t, spark, mark = Fraction(threshold), docs.sparkSession, stashes()
     docs = docs.select("doc_id", "text")
     found = stash(_sizes(docs, k))
-    reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    # only sets met under several ids are written and joined back; a set of any number of copies is split by the skew join
+    reps = found.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    reps = stash(reps.where("rep < last").drop("last"))
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id"))
+    members = stash(found.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", rep.alias("rep")))
     copies = members.where("doc_id <> rep").select("doc_id").distinct()
     shared = stash(_thin(_cells(_of(docs.where("doc_id is not null"), copies, "left_anti"), k, t)))
+    clear(spark, mark, members, shared)
     points = stash(_points(_of(docs, shared.select(F.col("rep").alias("doc_id")).distinct()), k))
     most = shared.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     x, y = points.alias("x"), points.alias("y")
