@@ -118,7 +118,7 @@ def _thin(cells: DataFrame) -> DataFrame:
     cells = stash(cells)
     # a passage in common may give one key to any number of sets: keys are counted by partial aggregates, never gathered, and
     # their written table has a shuffle of its own in the join, whose larger partitions the adaptive skew join splits
-    met = stash(cells.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "m"))
+    met = stash(cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     placed = cells.join(met, "key").withColumn("place", F.row_number().over(own))
     kept = stash(placed.where(F.col("place") >= F.floor(F.col("mark") / 2)).select("key", "rep"))
     led = stash(kept.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"))
