@@ -29,20 +29,36 @@ _BOUND = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
 BOUNDED = FOUND | {"line_id": LINE_ID.replace("(?:(?:line", r"(?:(?<![\p{L}\p{N}_])(?:line"), "social": SOCIAL.replace("(?iu)", r"(?iu)(?<![\p{L}\p{N}_])")}
 
 
+def once(value: Column) -> Column:
+    """The value, kept as a column of its own: so marked as not deterministic, it is neither copied into every column that uses
+    it nor into a filter, which would compute all that it rests on again."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def strip_ends(text: Column) -> Column:
+    """The same for a stored column: only texts that begin or end with white space are searched."""
+    return F.when(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(r"(?U)\s"), strip(text)).otherwise(text)
+
+
+def squeeze_inside(text: Column) -> Column:
+    """Runs of two and more white space characters as one space; single tabs and newlines stay."""
+    return F.regexp_replace(text, r"(?U)\s{2,}", " ")
+
+
 def squeeze(text: Column) -> Column:
-    """Runs of two and more white space characters as one space, ends stripped; single tabs and newlines stay."""
-    return strip(F.regexp_replace(text, r"(?U)\s{2,}", " "))
+    """The same with ends stripped."""
+    return strip(squeeze_inside(text))
 
 
 def language(text: Column) -> Column:
     """th if at least 15 % of the Thai and a-z letters are Thai, else en."""
-    thai = F.length(F.regexp_replace(text, f"[^{THAI}]", ""))
-    letters = F.length(F.regexp_replace(text, f"[^{THAI}a-zA-Z]", ""))
+    thai = F.length(F.regexp_replace(text, f"[^{THAI}]+", ""))
+    letters = F.length(F.regexp_replace(text, f"[^{THAI}a-zA-Z]+", ""))
     return F.when((letters > 0) & (thai / letters >= 0.15), "th").otherwise("en")
 
 

@@ -65,34 +65,34 @@ def analyze_aspects(df: DataFrame) -> DataFrame:
 
     Needs tokens, pos_tags and hits. Evidence is the six longest terms, equal lengths by term.
     """
-    text = joined(F.col("tokens"))
-    out = df.withColumn("_text", text).withColumn("_pairs", aspect_hits(F.col("hits"), F.col("_text")))
+    once = T.once
+    out = df.withColumn("_text", once(joined(F.col("tokens")))).withColumn("_pairs", once(aspect_hits(F.col("hits"), F.col("_text"))))
     free = F.filter(general_hits(F.col("hits"), F.col("_text")), lambda g: ~F.exists("_pairs", lambda p: (p["start"] <= g["start"]) & (g["start"] < p["end"])))
-    out = out.withColumn("general_hits", free).withColumn("_near", attach(F.col("general_hits"), F.col("_pairs")))
-    out = out.withColumn("aspects", F.array_distinct(F.transform("_pairs", lambda p: p["aspect"])))
+    out = out.withColumn("general_hits", once(free)).withColumn("_near", once(attach(F.col("general_hits"), F.col("_pairs"))))
+    out = out.withColumn("aspects", once(F.array_distinct(F.transform("_pairs", lambda p: p["aspect"]))))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["polarity"])
     mine = lambda xs, a: F.filter(xs, lambda x: x["aspect"] == a)
     # twice the score, in whole numbers
-    out = out.withColumn("_scores", F.transform("aspects", lambda a: F.struct(a.alias("aspect"), (2 * total(mine("_pairs", a)) + total(mine("_near", a))).alias("s"))))
+    out = out.withColumn("_scores", once(F.transform("aspects", lambda a: F.struct(a.alias("aspect"), (2 * total(mine("_pairs", a)) + total(mine("_near", a))).alias("s")))))
     label = lambda s: F.when(s > 0, "pos").when(s < 0, "neg").otherwise("neutral")
     longest = lambda a: F.transform(F.slice(F.array_sort(F.array_distinct(F.transform(mine("_pairs", a), lambda p: F.struct((-F.length(p["term"])).alias("n"), p["term"].alias("term"))))), 1, 6), lambda x: x["term"])
-    by_aspect = F.flatten(F.transform("aspects", lambda a: mine("_pairs", a)))
-    signed = lambda sign: F.transform(F.filter(by_aspect, lambda p: p["polarity"] * sign > 0), lambda p: p["term"])
-    out = out.withColumn("_pros", signed(1)).withColumn("_cons", signed(-1))
+    out = out.withColumn("_by", once(F.flatten(F.transform("aspects", lambda a: mine("_pairs", a)))))
+    signed = lambda sign: F.transform(F.filter("_by", lambda p: p["polarity"] * sign > 0), lambda p: p["term"])
+    out = out.withColumns({"_pros": once(signed(1)), "_cons": once(signed(-1))})
     adjective = lambda words: F.transform(F.filter("pos_tags", lambda p: (p["tag"] == "ADJ") & F.array_contains(array_of(words), F.lower(p["word"])) & ~F.array_contains("_pros", F.lower(p["word"])) & ~F.array_contains("_cons", F.lower(p["word"]))), lambda p: p["word"])
     negative_only = [w for w in L.GENERAL_NEGATIVE if w not in L.GENERAL_POSITIVE]
     general, sums = total(F.col("general_hits")), F.aggregate("_scores", F.lit(0), lambda a, x: a + x["s"])
     sizes = F.aggregate("_scores", F.lit(0), lambda a, x: a + F.abs(x["s"]))
     out = out.withColumns({
-        "aspect_sentiment": F.map_from_entries(F.transform("_scores", lambda x: F.struct(x["aspect"], label(x["s"])))),
-        "aspect_evidence": F.map_from_entries(F.transform("aspects", lambda a: F.struct(a, longest(a)))),
-        "pros": F.slice(drop_inner(F.concat("_pros", adjective(L.GENERAL_POSITIVE))), 1, 8),
-        "cons": F.slice(drop_inner(F.concat("_cons", adjective(negative_only))), 1, 8),
-        "_total": sums + general, "_size": sizes + F.abs(general),
-        "_up": F.exists("_scores", lambda x: x["s"] > 0), "_down": F.exists("_scores", lambda x: x["s"] < 0),
-    })
+        "aspect_sentiment": once(F.map_from_entries(F.transform("_scores", lambda x: F.struct(x["aspect"], label(x["s"]))))),
+        "aspect_evidence": once(F.map_from_entries(F.transform("aspects", lambda a: F.struct(a, longest(a))))),
+        "pros": once(F.slice(drop_inner(F.concat("_pros", adjective(L.GENERAL_POSITIVE))), 1, 8)),
+        "cons": once(F.slice(drop_inner(F.concat("_cons", adjective(negative_only))), 1, 8)),
+        "_general": once(general), "_sums": once(sums), "_sizes": once(sizes),
+        "_up": once(F.exists("_scores", lambda x: x["s"] > 0)), "_down": once(F.exists("_scores", lambda x: x["s"] < 0)),
+    }).withColumns({"_total": F.col("_sums") + F.col("_general"), "_size": F.col("_sizes") + F.abs("_general")})
     overall = F.when(F.col("_up") & F.col("_down"), "mixed").when(F.col("_up") | (F.col("_total") > 0), "positive").when(F.col("_down") | (F.col("_total") < 0), "negative").otherwise("neutral")
     score = F.when(F.col("_size") > 0, F.bround(F.col("_total") / F.col("_size"), 3)).otherwise(0.0)
     # in half points, so both are whole
-    out = out.withColumns({"overall_sentiment": overall, "sentiment_score": score, "score_total": F.col("_total"), "score_size": F.col("_size")})
-    return out.drop("_text", "_pairs", "_near", "_scores", "_pros", "_cons", "_total", "_size", "_up", "_down")
+    out = out.withColumns({"overall_sentiment": once(overall), "sentiment_score": once(score), "score_total": F.col("_total"), "score_size": F.col("_size")})
+    return out.drop("_text", "_pairs", "_near", "_scores", "_by", "_pros", "_cons", "_general", "_sums", "_sizes", "_total", "_size", "_up", "_down")

@@ -75,15 +75,15 @@ def clean(df: DataFrame, column: str = "raw_text", rank: dict[str, int] | None =
     before handles, against finds inside words.
     """
     patterns = text.BOUNDED if bounded else text.FOUND
-    out = df.withColumn("_t", text.strip(F.coalesce(column, F.lit("")))).withColumn("lang", text.language(F.col("_t"))).withColumn("had_html", text.has_html(F.col("_t")))
-    out = out.withColumn("_t", text.strip_html(F.col("_t"))).withColumn("emoji_count", text.emoji_count(F.col("_t"))).withColumn("_t", text.strip_emoji(F.col("_t")))
+    out, t, once = df.withColumn("_t", text.once(F.coalesce(column, F.lit("")))), F.col("_t"), text.once
+    out = out.withColumn("_t", once(text.strip_ends(t))).withColumns({"lang": once(text.language(t)), "had_html": once(text.has_html(t)), "_t": once(text.strip_html(t))})
+    out = out.withColumns({"emoji_count": once(text.emoji_count(t)), "_t": once(text.strip_emoji(t))}).withColumn("pii_removed", once(text.contacts(t, patterns)))
     # where nothing is found, all patterns fail and there is nothing to remove
-    out = out.withColumn("pii_removed", text.contacts(F.col("_t"), patterns))
-    out = out.withColumn("_t", F.when(F.size("pii_removed") > 0, text.remove_contacts(F.col("_t"), patterns)).otherwise(F.col("_t")))
+    out = out.withColumn("_t", once(F.when(F.size("pii_removed") > 0, text.remove_contacts(t, patterns)).otherwise(t)))
     if rank:
         fixed = word_fixer(df.sparkSession, rank, "split")(F.when(F.col("lang") == "en", F.col("_t")))
         out = out.withColumn("_t", F.coalesce(fixed, "_t"))
-    return out.withColumn("clean_text", text.squeeze(F.col("_t"))).drop("_t")
+    return out.withColumn("_t", once(text.squeeze_inside(t))).withColumn("clean_text", once(text.strip_ends(t))).drop("_t")
 
 
 def normalize(df: DataFrame, rank: dict[str, int] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def normalize(df: DataFrame, rank: dict[str, int] | None = None) -> DataFrame:
     out = text.collapse(F.col("clean_text"))
     if rank:
         out = word_fixer(df.sparkSession, rank, "double")(out)
-    return df.withColumn("normalized_text", text.lower_latin(out))
+    return df.withColumn("normalized_text", text.once(text.lower_latin(out)))
 
 
 def dictionary() -> set[str]:
@@ -111,7 +111,7 @@ def tokenize(df: DataFrame, dictionary: set[str] | None = None) -> DataFrame:
     or digits."""
     thai = F.col("lang") == "th"
     found = F.when(thai, thai_tokenizer(dictionary)(F.when(thai, F.col("normalized_text")))).otherwise(text.plain_tokens(F.col("normalized_text")))
-    return df.withColumn("tokens", fix_typos(found)).withColumn("tokens_clean", drop_stopwords(F.col("tokens")))
+    return df.withColumn("tokens", text.once(fix_typos(found))).withColumn("tokens_clean", text.once(drop_stopwords(F.col("tokens"))))
 
 
 def fix_typos(tokens: Column) -> Column:
@@ -135,6 +135,6 @@ def drop_stopwords(tokens: Column) -> Column:
 def tag_words(df: DataFrame, tagger=None) -> DataFrame:
     """Adds pos_tags and keywords. ``tagger`` is a column function tokens -> array<struct<word,tag>>; without one every tag is X."""
     tags = tagger(F.col("tokens")) if tagger else F.transform("tokens", lambda t: F.struct(t.alias("word"), F.lit("X").alias("tag")))
-    out = df.withColumn("pos_tags", tags)
+    out = df.withColumn("pos_tags", text.once(tags))
     content = F.transform(F.filter("pos_tags", lambda p: p["tag"].isin("NOUN", "PROPN", "ADJ", "VERB")), lambda p: p["word"])
-    return out.withColumn("keywords", F.slice(F.array_distinct(content), 1, 10))
+    return out.withColumn("keywords", text.once(F.slice(F.array_distinct(content), 1, 10)))

@@ -106,7 +106,7 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     listed = {"brand": L.BRANDS, "courier": L.COURIERS, "platform": L.PLATFORMS}
     out = df.withColumn("_listed", gazetteers(clean, listed)).withColumns({
         **{name: F.col(f"_listed.{name}") for name in listed},
-        "price": price(clean), "delivery_days": delivery_days(F.col("normalized_text")), "star_rating": stars(clean), "variant": variant(clean),
+        "price": T.once(price(clean)), "delivery_days": T.once(delivery_days(F.col("normalized_text"))), "star_rating": T.once(stars(clean)), "variant": T.once(variant(clean)),
         "_name_hits": token_hits(name_tokens, words), "_found": ner(F.when(F.col("lang") == "en", clean)) if ner else F.lit(None).cast("struct<org:array<string>,place:array<string>,date:array<string>>"),
     })
     none = F.array().cast("array<string>")
@@ -116,7 +116,7 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     clear = lambda xs: F.array_sort(F.array_distinct(F.filter(F.transform(xs, T.strip), lambda x: x != "")))
     places = F.when(F.col("lang") == "th", provinces(tokens, F.col("hits"))).otherwise(F.coalesce("_found.place", none))
     return out.withColumns({
-        "seller_shop": clear(F.when((F.size("brand") == 0) & (F.size(shops) == 0), proper).otherwise(shops)),
-        "location": clear(places), "date_mentioned": F.array_sort(F.array_distinct(F.concat(thai_dates(clean), F.when(F.col("lang") == "en", english_dates(clean)).otherwise(none), F.coalesce("_found.date", none)))),
-        "product_type": product_type(F.col("hits"), F.col("_name_hits")),
+        "seller_shop": T.once(clear(F.when((F.size("brand") == 0) & (F.size(shops) == 0), proper).otherwise(shops))),
+        "location": T.once(clear(places)), "date_mentioned": T.once(F.array_sort(F.array_distinct(F.concat(thai_dates(clean), F.when(F.col("lang") == "en", english_dates(clean)).otherwise(none), F.coalesce("_found.date", none))))),
+        "product_type": T.once(product_type(F.col("hits"), F.col("_name_hits"))),
     }).drop("_name_hits", "_found", "_listed")

@@ -19,7 +19,8 @@ def mark_duplicates(df: DataFrame, column: str = "raw_text", key: str = "review_
     First rows come from a partial aggregate on fingerprints, so no group of copies is gathered anywhere; they are joined
     back by fingerprint, where a very frequent one is split by the adaptive skew join.
     """
-    out = df.withColumn("fingerprint", T.fingerprint(T.strip(F.coalesce(column, F.lit("")))))
+    # neither end of a text counts: white space is no part of a fingerprint
+    out = df.withColumn("fingerprint", T.fingerprint(F.coalesce(column, F.lit(""))))
     first = out.groupBy("fingerprint").agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("_first"))
     out = out.join(first, "fingerprint")
     return out.withColumn("duplicate_of", F.when(F.col("_first.o") < F.col(order), F.col("_first.k"))).drop("_first")
@@ -33,14 +34,14 @@ def is_generic(text: Column, tokens: Column) -> Column:
 
 def screen(df: DataFrame) -> DataFrame:
     """Adds signals, flags, credibility_score, review_status and reasons; needs the columns of the earlier steps and duplicate_of."""
-    out = df.withColumn("_search", F.coalesce(F.nullif(F.array_join("tokens", " "), F.lit("")), "clean_text"))
-    out = out.withColumn("_promo", names(kept(F.col("hits"), L.PROMO_KEYWORDS)))
+    out = df.withColumn("_search", T.once(F.coalesce(F.nullif(F.array_join("tokens", " "), F.lit("")), "clean_text")))
+    out = out.withColumn("_promo", T.once(names(kept(F.col("hits"), L.PROMO_KEYWORDS))))
     contact, promo = F.size(F.map_keys("pii_removed")) > 0, F.size("_promo") > 0
     bare = F.size("aspects") == 0
     out = out.withColumns({
         "is_ad_spam": contact & promo, "_contact": contact, "_promoted": promo, "_short": (F.size("tokens_clean") < L.MIN_TOKENS) & bare,
-        "_generic": is_generic(F.col("_search"), F.col("tokens_clean")), "is_duplicate": F.col("duplicate_of").isNotNull(),
-        "_emoji": (F.col("emoji_count") > 0) & ~F.col("_search").rlike(f"[a-zA-Z{T.THAI}]"),
+        "_generic": T.once(is_generic(F.col("_search"), F.col("tokens_clean"))), "is_duplicate": F.col("duplicate_of").isNotNull(),
+        "_emoji": T.once((F.col("emoji_count") > 0) & ~F.col("_search").rlike(f"[a-zA-Z{T.THAI}]")),
     })
     ad, contact, promo, short, generic = F.col("is_ad_spam"), F.col("_contact"), F.col("_promoted"), F.col("_short"), F.col("_generic")
     cases = [
@@ -57,8 +58,8 @@ def screen(df: DataFrame) -> DataFrame:
     score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost))
     out = out.withColumns({
         "spam_signals": F.array_compact(F.array(*(F.when(when, s) for when, signals, _, _ in cases for s in signals))),
-        "is_low_quality": short | generic, "credibility_score": score,
+        "is_low_quality": short | generic, "credibility_score": T.once(score),
         "screening_reasons": F.array_compact(F.array(*(F.when(when, F.struct(why.alias("reason"), F.lit(cost).alias("penalty"))) for when, _, why, cost in cases))),
     })
     status = F.when(F.col("credibility_score") >= L.PASS, L.STATUS_PASS).when(F.col("credibility_score") >= L.SUSPECT, L.STATUS_SUSPECT).otherwise(L.STATUS_SPAM)
-    return out.withColumn("review_status", status).withColumn("duplicate_of", F.coalesce("duplicate_of", F.lit(""))).drop("_search", "_promo", "_contact", "_promoted", "_short", "_generic", "_emoji")
+    return out.withColumn("review_status", T.once(status)).withColumn("duplicate_of", F.coalesce("duplicate_of", F.lit(""))).drop("_search", "_promo", "_contact", "_promoted", "_short", "_generic", "_emoji")

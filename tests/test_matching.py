@@ -3,11 +3,14 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
+from opinara.functions import text as T
 from opinara.operators import matching, summary
 from opinara.plans import analyze as plan
+from opinara.plans import registry
 
 
 def plain_hits(text, terms, tokens=False):
@@ -77,3 +80,16 @@ def test_names_overlap():
     book = matching.Lexicon(["flash express", "flash", "express way"])
     assert [h[3] for h in book.in_text("Flash Express way")] == ["flash express", "flash", "express way"]
     assert [h[3] for h in matching.outermost(book.in_text("Flash Express way"))] == ["flash express", "express way"]
+
+
+@pytest.mark.parametrize("name,most", [("browse_results", 80_000), ("polarity_mistakes", 60_000), ("aspect_evidence", 50_000), ("general_hits", 50_000), ("variant_pairs", 40_000)])
+def test_filters_do_not_repeat_the_analysis(spark, name, most):
+    """Filters on results, and those that Spark takes from generators and comparisons, stay above what they are made from."""
+    out = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < most
+
+
+def test_ends_of_stored_texts(spark):
+    texts = ["", " ", "a", " a", "a ", "\n a b \t", " x ", "a\u0085", "​z", "é 😀 ", "ก ", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip(F.col("t")).alias("a"), T.strip_ends(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
