@@ -86,6 +86,8 @@ def _fit(rows: pa.Array, topics: int) -> tuple[np.ndarray, pa.Array, Fitted]:
 
 
 _STATS = "array<struct<term:string,s:array<double>>>"
+#: Weights of more terms than this do not pass through the driver, whatever the size of their files.
+MAX_BROADCAST = 20_000
 
 
 def _documents(counts: DataFrame, terms: DataFrame, key: str, topics: int) -> DataFrame:
@@ -98,6 +100,8 @@ def _documents(counts: DataFrame, terms: DataFrame, key: str, topics: int) -> Da
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * topics, pa.int32()), pa.array(values.ravel()))
 
     beta = terms.select("term", expected("l").alias("b"))
+    if terms.count() > MAX_BROADCAST:
+        beta = beta.hint("merge")
     return counts.join(beta, "term").groupBy(key).agg(F.collect_list(F.struct("term", "n", "b")).alias("words"))
 
 
@@ -105,8 +109,8 @@ def topic_terms(counts: DataFrame, key: str, topics: int, iterations: int = 20,
     """(term, l): the weight of every term in each topic, after batch variational updates of a topic model over
     ``counts(key, term, n)``; priors are 1 / topics, the start is a hash of seed, topic and term.
 
-    Every iteration is one join by term, in which Spark broadcasts the terms where it finds them small, one step within the
-    document, and one aggregate by term; its result is written in the shared folder. Nothing but a sum for each topic comes
+    Every iteration is one join by term, in which Spark may broadcast up to MAX_BROADCAST terms (files of doubles look smaller
+    than the table that the driver would hold for each iteration), one step within the document, and one aggregate by term; its result is written in the shared folder. Nothing but a sum for each topic comes
     to the driver, so the vocabulary has no bound.
     """
     spark, prior = counts.sparkSession, 1 / topics

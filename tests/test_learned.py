@@ -76,6 +76,16 @@ def test_topics_after_each_iteration(spark):
         assert set(got) == set(terms) and np.allclose([got[w] for w in terms], now, rtol=1e-8), iterations
 
 
+def test_large_vocabularies_do_not_pass_the_driver(spark, tmp_path):
+    n = corpus.MAX_BROADCAST + 1
+    spark.range(n).select(F.concat(F.lit("w"), "id").alias("term"), F.array(F.lit(0.5), F.lit(1.5)).alias("l")).write.parquet(str(tmp_path / "l"))
+    spark.range(2 * n).select((F.col("id") % 7).alias("id"), F.concat(F.lit("w"), F.col("id") % n).alias("term"), F.lit(1).alias("n")).write.parquet(str(tmp_path / "c"))
+    terms, counts = spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "c"))
+    large, small = (corpus._documents(counts, x, "id", 2) for x in (terms, terms.limit(100)))
+    assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+    assert large.select(F.sum(F.size("words"))).first()[0] == 2 * n and small.select(F.sum(F.size("words"))).first()[0] == 200
+
+
 def test_english_dates(spark):
     cases = {
         "arrived March 5, 1996 and on 3rd of April": ["3rd of April", "March 5, 1996"], "took 3 days, two weeks or 10 months": [], "two weeks ago, Monday, 2024-02-29": ["2024-02-29", "Monday", "two weeks ago"],
