@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ _BOUND = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
 BOUNDED = FOUND | {"line_id": LINE_ID.replace("(?:(?:line", r"(?:(?<![\p{L}\p{N}_])(?:line"), "social": SOCIAL.replace("(?iu)", r"(?iu)(?<![\p{L}\p{N}_])")}
 
 
+#: What a text in lower case must hold, one of them, for a kind to be found; others are not searched.
+MARKS = {
+    "url": ("://", "www."), "email": ("@",), "line_id": ("@", "line", "ไลน์", "ไอดี"), "phone": ("0",),
+    "social": ("facebook", "fb", "ig", "instagram", "tiktok", "whatsapp"),
+}
+#: Letters that some pattern takes for i or s, but that lower case leaves as they are, or as i with a dot above.
+_ODD = ("ı", "ſ", "\u0307")
+
+
 def once(value: Column) -> Column:
     """The value, kept as a column of its own: so marked as not deterministic, it is neither copied into every column that uses
     it nor into a filter, which would compute all that it rests on again."""
@@ -55,27 +65,49 @@ def squeeze(text: Column) -> Column:
     return strip(squeeze_inside(text))
 
 
+def holds(low: Column, *marks: str) -> Column:
+    """Whether a text in lower case holds one of some marks, so that a pattern in any case that needs one may match. A search for
+    marks takes a small part of the time of a pattern."""
+    odd = _ODD if any(c in m for m in marks for c in "is") else ()
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in (*marks, *odd)))
+
+
+def _each(keep: Callable[[str], bool]) -> str:
+    """A class that lists ASCII characters one by one: Java looks such a class up in one table, while ranges, categories and
+    negations take a call each for every character of a text."""
+    return "[" + "".join(f"\\x{k:02x}" for k in range(128) if keep(chr(k))) + "]"
+
+
+_LATIN, _NO_WORD = _each(str.isalpha), _each(lambda c: not c.isalnum() and c != "_")
+
+
 def language(text: Column) -> Column:
     """th if at least 15 % of the Thai and a-z letters are Thai, else en."""
-    thai = F.length(F.regexp_replace(text, f"[^{THAI}]+", ""))
-    letters = F.length(F.regexp_replace(text, f"[^{THAI}a-zA-Z]+", ""))
-    return F.when((letters > 0) & (thai / letters >= 0.15), "th").otherwise("en")
+    other = F.regexp_replace(text, f"[{THAI}]+", "")
+    thai, latin = F.length(text) - F.length(other), F.length(other) - F.length(F.regexp_replace(other, f"{_LATIN}+", ""))
+    return F.when(text.rlike(f"[{THAI}]") & (thai / (thai + latin) >= 0.15), "th").otherwise("en")
 
 
 def has_html(text: Column) -> Column:
-    return text.rlike(HTML_TAG) | text.rlike(HTML_ENTITY)
+    return (F.contains(text, F.lit("<")) & text.rlike(HTML_TAG)) | (F.contains(text, F.lit("&")) & text.rlike(HTML_ENTITY))
 
 
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, HTML_TAG, " "), HTML_ENTITY, " ")
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("&"))
+    return F.when(marked, F.regexp_replace(F.regexp_replace(text, HTML_TAG, " "), HTML_ENTITY, " ")).otherwise(text)
+
+
+def _may_hold_emoji(text: Column) -> Column:
+    """Whether a character lies in the one range around all that EMOJI lists, which Thai and Latin letters do not."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{200D}-\x{1FAFF}]")
 
 
 def emoji_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, EMOJI, ""))
+    return F.when(_may_hold_emoji(text), F.length(text) - F.length(F.regexp_replace(text, EMOJI, ""))).when(text.isNotNull(), 0)
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI, " ")
+    return F.when(_may_hold_emoji(text), F.regexp_replace(text, EMOJI, " ")).otherwise(text)
 
 
 def find_all(text: Column, pattern: str) -> Column:
@@ -94,37 +126,12 @@ def blank_out(text: Column, pattern: str, finds: Column) -> Column:
     return F.when(F.size(finds) > 0, F.array_join(F.zip_with(F.split(text, pattern, -1), spaces, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
-def contacts(text: Column, patterns: dict[str, str] = FOUND) -> Column:
-    """Map of kind to the distinct sorted finds; what one kind has found is blank for the next.
-
-    Every kind is searched once; texts without the mark that a kind needs are not searched.
-    """
-    marks, none = {"email": "@", "phone": "0"}, F.array().cast("array<string>")
-    clear = lambda c: F.array_sort(F.array_distinct(F.transform(c, strip)))
-
-    def search(left: Column, kinds: list[str], found: list[Column]) -> Column:
-        if not kinds:
-            entries = [F.when(F.size(c) > 0, F.struct(F.lit(kind).alias("key"), clear(c).alias("value"))) for kind, c in zip(patterns, found, strict=True)]
-            return F.map_from_entries(F.array_compact(F.array(*entries)))
-        kind, pattern = kinds[0], patterns[kinds[0]]
-        hits = F.when(F.contains(left, F.lit(marks[kind])), find_all(left, pattern)).otherwise(none) if kind in marks else find_all(left, pattern)
-        last = len(kinds) == 1
-        return let(hits, lambda h: search(left, [], [*found, h]) if last else let(blank_out(left, pattern, h), lambda rest: search(rest, kinds[1:], [*found, h])))
-
-    return F.when(text.isNotNull(), let(text, lambda t: search(t, list(patterns), [])))
-
-
-def remove_contacts(text: Column, patterns: dict[str, str] = FOUND) -> Column:
-    for kind in REMOVED:
-        text = F.regexp_replace(text, patterns[kind], " ")
-    return text
-
-
 def collapse(text: Column) -> Column:
     """Three and more of a character: Thai as one, a-z as two, anything else but white space as one."""
-    text = F.regexp_replace(text, rf"([{THAI}])\1{{2,}}", "$1")
-    text = F.regexp_replace(text, r"([a-zA-Z])\1{2,}", "$1$1")
-    return F.regexp_replace(text, rf"(?U)([^{THAI}a-zA-Z\s])\1{{2,}}", "$1")
+    once = F.regexp_replace(text, rf"([{THAI}])\1{{2,}}", "$1")
+    once = F.regexp_replace(once, r"([a-zA-Z])\1{2,}", "$1$1")
+    once = F.regexp_replace(once, rf"(?U)([^{THAI}a-zA-Z\s])\1{{2,}}", "$1")
+    return F.when(text.rlike(r"(?s)(.)\1\1"), once).otherwise(text)
 
 
 def lower_latin(text: Column) -> Column:
@@ -133,7 +140,8 @@ def lower_latin(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """SHA-1 of the lower-cased text without anything but letters, digits and Thai."""
-    return F.sha1(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{THAI}]+", ""))
+    words = F.regexp_replace(F.lower(text), f"{_NO_WORD}+", "")
+    return F.sha1(F.when(F.octet_length(words) > F.length(words), F.regexp_replace(words, rf"[^\x00-\x7F{THAI}\p{{L}}\p{{N}}]+", "")).otherwise(words))
 
 
 def plain_tokens(text: Column) -> Column:

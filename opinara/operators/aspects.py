@@ -20,29 +20,35 @@ def negated(text: Column, start: Column) -> Column:
 
 
 def general_hits(hits: Column, text: Column) -> Column:
-    """array<(term, start, end, polarity)> of the words of praise and blame that are not bound to an aspect."""
-    terms = L.general_terms()
-    own, sign = array_of([t for t, _ in terms]), array_of([p for _, p in terms])
-    polarity = lambda h: F.get(sign, F.array_position(own, h["term"]).cast("int") - 1) * F.when(negated(text, h["start"]), -1).otherwise(1)
-    return F.transform(kept(hits, [t for t, _ in terms]), lambda h: F.struct(h["term"].alias("term"), h["start"].alias("start"), (-h["neg"]).alias("end"), polarity(h).alias("polarity")))
+    """array<(term, start, end, polarity)> of the words of praise and blame that are not bound to an aspect, of hits of
+    ``lexicon.TERMS``."""
+    known = dict(L.general_terms())
+    sign = array_of([known.get(t, 0) for t in L.TERMS])
+    polarity = lambda h: F.get(sign, h["ord"]) * F.when(negated(text, h["start"]), -1).otherwise(1)
+    return F.transform(kept(hits, list(known)), lambda h: F.struct(h["term"].alias("term"), h["start"].alias("start"), (-h["neg"]).alias("end"), polarity(h).alias("polarity")))
+
+
+def _bound() -> tuple[list[str], Column]:
+    """The terms that are bound to aspects; for every place in ``lexicon.TERMS`` the (aspect, polarity) of its term, in aspect
+    order. A hit is looked up by its place: a search for its term among all terms of an aspect takes longer than all else here."""
+    table: dict[str, list[str]] = {t: [] for t in L.TERMS}
+    for term, aspect, _, sign in sorted(L.aspect_terms(), key=lambda row: row[2]):
+        table[term].append(f"struct('{aspect}' as aspect, {sign} as polarity)")
+    kind = "array<struct<aspect:string,polarity:int>>"
+    return [t for t, found in table.items() if found], F.expr("array(" + ", ".join(f"cast(array({', '.join(found)}) as {kind})" for found in table.values()) + ")")
 
 
 def aspect_hits(hits: Column, text: Column) -> Column:
-    """array<(aspect, term, start, end, polarity)> in text order; a term of several aspects comes once for each, in aspect order."""
-    terms = L.aspect_terms()
-    own = kept(hits, list(dict.fromkeys(t for t, *_ in terms)))
+    """array<(aspect, term, start, end, polarity)> in text order, of hits of ``lexicon.TERMS``; a term of several aspects comes
+    once for each, in aspect order."""
+    terms, table = _bound()
 
     def entries(h: Column) -> Column:
-        sign = F.when(negated(text, h["start"]), -1).otherwise(1)
-        found = []
-        for aspect in L.ASPECT_KEYS:
-            mine = [(t, p) for t, a, _, p in terms if a == aspect]
-            at = F.array_position(array_of([t for t, _ in mine]), h["term"]).cast("int")
-            entry = F.struct(F.lit(aspect).alias("aspect"), h["term"].alias("term"), h["start"].alias("start"), (-h["neg"]).alias("end"), (F.get(array_of([p for _, p in mine]), at - 1) * sign).alias("polarity"))
-            found.append(F.when(at > 0, entry))
-        return F.array_compact(F.array(*found))
-
-    return F.flatten(F.transform(own, entries))
+        place = [h["term"].alias("term"), h["start"].alias("start"), (-h["neg"]).alias("end")]
+        entry = lambda sign: lambda e: F.struct(e["aspect"].alias("aspect"), *place, (e["polarity"] * sign).alias("polarity"))
+        return F.when(negated(text, h["start"]), F.transform(F.get(table, h["ord"]), entry(-1))).otherwise(F.transform(F.get(table, h["ord"]), entry(1)))
+
+    return F.flatten(F.transform(kept(hits, terms), entries))
 
 
 def attach(general: Column, pairs: Column) -> Column:

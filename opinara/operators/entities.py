@@ -19,6 +19,9 @@ VARIANT = r"(?iu)(?:สี|ไซส์|ไซซ์|ขนาด|รุ่น|s
 DATE = rf"\p{{Nd}}{{1,2}}\s*(?:{L.THAI_MONTHS})\s*\p{{Nd}}{{2,4}}|(?:{L.THAI_MONTHS})\s*\p{{Nd}}{{2,4}}"
 # End of the fixed values.
 
+#: The words of all product types; hits in names have their places in this list.
+TYPE_WORDS = [w for ws in L.PRODUCT_TYPES.values() for w in ws]
+
 #: English dates, from parts: what names a day, a month or a year. A mere length of time, such as three days, is none.
 MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
@@ -32,10 +35,15 @@ ENGLISH_DATE = "|".join((
 ))
 
 
+#: What a text in lower case must hold, one of them, for a date to be found: a month, a weekday, a word of time or a year.
+_DATE_MARKS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "last", "next", "this", "ago", "day", "tomorrow", "19", "20")
+
+
 def english_dates(text: Column) -> Column:
     """Sorted distinct dates as they are written: calendar days with or without year, months of a year, weekdays, and days told
     from today, such as last week or two days ago."""
-    return F.array_sort(F.array_distinct(T.find_all(text, f"(?iu){_B}(?:{ENGLISH_DATE}){_E}")))
+    found = F.array_sort(F.array_distinct(T.find_all(text, f"(?iu){_B}(?:{ENGLISH_DATE}){_E}")))
+    return F.when(text.isNull() | T.holds(F.lower(text), *_DATE_MARKS), found).otherwise(F.array().cast("array<string>"))
 
 
 def _ascii_digits(x: Column) -> Column:
@@ -45,19 +53,20 @@ def _ascii_digits(x: Column) -> Column:
 def price(text: Column) -> Column:
     """The first amount with a currency, commas dropped; null if that is no number."""
     first = F.coalesce(F.nullif(F.regexp_extract(text, PRICE, 1), F.lit("")), F.nullif(F.regexp_extract(text, PRICE, 2), F.lit("")))
+    first = F.when(T.holds(F.lower(text), "฿", "₹", "บาท", "rs", "inr", "thb", "rupee"), first)
     return F.replace(_ascii_digits(first), F.lit(",")).try_cast("double")
 
 
 def delivery_days(text: Column) -> Column:
     """The least number of days from 1 to 60."""
     found = F.transform(F.regexp_extract_all(text, F.lit(DAYS), F.lit(1)), lambda x: _ascii_digits(x).cast("int"))
-    return F.array_min(F.filter(found, lambda d: d.between(1, 60)))
+    return F.when(T.holds(F.lower(text), "วัน", "day"), F.array_min(F.filter(found, lambda d: d.between(1, 60))))
 
 
 def stars(text: Column) -> Column:
     """The first rating, if it is from 0 to 5."""
     value = _ascii_digits(F.nullif(F.regexp_extract(text, STARS, 1), F.lit(""))).try_cast("double")
-    return F.when(value.between(0, 5), value)
+    return F.when(T.holds(F.lower(text), "ดาว", "star", "/", "เต็ม"), F.when(value.between(0, 5), value))
 
 
 def variant(text: Column) -> Column:
@@ -66,11 +75,15 @@ def variant(text: Column) -> Column:
     key = lambda x: F.lower(T.strip(F.regexp_replace(F.regexp_extract(x, r"(?U)^\s*(\S+)", 1), "[:：]+$", "")))
     pairs = F.zip_with(whole, value, lambda w, v: F.struct(key(w).alias("k"), v.alias("v")))
     pairs = F.filter(pairs, lambda p: ~F.lower(p["v"]).isin(*L.NO_VARIANT))
-    return F.map_from_entries(T.let(pairs, lambda ps: F.filter(ps, lambda p, i: (i == 0) | ~F.exists(F.slice(ps, 1, i), lambda q: q["k"] == p["k"]))))
+    found = F.map_from_entries(T.let(pairs, lambda ps: F.filter(ps, lambda p, i: (i == 0) | ~F.exists(F.slice(ps, 1, i), lambda q: q["k"] == p["k"]))))
+    none, marks = F.array().cast("array<string>"), ("สี", "ไส", "ไซ", "ขนาด", "รุ่น", "size", "colo", "model")
+    return F.when(text.isNull() | T.holds(F.lower(text), *marks), found).otherwise(F.map_from_arrays(none, none))
 
 
 def thai_dates(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(T.find_all(text, DATE), T.strip)))
+    # every name of a month holds one of these letters
+    found = F.array_sort(F.array_distinct(F.transform(T.find_all(text, DATE), T.strip)))
+    return F.when(text.isNull() | T.holds(text, "ค", "พ", "ย"), found).otherwise(F.array().cast("array<string>"))
 
 
 def provinces(tokens: Column, hits: Column) -> Column:
@@ -81,17 +94,20 @@ def provinces(tokens: Column, hits: Column) -> Column:
 
 
 def product_type(hits: Column, name_hits: Column) -> Column:
-    """The category whose first hit comes earliest, by the product's name if that has any, else by the text; ties: category order."""
+    """The category whose first hit comes earliest, by the product's name if that has any, else by the text; ties: category order.
 
+    ``hits`` are of ``lexicon.TERMS``, ``name_hits`` of ``TYPE_WORDS``.
+    """
     # a hit inside a longer one never comes first; of a word of two categories the first counts
     category = {w: k for k, ws in reversed(list(enumerate(L.PRODUCT_TYPES.values()))) for w in ws}
-    order, labels = array_of(list(category.values())), array_of(list(L.PRODUCT_TYPES))
+    labels = array_of(list(L.PRODUCT_TYPES))
 
-    def guess(found: Column) -> Column:
-        place = lambda h: F.struct(h["start"].alias("start"), F.get(order, F.array_position(array_of(list(category)), h["term"]).cast("int") - 1).alias("k"))
+    def guess(found: Column, terms: list[str]) -> Column:
+        order = array_of([category.get(t, -1) for t in terms])
+        place = lambda h: F.struct(h["start"].alias("start"), F.get(order, h["ord"]).alias("k"))
         return F.get(labels, F.array_min(F.transform(F.filter(found, lambda h: h["term"].isin(*category)), place))["k"])
 
-    return F.coalesce(guess(name_hits), guess(hits), F.lit(""))
+    return F.coalesce(guess(name_hits, TYPE_WORDS), guess(hits, L.TERMS), F.lit(""))
 
 
 def extract(df: DataFrame, ner=None) -> DataFrame:
@@ -101,13 +117,12 @@ def extract(df: DataFrame, ner=None) -> DataFrame:
     rows, beside the dates that patterns find; without one there are no names.
     """
     clean, tokens = F.col("clean_text"), F.col("tokens")
-    words = [w for ws in L.PRODUCT_TYPES.values() for w in ws]
     name_tokens = T.find_all(F.lower(F.coalesce("product_name", F.lit(""))), rf"[\p{{L}}\p{{N}}_{T.THAI}]+")
     listed = {"brand": L.BRANDS, "courier": L.COURIERS, "platform": L.PLATFORMS}
     out = df.withColumn("_listed", gazetteers(clean, listed)).withColumns({
         **{name: F.col(f"_listed.{name}") for name in listed},
         "price": T.once(price(clean)), "delivery_days": T.once(delivery_days(F.col("normalized_text"))), "star_rating": T.once(stars(clean)), "variant": T.once(variant(clean)),
-        "_name_hits": token_hits(name_tokens, words), "_found": ner(F.when(F.col("lang") == "en", clean)) if ner else F.lit(None).cast("struct<org:array<string>,place:array<string>,date:array<string>>"),
+        "_name_hits": token_hits(name_tokens, TYPE_WORDS), "_found": ner(F.when(F.col("lang") == "en", clean)) if ner else F.lit(None).cast("struct<org:array<string>,place:array<string>,date:array<string>>"),
     })
     none = F.array().cast("array<string>")
     known = F.transform(F.concat("brand", "courier", "platform"), F.lower)

@@ -14,8 +14,7 @@ from opinara.operators.sampling import numbered
 EXPORT = ["review_id", "lang", "review_status", "credibility_score", "overall_sentiment", "sentiment_score", "product_type", "brand", "seller_shop", "price", "delivery_days", "courier", "location", "aspects", "pros", "cons", "spam_signals", "clean_text"]
 # End of the fixed values.
 
-#: All terms that are looked up in tokenized text.
-TERMS = list(dict.fromkeys([t for t, *_ in L.aspect_terms()] + [t for t, _ in L.general_terms()] + L.PROMO_KEYWORDS + L.PROVINCES + [w for ws in L.PRODUCT_TYPES.values() for w in ws]))
+TERMS = L.TERMS
 
 
 def prepare(df: DataFrame, text_column: str | None = None) -> DataFrame:
@@ -41,7 +40,8 @@ def analyze_batch(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ne
     ``vocab(word)``, most frequent first, turns on the mending of English words; ``tagger`` and ``ner`` are column functions
     for word classes and names; ``dictionary`` holds the words of Thai text.
     """
-    out = screening.mark_duplicates(df.withColumn("raw_text", cleanse.text.strip(F.coalesce("raw_text", F.lit("")))))
+    out = df.withColumn("raw_text", cleanse.text.once(F.coalesce("raw_text", F.lit(""))))
+    out = screening.mark_duplicates(out.withColumn("raw_text", cleanse.text.strip_ends(F.col("raw_text"))))
     return screening.screen(within_rows(out, vocab, tagger, ner, dictionary, bounded)).drop("hits")
 
 
