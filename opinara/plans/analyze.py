@@ -1,4 +1,4 @@
-"""The whole analysis of reviews as one plan: one shuffle on fingerprints, everything else within the row."""
+"""The whole analysis of reviews as one plan: contents that many rows share are analysed once, within the row."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
-from opinara.operators import aspects, cleanse, entities, screening
+from opinara.operators import aspects, cleanse, contents, entities, screening
 from opinara.operators.matching import token_hits
 from opinara.operators.sampling import numbered
 
@@ -38,11 +38,20 @@ def analyze_batch(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ne
     """All result columns for ``df(pos, review_id, raw_text, product_name)``; see the steps for what they add.
 
     ``vocab(word)``, most frequent first, turns on the mending of English words; ``tagger`` and ``ner`` are column functions
-    for word classes and names; ``dictionary`` holds the words of Thai text.
+    for word classes and names; ``dictionary`` holds the words of Thai text. Rows of the same text and product name are analysed
+    once: the functions given must not tell equal contents apart.
     """
-    out = df.withColumn("raw_text", cleanse.text.once(F.coalesce("raw_text", F.lit(""))))
-    out = screening.mark_duplicates(out.withColumn("raw_text", cleanse.text.strip_ends(F.col("raw_text"))))
-    return screening.screen(within_rows(out, vocab, tagger, ner, dictionary, bounded)).drop("hits")
+    rows = df.withColumn("raw_text", cleanse.text.once(F.coalesce("raw_text", F.lit(""))))
+    rows = rows.withColumn("raw_text", cleanse.text.strip_ends(F.col("raw_text")))
+
+    def step(found: DataFrame) -> DataFrame:
+        # duplicates are other contents with the same fingerprint, too
+        out = screening.with_first(found, "raw_text", F.col("_own")).drop("_own")
+        return screening.look(within_rows(out, vocab, tagger, ner, dictionary, bounded)).drop("hits")
+
+    values = {"raw_text": F.col("raw_text"), "product_name": F.coalesce(F.col("product_name").cast("string"), F.lit(""))}
+    out = contents.on_distinct(rows, values, step, _own=F.min(F.struct(F.col("pos").alias("o"), F.col("review_id").alias("k"))))
+    return screening.judge(out.withColumn("duplicate_of", F.when(F.col("_first.o") < F.col("pos"), F.col("_first.k"))).drop("_first"))
 
 
 def within_rows(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ner=None, dictionary: set[str] | None = None, bounded: bool = False) -> DataFrame:
