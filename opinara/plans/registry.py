@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as L
 from opinara.functions import text as T
-from opinara.operators import cleanse, corpus, entities, evaluate, matching, naming, sampling, screening, spelling, summary, tagging, thai
+from opinara.operators import cleanse, contents, corpus, entities, evaluate, matching, naming, sampling, screening, spelling, summary, tagging, thai
 from opinara.operators.matching import drop_inner_long, kept, token_hits
 from opinara.sources import reviews as source
 
@@ -219,10 +219,12 @@ def _names(text: F.Column) -> F.Column:
 
 @query()
 def names_learned(spark, sf_dir):
-    # learned from texts of a bounded number in which the patterns above mark names; names are looked for in all texts
+    # learned from texts of a bounded number in which the patterns above mark names; names are looked for in all texts, equal ones once
     rows = reviews(spark, sf_dir).select("pos", F.col("raw_text").alias("text"))
-    model = naming.fit(rows.select("text", _names(F.col("text")).alias("known")).select("text", "known.org", "known.place"))
-    return rows.select("pos", naming.finder(spark, model)("text").alias("found")).select("pos", "found.org", "found.place")
+    known = rows.select("text").distinct().select("text", T.once(_names(F.col("text"))).alias("known"))
+    find = naming.finder(spark, naming.fit(known.select("text", "known.org", "known.place")))
+    out = contents.on_distinct(rows, {"text": F.col("text")}, lambda found: found.withColumn("found", find("text")))
+    return out.select("pos", "found.org", "found.place")
 
 
 _TAG = "coalesce(map(" + O.strings(_CLASSES) + ", " + O.strings(_CLASSES.values()) + ")[lower(t)], 'X')"

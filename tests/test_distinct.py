@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opinara.operators import contents
+from opinara.operators import contents, naming
 from opinara.plans import analyze as plan
+from opinara.plans import registry, synthetic
 
 _TEXTS = ["good quality and fast delivery", "bad product never buy", "ส่งไว แพ็คดี ค่ะ", "", None]
 
@@ -41,3 +42,19 @@ def test_every_row_has_the_results_of_its_values(spark):
     assert sorted(tuple(r[c] for c in ("k", "x", "y", "said")) for r in out) == [(k, x, y, f"{text(x)}|{text(y)}|3") for k, x, y in rows]
     again = contents.on_distinct(df, {"x": F.col("x")}, lambda d: d.withColumn("y", F.lit(1)))
     assert again.columns.count("y") == 1 and again.where("y = 1").count() == len(rows)
+
+
+def test_names_are_looked_for_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("struct<org:array<string>,place:array<string>,date:array<string>>")
+    def none(texts: pa.Array) -> pa.Array:
+        seen.add(len(texts))
+        return pa.nulls(len(texts), pa.struct([(k, pa.list_(pa.string())) for k in ("org", "place", "date")]))
+
+    monkeypatch.setattr(naming, "fit", lambda labelled: None)
+    monkeypatch.setattr(naming, "finder", lambda spark, model: none.asNondeterministic())
+    sf = "/root/testdata/sf0.001"
+    texts = synthetic.reviews(spark, sf).select("raw_text")
+    assert registry.QUERIES["names_learned"](spark, sf).select("pos", "org").toArrow().num_rows == texts.count()
+    assert seen.value == texts.distinct().count() < texts.count()
