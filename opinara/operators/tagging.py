@@ -41,16 +41,16 @@ class Model:
         return [self.tags[k] for k in reversed(path)]
 
 
-def fit(tagged: DataFrame, column: str = "pos_tags") -> Model:
-    """A model of sentences ``column: array<struct<word, tag>>``; words count in lower case.
+def fit(tagged: DataFrame, column: str = "pos_tags", times: str | None = None) -> Model:
+    """A model of sentences ``column: array<struct<word, tag>>``, of which each counts once or ``times``; words count in lower case.
 
     Pairs of neighbouring tags are read off each row, so nothing is grouped by sentence: the aggregates are by pair of tags
     and by (word, tag). Words seen once stand for those never seen. A table without sentences is refused.
     """
     pairs = F.transform(column, lambda p, i: F.struct(F.when(i > 0, F.get(F.col(column), i - 1)["tag"]).alias("last"), F.lower(p["word"]).alias("word"), p["tag"].alias("tag")))
-    seen = tagged.select(F.explode(pairs).alias("p")).select("p.*")
-    moves = seen.groupBy("last", "tag").agg(F.count("*").alias("n")).collect()
-    counts = seen.groupBy("word", "tag").agg(F.count("*").alias("n"))
+    seen = tagged.select(F.explode(pairs).alias("p"), (F.col(times) if times else F.lit(1)).cast("long").alias("n")).select("p.*", "n")
+    moves = seen.groupBy("last", "tag").agg(F.sum("n").alias("n")).collect()
+    counts = seen.groupBy("word", "tag").agg(F.sum("n").alias("n"))
     if counts.select("word").distinct().limit(MAX_WORDS + 1).count() > MAX_WORDS:
         raise ValueError(f"a model holds at most {MAX_WORDS} words")
     if not moves:

@@ -195,11 +195,16 @@ def pos_tags(spark, sf_dir):
 
 @query()
 def pos_tags_learned(spark, sf_dir):
-    # learned from the words of the small table below in their sentences; all words of the reviews are tagged
-    tokens = reviews(spark, sf_dir).select("pos", T.plain_tokens(F.col("raw_text")).alias("tokens"))
-    model = tagging.fit(tokens.select(_tagger(F.col("tokens")).alias("pos_tags")))
-    out = cleanse.tag_words(tokens, tagging.tagger(spark, model))
-    return out.select("pos", F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])).alias("tags"), "keywords")
+    # learned from the words of the small table below in their sentences; all words of the reviews are tagged, equal texts once
+    rows, path = reviews(spark, sf_dir).select("pos", "raw_text"), source.scratch(spark, "tagged")
+    rows.groupBy("raw_text").agg(F.count("*").alias("n")).write.parquet(path)
+    model = tagging.fit(spark.read.parquet(path).select(_tagger(T.plain_tokens(F.col("raw_text"))).alias("pos_tags"), "n"), times="n")
+
+    def step(found: DataFrame) -> DataFrame:
+        out = cleanse.tag_words(found.withColumn("tokens", T.once(T.plain_tokens(F.col("raw_text")))), tagging.tagger(spark, model))
+        return out.withColumn("tags", F.transform("pos_tags", lambda p: F.concat(p["word"], F.lit("/"), p["tag"])))
+
+    return contents.on_distinct(rows, {"raw_text": F.col("raw_text")}, step).select("pos", "tags", "keywords")
 
 
 #: A small table of word classes, a small vocabulary and patterns of names, in place of models: they drive all that rests on models.

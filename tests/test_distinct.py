@@ -1,9 +1,10 @@
 """Work on distinct values: once for each of them, with the results that every row alone would have."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opinara.operators import contents, naming
+from opinara.operators import contents, naming, tagging
 from opinara.plans import analyze as plan
 from opinara.plans import registry, synthetic
 
@@ -58,3 +59,21 @@ def test_names_are_looked_for_once(spark, monkeypatch):
     texts = synthetic.reviews(spark, sf).select("raw_text")
     assert registry.QUERIES["names_learned"](spark, sf).select("pos", "org").toArrow().num_rows == texts.count()
     assert seen.value == texts.distinct().count() < texts.count()
+
+
+def test_words_are_tagged_once(spark, monkeypatch):
+    tagger, seen = _counted(spark, "array<struct<word:string,tag:string>>")
+    monkeypatch.setattr(tagging, "tagger", lambda spark, model: tagger)
+    sf = "/root/testdata/sf0.001"
+    texts = synthetic.reviews(spark, sf).select("raw_text")
+    assert registry.QUERIES["pos_tags_learned"](spark, sf).toArrow().num_rows == texts.count()
+    assert seen.value == texts.distinct().count() < texts.count()
+
+
+def test_sentences_count_so_many_times(spark):
+    rows = [([("good", "ADJ"), ("box", "NOUN")], 3), ([("Box", "NOUN")], 1), ([("works", "VERB"), ("good", "X")], 2), ([], 5)]
+    kind = "pos_tags array<struct<word:string,tag:string>>, n long"
+    once, many = spark.createDataFrame(rows, kind), spark.createDataFrame([r for r in rows for _ in range(r[1])], kind)
+    a, b = tagging.fit(once, times="n"), tagging.fit(many)
+    assert a.tags == b.tags and all(np.allclose(getattr(a, k), getattr(b, k)) for k in ("first", "after", "unknown"))
+    assert a.words.keys() == b.words.keys() and all(np.allclose(a.words[w], b.words[w]) for w in a.words)
