@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinara.sources.reviews import scratch
+from opinara.sources.reviews import discard, scratch
 
 
 def term_counts(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_share: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -25,16 +25,50 @@ def term_counts(df: DataFrame, key: str, tokens: str, min_df: int = 2, max_share
     return counts, dfs.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n_docs")))
 
 
+def _counted(tokens: pa.Array) -> pa.Array:
+    """The distinct words of each row, and how often each of them comes; nulls are none."""
+    parts = [_count(tokens[k : k + 256]) for k in range(0, len(tokens), 256)]
+    sizes = np.concatenate([[0], *(x[0] for x in parts)])
+    terms, n = pa.concat_arrays([x[1] for x in parts]), pa.array(np.concatenate([x[2] for x in parts]), pa.int64())
+    at = pa.array(np.cumsum(sizes), pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, n)], names=["term", "n"])
+
+
+def _count(tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of distinct words of each row, the words, their counts)."""
+    words = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+    codes, size = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), max(len(words.dictionary), 1)
+    pairs, n = np.unique((row * size + codes)[codes >= 0], return_counts=True)
+    return np.bincount(pairs // size, minlength=len(tokens)), words.dictionary.take(pa.array(pairs % size)), n
+
+
 def tfidf_keywords(df: DataFrame, key: str = "review_id", tokens: str = "tokens_clean", top: int = 15) -> DataFrame:
     """(term, weight): mean over all non-empty documents of L2-normed tf * (ln((1 + N) / (1 + df)) + 1), to four digits.
 
-    Ties by term. Fewer than two documents give no rows.
+    Ties by term. Fewer than two documents give no rows. A document is all rows of one key.
+
+    Words are counted within the row, and stay there: documents are dealt only to meet their norms, and only where keys come
+    twice also to be put together. A term's weight is its part in all documents times one factor of its own, so sums need no join;
+    norms take one, by broadcast only if the terms' file is small.
     """
-    counts, dfs = term_counts(df, key, tokens)
-    weighed = counts.join(dfs.where("n_docs >= 2"), "term").withColumn("w", F.col("n") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = weighed.join(norms, key).groupBy("term").agg((F.sum(F.col("w") / F.col("norm")) / F.first("n_docs")).alias("weight"))
-    return sums.orderBy(F.desc("weight"), "term").limit(top).select("term", F.round("weight", 4).alias("weight"))
+    spark, path, counted = df.sparkSession, scratch(df.sparkSession, "tfidf"), F.arrow_udf(_counted, "struct<term:array<string>,n:array<long>>").asNondeterministic()
+    listed = df.where(F.size(tokens) > 0).select(key, F.col(tokens).alias("tokens"))
+    if not df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        listed = listed.groupBy(key).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    listed.select(key, counted("tokens").alias("c")).select(key, "c.term", "c.n").write.option("compression", "zstd").parquet(f"{path}/documents")
+    docs = spark.read.parquet(f"{path}/documents")
+    n_docs = docs.agg(F.count(key)).first()[0]
+    dfs = docs.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= 0.6 * n_docs) & F.lit(n_docs >= 2))
+    dfs.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")).write.parquet(f"{path}/terms")
+    terms, each = spark.read.parquet(f"{path}/terms"), F.explode(F.arrays_zip("term", "n")).alias("t")
+    norms = docs.select(key, each).select(key, "t.term", "t.n").join(terms, "term").groupBy(key).agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) * (F.col("n") * F.col("idf")))).alias("norm"))
+    sums = docs.join(norms, key).select("norm", each).groupBy("t.term").agg(F.sum(F.col("t.n") / F.col("norm")).alias("s"))
+    found = sums.join(terms, "term").select("term", (F.col("s") * F.col("idf") / n_docs).alias("weight")).orderBy(F.desc("weight"), "term").limit(top)
+    found.select("term", F.round("weight", 4).alias("weight")).write.parquet(f"{path}/found")
+    for part in ("documents", "terms"):
+        discard(spark, f"{path}/{part}")
+    return spark.read.parquet(f"{path}/found")
 
 
 def digamma(x: np.ndarray) -> np.ndarray:

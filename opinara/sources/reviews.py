@@ -33,6 +33,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what was written under a path of ``scratch``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
     """CSV files with header that read_csv reads back, in UTF-8; with ``mark`` every file begins with a byte order mark, as
     spreadsheets want it.
