@@ -199,6 +199,7 @@ def pos_tags_learned(spark, sf_dir):
     rows, path = reviews(spark, sf_dir).select("pos", "raw_text"), source.scratch(spark, "tagged")
     rows.groupBy("raw_text").agg(F.count("*").alias("n")).write.parquet(path)
     model = tagging.fit(spark.read.parquet(path).select(_tagger(T.plain_tokens(F.col("raw_text"))).alias("pos_tags"), "n"), times="n")
+    source.discard(spark, path)
 
     def step(found: DataFrame) -> DataFrame:
         out = cleanse.tag_words(found.withColumn("tokens", T.once(T.plain_tokens(F.col("raw_text")))), tagging.tagger(spark, model))
