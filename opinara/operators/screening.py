@@ -24,10 +24,13 @@ def mark_duplicates(df: DataFrame, column: str = "raw_text", key: str = "review_
 
 
 def with_first(df: DataFrame, column: str, row: Column) -> DataFrame:
-    """Adds fingerprint and _first, the least ``row`` of all with the same fingerprint."""
+    """Adds fingerprint and _first, the least ``row`` of all with the same fingerprint.
+
+    Every fingerprint has a partner, but only a left join is left out, aggregate and all, by queries that do not ask for _first.
+    """
     # neither end of a text counts: white space is no part of a fingerprint
     out = df.withColumn("fingerprint", T.fingerprint(F.coalesce(column, F.lit(""))))
-    return out.join(out.groupBy("fingerprint").agg(F.min(row).alias("_first")), "fingerprint")
+    return out.join(out.groupBy("fingerprint").agg(F.min(row).alias("_first")), "fingerprint", "left")
 
 
 def is_generic(text: Column, tokens: Column) -> Column:

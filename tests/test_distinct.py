@@ -77,3 +77,12 @@ def test_sentences_count_so_many_times(spark):
     a, b = tagging.fit(once, times="n"), tagging.fit(many)
     assert a.tags == b.tags and all(np.allclose(getattr(a, k), getattr(b, k)) for k in ("first", "after", "unknown"))
     assert a.words.keys() == b.words.keys() and all(np.allclose(a.words[w], b.words[w]) for w in a.words)
+
+
+def test_duplicates_are_looked_for_only_where_asked_for(spark):
+    sf = "/root/testdata/sf0.001"
+    plan_of = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # the reviews are made twice: for the rows, and for their distinct contents
+    for name in ("pros_cons", "aspect_sentiment"):
+        assert "fingerprint" not in plan_of(name) and plan_of(name).count("Relation [") == 2
+    assert "fingerprint" in plan_of("screening_results")
