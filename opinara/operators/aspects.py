@@ -66,10 +66,11 @@ def attach(general: Column, pairs: Column) -> Column:
     return F.filter(found, lambda x: x["aspect"].isNotNull())
 
 
-def analyze_aspects(df: DataFrame) -> DataFrame:
+def analyze_aspects(df: DataFrame, tagged: bool = True) -> DataFrame:
     """Adds aspects, aspect_sentiment, aspect_evidence, pros, cons, overall_sentiment, sentiment_score and score parts.
 
-    Needs tokens, pos_tags and hits. Evidence is the six longest terms, equal lengths by term.
+    Needs tokens, hits and, if ``tagged``, pos_tags; without word classes there are no adjectives to look for. Evidence is the
+    six longest terms, equal lengths by term.
     """
     once = T.once
     out = df.withColumn("_text", once(joined(F.col("tokens")))).withColumn("_pairs", once(aspect_hits(F.col("hits"), F.col("_text"))))
@@ -86,14 +87,15 @@ def analyze_aspects(df: DataFrame) -> DataFrame:
     signed = lambda sign: F.transform(F.filter("_by", lambda p: p["polarity"] * sign > 0), lambda p: p["term"])
     out = out.withColumns({"_pros": once(signed(1)), "_cons": once(signed(-1))})
     adjective = lambda words: F.transform(F.filter("pos_tags", lambda p: (p["tag"] == "ADJ") & F.array_contains(array_of(words), F.lower(p["word"])) & ~F.array_contains("_pros", F.lower(p["word"])) & ~F.array_contains("_cons", F.lower(p["word"]))), lambda p: p["word"])
+    said = lambda own, words: F.concat(own, adjective(words)) if tagged else F.col(own)
     negative_only = [w for w in L.GENERAL_NEGATIVE if w not in L.GENERAL_POSITIVE]
     general, sums = total(F.col("general_hits")), F.aggregate("_scores", F.lit(0), lambda a, x: a + x["s"])
     sizes = F.aggregate("_scores", F.lit(0), lambda a, x: a + F.abs(x["s"]))
     out = out.withColumns({
         "aspect_sentiment": once(F.map_from_entries(F.transform("_scores", lambda x: F.struct(x["aspect"], label(x["s"]))))),
         "aspect_evidence": once(F.map_from_entries(F.transform("aspects", lambda a: F.struct(a, longest(a))))),
-        "pros": once(F.slice(drop_inner(F.concat("_pros", adjective(L.GENERAL_POSITIVE))), 1, 8)),
-        "cons": once(F.slice(drop_inner(F.concat("_cons", adjective(negative_only))), 1, 8)),
+        "pros": once(F.slice(drop_inner(said("_pros", L.GENERAL_POSITIVE)), 1, 8)),
+        "cons": once(F.slice(drop_inner(said("_cons", negative_only)), 1, 8)),
         "_general": once(general), "_sums": once(sums), "_sizes": once(sizes),
         "_up": once(F.exists("_scores", lambda x: x["s"] > 0)), "_down": once(F.exists("_scores", lambda x: x["s"] < 0)),
     }).withColumns({"_total": F.col("_sums") + F.col("_general"), "_size": F.col("_sizes") + F.abs("_general")})

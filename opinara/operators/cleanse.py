@@ -69,8 +69,8 @@ def word_fixer(spark, rank: dict[str, int], how: str):
 
 
 def contacts(df: DataFrame, patterns: dict[str, str] = text.FOUND) -> DataFrame:
-    """Adds _low, the text ``_t`` in lower case, and pii_removed, map of kind to the distinct sorted finds; what one kind has found
-    is blank for the next. Every kind is searched once, in texts that hold a mark of it."""
+    """Adds _low, the text ``_t`` in lower case, pii_removed, map of kind to the distinct sorted finds, and _some, whether there
+    are any; what one kind has found is blank for the next. Every kind is searched once, in texts that hold a mark of it."""
     once, none = text.once, F.array().cast("array<string>")
     out = df.withColumn("_low", once(F.lower("_t"))).withColumn("_left", F.col("_t"))
     for kind, pattern in patterns.items():
@@ -78,9 +78,10 @@ def contacts(df: DataFrame, patterns: dict[str, str] = text.FOUND) -> DataFrame:
         out = out.withColumn(f"_{kind}", once(hits)).withColumn("_left", once(text.blank_out(F.col("_left"), pattern, F.col(f"_{kind}"))))
     clear = lambda c: F.array_sort(F.array_distinct(F.transform(c, text.strip)))
     entries = [F.when(F.size(f"_{kind}") > 0, F.struct(F.lit(kind).alias("key"), clear(f"_{kind}").alias("value"))) for kind in patterns]
-    found = F.when(sum((F.size(f"_{kind}") for kind in patterns), F.lit(0)) > 0, F.map_from_entries(F.array_compact(F.array(*entries))))
+    some = sum((F.size(f"_{kind}") for kind in patterns), F.lit(0)) > 0
+    found = F.when(some, F.map_from_entries(F.array_compact(F.array(*entries))))
     empty = F.map_from_arrays(none, F.array().cast("array<array<string>>"))
-    return out.withColumn("pii_removed", once(found.otherwise(empty))).drop("_left", *(f"_{kind}" for kind in patterns))
+    return out.withColumns({"pii_removed": once(found.otherwise(empty)), "_some": once(some)}).drop("_left", *(f"_{kind}" for kind in patterns))
 
 
 def clean(df: DataFrame, column: str = "raw_text", rank: dict[str, int] | None = None, bounded: bool = False) -> DataFrame:
@@ -94,10 +95,10 @@ def clean(df: DataFrame, column: str = "raw_text", rank: dict[str, int] | None =
     out = out.withColumn("_t", once(text.strip_ends(t))).withColumns({"lang": once(text.language(t)), "had_html": once(text.has_html(t)), "_t": once(text.strip_html(t))})
     out = contacts(out.withColumns({"emoji_count": once(text.emoji_count(t)), "_t": once(text.strip_emoji(t))}), patterns)
     for kind in text.REMOVED:
-        # where nothing is found, all patterns fail and there is nothing to remove
-        some = (F.size("pii_removed") > 0) & text.holds(F.col("_low"), *text.MARKS[kind])
+        # where nothing is found, all patterns fail and there is nothing to remove; the map itself may not be asked for
+        some = F.col("_some") & text.holds(F.col("_low"), *text.MARKS[kind])
         out = out.withColumn("_t", once(F.when(some, F.regexp_replace(t, patterns[kind], " ")).otherwise(t)))
-    out = out.drop("_low")
+    out = out.drop("_low", "_some")
     if rank:
         fixed = word_fixer(df.sparkSession, rank, "split")(F.when(F.col("lang") == "en", F.col("_t")))
         out = out.withColumn("_t", F.coalesce(fixed, "_t"))

@@ -10,6 +10,7 @@ from typing import ClassVar
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,10 +141,21 @@ def outermost(hits: list[tuple]) -> list[tuple]:
     return out
 
 
+def _python(column: pa.Array) -> list:
+    """Strings, or lists of strings, as Python objects: by way of numpy, as Arrow makes an object of its own for every string."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    flat, at, out = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(None if n is None else flat[at : at + n])
+        at += n or 0
+    return out
+
+
 def _hits_of(find: Callable[[object], list[tuple]]):
     @F.arrow_udf(_HIT)
     def hits(column: pa.Array) -> pa.Array:
-        rows = [[] if x is None else find(x) for k in range(0, len(column), _PART) for x in column[k : k + _PART].to_pylist()]
+        rows = [[] if x is None else find(x) for k in range(0, len(column), _PART) for x in _python(column[k : k + _PART])]
         start, neg, place, term = zip(*(h for x in rows for h in x), strict=True) if any(rows) else ((), (), (), ())
         flat = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(neg, pa.int32()), pa.array(place, pa.int32()), pa.array(term, pa.string())], names=["start", "neg", "ord", "term"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), flat)

@@ -61,7 +61,7 @@ def within_rows(df: DataFrame, vocab: DataFrame | None = None, tagger=None, ner=
     out = cleanse.normalize(cleanse.clean(df, "raw_text", rank, bounded), rank)
     out = cleanse.tag_words(cleanse.tokenize(out, dictionary), tagger)
     out = out.withColumn("hits", token_hits(F.col("tokens"), TERMS))
-    return aspects.analyze_aspects(entities.extract(out, ner))
+    return aspects.analyze_aspects(entities.extract(out, ner), tagged=tagger is not None)
 
 
 def analyze(spark: SparkSession, raw_text: str, review_id: str = "-", product_name: str = "", **options) -> DataFrame:

@@ -86,3 +86,9 @@ def test_duplicates_are_looked_for_only_where_asked_for(spark):
     for name in ("pros_cons", "aspect_sentiment"):
         assert "fingerprint" not in plan_of(name) and plan_of(name).count("Relation [") == 2
     assert "fingerprint" in plan_of("screening_results")
+
+
+def test_only_what_is_asked_for_is_made(spark):
+    """Praise and blame need neither the finds of contacts as a map nor, without a tagger, word classes."""
+    plan = registry.QUERIES["pros_cons"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pii_removed" not in plan and "pos_tags" not in plan
