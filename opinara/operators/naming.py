@@ -12,18 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.sources.reviews import scratch
+from opinara.sources.reviews import discard, scratch
 
 #: Tags of words: none, or the first or a later word of a name.
 TAGS = ["O", "B-org", "I-org", "B-place", "I-place"]
 #: Features are hashed into so many rows of weights, so a model has the same size whatever it learns from.
 BUCKETS = 1 << 17
-#: Labelled texts, those of lowest hash, that a model is learned from at most, and rounds over them.
-MAX_TRAIN, ROUNDS = 20_000, 15
+#: Rounds over all labelled texts.
+ROUNDS = 15
 #: Added to how often a feature occurs, so that what is rare is learned more slowly than what it stands beside.
 RARE = 10
 #: Part of a word's features' rates of errors that is learned in a round: they are ten.
 STEP = 0.1
+#: Words of texts that are tagged at once in learning.
+_AT_ONCE = 50_000
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|\S")
 #: A later word of a name only follows a word of a name of the same kind; the last row is what stands before a text.
@@ -79,6 +81,32 @@ def best(weights: np.ndarray, rows: np.ndarray, right: np.ndarray | None = None)
     return path[::-1]
 
 
+def best_of_all(weights: np.ndarray, rows: np.ndarray, starts: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``best`` for many texts at once, in learning: text t has the words from starts[t] to starts[t + 1], one and more.
+
+    All texts take their first step together, then those of two words and more their second, and so on.
+    """
+    seen = weights[rows[:, 0]]
+    for j in range(1, rows.shape[1]):
+        seen += weights[rows[:, j]]
+    seen += 1 - np.eye(_K)[right]
+    after = np.where(_ALLOWED, weights[BUCKETS:], -np.inf)
+    sizes = np.diff(starts)
+    order = np.argsort(-sizes, kind="stable")
+    first, active = starts[:-1][order], np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), "left")
+    score, back = after[-1] + seen[first], [np.empty((0, _K), int)]
+    for i, n in enumerate(active[1:].tolist(), 1):
+        ways = score[:n, :, None] + after[:-1]
+        back.append(ways.argmax(1))
+        score[:n] = ways.max(1) + seen[first[:n] + i]
+    out, now = np.empty(len(rows), int), score.argmax(1)
+    for i, n in reversed(list(enumerate(active.tolist()))):
+        out[first[:n] + i] = now[:n]
+        if i:
+            now[:n] = back[i][np.arange(n), now[:n]]
+    return out
+
+
 def spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the names in a text."""
     words = list(_WORD.finditer(text))
@@ -104,26 +132,32 @@ class Model:
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, org, place = (batch.column(k).to_pylist() for k in range(3))
-        cut = [_WORD.findall(t) for t in texts]
-        rows = [sum(features(w), []) for w in cut]
-        tags = [marked(w, {"org": o, "place": p}) for w, o, p in zip(cut, org, place, strict=True)]
+        cut = [(w, o, p) for t, o, p in zip(texts, org, place, strict=True) if (w := _WORD.findall(t))]
+        rows = [sum(features(w), []) for w, *_ in cut]
+        tags = [marked(w, {"org": o, "place": p}) for w, o, p in cut]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], names=["features", "tags"])
 
 
 def _cells(table: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(table)
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table.ravel()[at], pa.int64())], names=["cell", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], names=["cell", "n"])
 
 
 def _sums(texts: DataFrame, count) -> np.ndarray:
-    """What ``count(table, rows, tags)`` adds to a table of a fixed size for every text: added up in each task, then by cell."""
+    """What ``count(rows, tags, starts)`` yields of many texts at once, cells of a table of a fixed size and whether they go up or down by
+    one: added up in each task, then by cell."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((_SIZE, _K), np.int64)
+        table = np.zeros(_SIZE * _K, np.int64)
         for batch in batches:
-            for rows, tags in zip(batch.column(0), batch.column(1), strict=True):
-                tags = tags.values.to_numpy()
-                count(table, rows.values.to_numpy().reshape(len(tags), -1), tags)
+            rows, tags, ends = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy().astype(np.int64)
+            rows, ends, a = rows.reshape(len(tags), -1) if len(tags) else rows, ends - ends[0], 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + _AT_ONCE, "right")) - 1)
+                part = slice(ends[a], ends[b])
+                for cells, sign in count(rows[part], tags[part], ends[a : b + 1] - ends[a]):
+                    table += sign * np.bincount(cells.ravel(), minlength=len(table))
+                a = b
         yield _cells(table)
 
     # at most as many rows as the table has cells
@@ -133,15 +167,17 @@ def _sums(texts: DataFrame, count) -> np.ndarray:
     return out.reshape(_SIZE, _K)
 
 
-def _moves(tags: np.ndarray) -> np.ndarray:
+def _moves(tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Row of weights of the tag before each one."""
-    return BUCKETS + np.append(len(TAGS), tags[:-1])
+    before = np.append(len(TAGS), tags[:-1])
+    before[starts[:-1]] = len(TAGS)
+    return BUCKETS + before
 
 
-def fit(labelled: DataFrame, most: int = MAX_TRAIN, rounds: int = ROUNDS) -> Model:
+def fit(labelled: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model of ``labelled(text, org array<string>, place array<string>)``, where names stand as they are written in the text.
 
-    Of more than ``most`` texts those of lowest hash are taken; equal rows count once, null and blank texts not at all. Each round
+    All texts are learned from; equal rows count once, null and blank texts not at all. Each round
     tags all texts with the weights so far, where wrong tags have a lead: right ones shall be ahead by a margin. What right tags add to weights and wrong ones take from them is summed by
     weight, and divided by how often its feature occurs and RARE: a feature moves by its rate of errors. All sums are
     of integers, so the model does not rest on how the input is split. The weights after each round are averaged.
@@ -149,28 +185,27 @@ def fit(labelled: DataFrame, most: int = MAX_TRAIN, rounds: int = ROUNDS) -> Mod
     """
     spark = labelled.sparkSession
     texts = labelled.where(F.trim(F.regexp_replace("text", r"\s", "")) != "").select("text", "org", "place").distinct()
-    texts = texts.orderBy(F.xxhash64("text"), "text", F.to_json(F.struct("org", "place"))).limit(most)
-    path = f"{scratch(spark, 'names')}/encoded"
-    # dealt anew: the limit leaves one partition
-    texts.repartition(spark.sparkContext.defaultParallelism, "text").mapInArrow(_encoded, "features array<int>, tags array<int>").write.parquet(path)
+    path = scratch(spark, "names")
+    # dealt anew: few bytes would make few partitions, but texts take time
+    dealt = texts.repartition(spark.sparkContext.defaultParallelism, "text")
+    dealt.mapInArrow(_encoded, "features array<int>, tags array<int>").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
 
-    def occurrences(table: np.ndarray, rows: np.ndarray, tags: np.ndarray) -> None:
-        np.add.at(table[:, 0], rows, 1)
-        np.add.at(table[:, 0], _moves(tags), 1)
+    def occurrences(rows: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        yield rows * _K, 1
+        yield _moves(tags, starts) * _K, 1
 
     often = _sums(texts, occurrences)[:, :1]
     weights, total, errors = np.zeros((_SIZE, _K)), np.zeros((_SIZE, _K)), []
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
-        def update(table: np.ndarray, rows: np.ndarray, tags: np.ndarray, shared=shared) -> None:
-            said = np.array(best(shared.value, rows, tags))
-            if (said == tags).all():
-                return
+        def update(rows: np.ndarray, tags: np.ndarray, starts: np.ndarray, shared=shared) -> Iterator[tuple[np.ndarray, int]]:
+            said = best_of_all(shared.value, rows, starts, tags)
+            wrong = said != tags
             for way, sign in ((tags, 1), (said, -1)):
-                np.add.at(table, (rows, way[:, None]), sign)
-                np.add.at(table, (_moves(way), way), sign)
+                yield rows[wrong] * _K + way[wrong, None], sign
+                yield _moves(way, starts) * _K + way, sign
 
         moved = _sums(texts, update)
         shared.destroy()
@@ -180,6 +215,7 @@ def fit(labelled: DataFrame, most: int = MAX_TRAIN, rounds: int = ROUNDS) -> Mod
         total += weights
         if not moved.any():
             break
+    discard(spark, path)
     return Model((total / max(len(errors), 1)).astype(np.float32), errors)
 
 

@@ -225,7 +225,7 @@ def _names(text: F.Column) -> F.Column:
 
 @query()
 def names_learned(spark, sf_dir):
-    # learned from texts of a bounded number in which the patterns above mark names; names are looked for in all texts, equal ones once
+    # learned from all texts, in which the patterns above mark names; names are looked for in all texts, both times in equal ones once
     rows = reviews(spark, sf_dir).select("pos", F.col("raw_text").alias("text"))
     known = rows.select("text").distinct().select("text", T.once(_names(F.col("text"))).alias("known"))
     find = naming.finder(spark, naming.fit(known.select("text", "known.org", "known.place")))

@@ -90,3 +90,25 @@ def test_no_texts(spark):
     model = naming.fit(spark.createDataFrame([], SCHEMA))
     assert not model.weights.any()
     assert spark.createDataFrame([("In Bangkok",)], "text string").select(F.size(naming.finder(spark, model)("text")["org"]).alias("n")).first()["n"] == 0
+
+
+def test_all_texts_are_learned_from(spark):
+    """No part of the texts is left out: what stands in one of 20,001 texts is counted."""
+    spark.range(20_001).select(F.concat(F.lit("w"), "id").alias("text"), F.array("text").alias("org"), F.array().cast("array<string>").alias("place")).createOrReplaceTempView("labelled_names")
+    model = naming.fit(spark.table("labelled_names"), rounds=1)
+    # in the first round every right tag is behind, and every word adds one to its first feature's weight and takes one
+    assert model.errors == [2 * 20_001]
+
+
+def test_many_texts_at_once():
+    rng = np.random.default_rng(74)
+    for sizes in ([1], [3, 1, 7, 1, 2], [2] * 40, [50, 1]):
+        weights, starts = rng.integers(-3, 4, (naming._SIZE, 5)) * 1.0, np.cumsum([0, *sizes])
+        rows, right = rng.integers(0, naming.BUCKETS, (starts[-1], 4)), rng.integers(0, 3, starts[-1])
+        got = naming.best_of_all(weights, rows, starts, right)
+        assert got.tolist() == [t for a, b in itertools.pairwise(starts) for t in naming.best(weights, rows[a:b], right[a:b])]
+
+
+def test_texts_without_words_are_not_learned_from(spark):
+    got = [naming.fit(spark.createDataFrame([("I am in Rome", [], ["Rome"]), *more], SCHEMA).coalesce(1), rounds=2) for more in ([], [("\u00a0", [], []), ("\u3000", ["x"], [])])]
+    assert np.array_equal(got[0].weights, got[1].weights)
