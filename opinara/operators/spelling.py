@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Only so many first letters of a word are deleted from. Two words within d edits share a remainder of their first letters
 #: with d deletions at most, if the prefix is longer than d.
 PREFIX = 10
+#: Bytes of known words, eight more counted for each, that are given to all workers as one list; more are joined.
+MAX_SHARED = 1 << 24
 
 
 def remainders(word: Column, deletions: Column | int) -> Column:
@@ -36,27 +41,60 @@ def corrections(tokens: DataFrame, known: DataFrame, least: int = 3, short: int
     ``known(word, n)`` holds distinct words and their frequency. Tokens of ``least`` letters and more are looked for; of
     the known words within the allowed edits (insertions, deletions, replacements) the nearest counts, then the most
     frequent, then the first. Tokens with none, and nulls, are left out. Tokens are made distinct before anything is joined;
-    both sides are keyed by remainders, at most 56 a word, and every pair that meets is verified.
+    both sides are keyed by remainders, at most 56 a word, and every pair that meets is verified. No side is broadcast: from the
+    size of a file of known words Spark does not tell how many rows their remainders are, which would pass through the driver.
     """
-    unknown = tokens.where(F.length("token") >= least).select("token").distinct().join(known.select(F.col("word").alias("token")), "token", "left_anti")
+    unknown = tokens.where(F.length("token") >= least).select("token").distinct().join(known.select(F.col("word").alias("token")).hint("merge"), "token", "left_anti")
     wanted = unknown.select("token", F.explode(remainders(F.col("token"), allowed(F.col("token"), short, most))).alias("rest"))
     index = known.where(F.length("word") >= least - 1).select("word", "n", F.explode(remainders(F.col("word"), most)).alias("rest"))
     near = F.abs(F.length("token") - F.length("word")) <= allowed(F.col("token"), short, most)
     # -1 where the distance is greater than the threshold, at which the comparison ends
-    met = wanted.join(index, "rest").where(near).select("token", "word", "n", F.levenshtein("token", "word", most).alias("distance"))
+    met = wanted.join(index.hint("merge"), "rest").where(near).select("token", "word", "n", F.levenshtein("token", "word", most).alias("distance"))
     met = met.where((F.col("distance") >= 0) & (F.col("distance") <= allowed(F.col("token"), short, most)))
     best = met.groupBy("token").agg(F.min(F.struct("distance", (-F.col("n")).alias("m"), "word")).alias("b"))
     return best.select("token", "b.word", "b.distance", (-F.col("b.m")).alias("n"))
 
 
+def _without(known: DataFrame):
+    """A column function: a list of tokens without the known ones."""
+    words = known.select("word").toArrow()["word"].combine_chunks()
+    shared = known.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("array<string>")
+    def rest(tokens: pa.Array) -> pa.Array:
+        flat = tokens.flatten()
+        stays = pc.invert(pc.is_in(flat, value_set=shared.value))
+        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+        sizes = np.bincount(row[stays.to_numpy(zero_copy_only=False)], minlength=len(tokens))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.filter(stays))
+
+    return rest.asNondeterministic()
+
+
+def _mended(tokens: pa.Array, wrong: pa.Array, right: pa.Array) -> pa.Array:
+    """Lists of tokens, replaced by what any of the rows says: a token has one right word in all of them. One lookup of all tokens, as
+    looking each up in a map of its row takes time by the square of a text's length."""
+    flat = tokens.flatten()
+    done = pc.coalesce(right.flatten().take(pc.index_in(flat, value_set=wrong.flatten())), flat)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), done, mask=tokens.is_null())
+
+
 def correct(df: DataFrame, key: str, column: str, found: DataFrame, known: DataFrame) -> DataFrame:
     """df with the tokens of a list column replaced by ``found(token, word)``; ``known(word)`` are right as they are. ``key`` is
     unique.
 
-    Each row's distinct tokens meet the known words first, which Spark broadcasts if it knows their table to be small: write
-    it before. Only what is left is dealt by token, and only what is replaced is gathered by row.
+    Known words, if they are no more than MAX_SHARED, are taken out within the row, by one list that all workers get; it is smaller than
+    the hashed table that the driver makes of words to broadcast them. Else they are joined. Only what is left is dealt by token,
+    and only what is replaced is gathered by row. ``known`` is read twice.
     """
-    spots = df.select(key, F.explode(F.array_distinct(column)).alias("token")).join(known.select(F.col("word").alias("token")), "token", "left_anti")
-    fixes = spots.join(found.select("token", "word"), "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("_fixes"))
-    fixed = F.when(F.col("_fixes").isNull(), F.col(column)).otherwise(F.transform(column, lambda t: F.coalesce(F.try_element_at("_fixes", t), t)))
-    return df.join(fixes, key, "left").withColumn(column, fixed).drop("_fixes")
+    bytes_ = known.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+    tokens, words = F.array_distinct(column), known.select(F.col("word").alias("token"))
+    if bytes_ <= MAX_SHARED:
+        spots = df.select(key, F.explode(_without(known)(tokens)).alias("token"))
+    else:
+        spots = df.select(key, F.explode(tokens).alias("token")).join(words.hint("merge"), "token", "left_anti")
+    fixes = spots.join(found.select("token", "word").hint("merge"), "token").groupBy(key).agg(F.collect_list(F.struct("token", "word")).alias("_fixes"))
+    some = F.col("_fixes").isNotNull()
+    mended = F.arrow_udf(_mended, "array<string>").asNondeterministic()(F.when(some, F.col(column)), "_fixes.token", "_fixes.word")
+    return df.join(fixes, key, "left").withColumn(column, F.when(some, mended).otherwise(F.col(column))).drop("_fixes")
