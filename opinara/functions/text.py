@@ -126,6 +126,17 @@ def blank_out(text: Column, pattern: str, finds: Column) -> Column:
     return F.when(F.size(finds) > 0, F.array_join(F.zip_with(F.split(text, pattern, -1), spaces, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
+def contacts(text: Column, patterns: dict[str, str] = FOUND) -> Column:
+    """Map of kind to the distinct sorted finds; what one kind has found is blank for the next. For single values: tables take
+    ``cleanse.contacts``, which keeps what is shared as columns."""
+    kinds, left = [], text
+    for kind, pattern in patterns.items():
+        finds = find_all(left, pattern)
+        kinds.append((F.lit(kind), F.array_sort(F.array_distinct(F.transform(finds, strip)))))
+        left = blank_out(left, pattern, finds)
+    return F.map_filter(F.create_map(*(x for pair in kinds for x in pair)), lambda _, v: F.size(v) > 0)
+
+
 def collapse(text: Column) -> Column:
     """Three and more of a character: Thai as one, a-z as two, anything else but white space as one."""
     once = F.regexp_replace(text, rf"([{THAI}])\1{{2,}}", "$1")
